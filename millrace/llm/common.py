@@ -85,3 +85,16 @@ def unused_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def join_unique(rows: DataFrame, table: DataFrame, key: str, count: str, hot_share: int = 10_000) -> DataFrame:
+    """rows inner join table on `key`, which is unique in table; `count` is how many rows have the key.
+
+    Keys with more than 1/hot_share of all rows would each fill a task of a shuffle; there are fewer
+    than hot_share of them however large the input, so these are broadcast and the rest is shuffled.
+    """
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first()["n"]
+    hot = F.col(count) > max(1000, total // hot_share)
+    few = F.broadcast(table.where(hot).drop(count))
+    rest = table.where(~hot).drop(count)
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(rest, key))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import quality_rules, source_mix
+from millrace.llm import quality_rules, simhash, source_mix
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,12 +15,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_read(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_report(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    found = [op2_quality_rules, op6_source_mix]
+    found = [op2_quality_rules, op5_simhash, op6_source_mix]
     return {f.__name__: f for f in found}
 
 
