@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import quality_rules, simhash, source_mix
+from millrace.llm import quality_rules, secret_scan, simhash, source_mix
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,8 +23,12 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_report(_read(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = [op2_quality_rules, op5_simhash, op6_source_mix]
+    found = [op2_quality_rules, op5_simhash, op6_source_mix, op8_secret_scan]
     return {f.__name__: f for f in found}
 
 
