@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import quality_rules, secret_scan, simhash, source_mix
+from millrace.llm import bpe_stream, quality_rules, secret_scan, simhash, source_mix
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,8 +27,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_read(spark, sf_dir, "documents"))
 
 
+def op9_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_stream.encode_documents(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = [op2_quality_rules, op5_simhash, op6_source_mix, op8_secret_scan]
+    found = [op2_quality_rules, op5_simhash, op6_source_mix, op8_secret_scan, op9_bpe_stream]
     return {f.__name__: f for f in found}
 
 
