@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe_stream, quality_rules, secret_scan, simhash, source_mix
+from millrace.llm import bpe_stream, quality_rules, secret_scan, simhash, source_mix, token_pack, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_read(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_read(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -31,8 +35,12 @@ def op9_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.encode_documents(_read(spark, sf_dir, "documents"))
 
 
+def op10_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_pack.pack_documents(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = [op2_quality_rules, op5_simhash, op6_source_mix, op8_secret_scan, op9_bpe_stream]
+    found = [op2_quality_rules, op4_warc, op5_simhash, op6_source_mix, op8_secret_scan, op9_bpe_stream, op10_token_pack]
     return {f.__name__: f for f in found}
 
 
