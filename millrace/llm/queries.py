@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe_stream, quality_rules, secret_scan, simhash, source_mix, token_pack, warc
+from millrace.llm import bpe_stream, lang_crf, multiprobe, quality_model, quality_rules, secret_scan, simhash, source_mix, token_pack, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiprobe.nearest(_read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_read(spark, sf_dir, "documents"))
 
 
+def op3_lang_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_crf.identify(_read(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_read(spark, sf_dir, "pages"))
 
@@ -27,6 +35,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_report(_read(spark, sf_dir, "documents"))
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(_read(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_read(spark, sf_dir, "documents"))
 
@@ -40,7 +52,7 @@ def op10_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op2_quality_rules, op4_warc, op5_simhash, op6_source_mix, op8_secret_scan, op9_bpe_stream, op10_token_pack]
+    found = [op1_multiprobe, op2_quality_rules, op3_lang_crf, op4_warc, op5_simhash, op6_source_mix, op7_quality_model, op8_secret_scan, op9_bpe_stream, op10_token_pack]
     return {f.__name__: f for f in found}
 
 
