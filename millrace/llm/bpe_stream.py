@@ -21,11 +21,13 @@ import codecs
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A part: blanks and what follows them up to the next blank.  No token crosses its ends.
 PART = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 #: So many parts and stable pairs are remembered by each worker.
-CACHE, PAIRS = 300_000, 1_000_000
+CACHE, PAIRS = 700_000, 1_000_000
 #: A run of more characters than this is encoded while it is still open.
 HOLD = 4096
 
@@ -181,7 +183,7 @@ class Encoder:
         self.run = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
         self.kinds = [regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", rf"[^{BLANK}\p{{L}}\p{{N}}]+", f"[{BLANK}]+")]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.table.specials, key=len, reverse=True))) + ")") if self.table.specials else None
-        self.parts: dict[str, tuple[list[int], bytes, bytes]] = {}
+        self.parts: dict[str, tuple[bytes, bytes, bytes]] = {}
         self.decimal = [b"%d" % i for i in range(len(self.table.bytes))]
 
     def _run_ids(self, run: str) -> list[int]:
@@ -192,30 +194,32 @@ class Encoder:
         transducer = Transducer(self.table)
         return transducer.push(data) + transducer.finish()
 
-    def part(self, part: str) -> tuple[list[int], bytes, bytes]:
-        """Ids of a part, their decimal list, and the bytes that they decode to."""
+    def part(self, part: str) -> tuple[bytes, bytes, bytes]:
+        """Ids of a part as little-endian uint32, their decimal list, and the bytes that they decode to."""
         found = self.parts.get(part)
         if found is None:
             ids = [i for m in self.run.finditer(part) for i in self._run_ids(m[0])]
-            found = ids, b",".join(map(self.decimal.__getitem__, ids)), b"".join(map(self.table.bytes.__getitem__, ids))
+            found = self._facts(ids)
             if len(self.parts) < CACHE and len(part) < 64:
                 self.parts[part] = found
         return found
 
-    def coded(self, text: str) -> Iterator[tuple[list[int], bytes, bytes]]:
+    def _facts(self, ids: list[int]) -> tuple[bytes, bytes, bytes]:
+        return struct.pack(f"<{len(ids)}I", *ids), b",".join(map(self.decimal.__getitem__, ids)), b"".join(map(self.table.bytes.__getitem__, ids))
+
+    def coded(self, text: str) -> Iterator[tuple[bytes, bytes, bytes]]:
         """Part by part, what `part` tells of each."""
         pieces = self.special.split(text) if self.special and any(s in text for s in self.table.specials) else [text]
         known, part = self.parts, self.part
         for k, piece in enumerate(pieces):
             if k % 2:
-                i = self.table.specials[piece]
-                yield [i], self.decimal[i], self.table.bytes[i]
+                yield self._facts([self.table.specials[piece]])
             else:
                 yield from [known.get(p) or part(p) for p in PART.findall(piece)]
 
     def encode(self, text: str) -> list[int]:
         """All ids of a text that is at hand as a whole."""
-        return [i for ids, _, _ in self.coded(text) for i in ids]
+        return np.frombuffer(b"".join([p[0] for p in self.coded(text)]), "<u4").tolist()
 
     def stream(self, pieces: Iterable[str]) -> Iterator[int]:
         """Ids of a text that comes in pieces, in constant memory whatever its length and its runs'."""
@@ -262,7 +266,7 @@ class Encoder:
                 m = self.run.match(buffer, at, until)
                 sure = closed or special is not None or (m.end() < until and m.start() + 3 <= until)
                 if sure:
-                    yield from self.part(m[0])[0] if len(m[0]) < 64 else self._run_ids(m[0])
+                    yield from self._run_ids(m[0])
                     at = m.end()
                 elif m.end() == until and m.end() - at > hold:
                     # One open run fills the rest: encode it as it comes.
@@ -312,25 +316,40 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def digests(text: str | None, codec: Encoder, step: int = 1 << 16) -> tuple[int, str, str]:
-    """Number of ids, SHA-256 of their decimal list, SHA-256 of the decoded text; `step` parts at a time."""
+def digests(text: str | None, codec: Encoder, ids: list[bytes] | None = None, step: int = 1 << 16) -> tuple[int, str, str]:
+    """Number of ids, SHA-256 of their decimal list, SHA-256 of the decoded text; `step` parts at a time.
+
+    The ids themselves are added to `ids`, if given, as little-endian uint32.
+    """
     listed, decoded, decoder, n = hashlib.sha256(), hashlib.sha256(), Decoder(codec.table), 0
     parts = codec.coded(text or "")
     while some := list(islice(parts, step)):
+        packed = b"".join([p[0] for p in some])
         listed.update((b"," if n else b"") + b",".join([p[1] for p in some]))
         decoded.update(decoder.push_bytes(b"".join([p[2] for p in some])).encode("utf-8", "surrogatepass"))
-        n += sum([len(p[0]) for p in some])
+        n += len(packed) // 4
+        if ids is not None:
+            ids.append(packed)
     decoded.update(decoder.finish().encode())
     return n, listed.hexdigest(), decoded.hexdigest()
 
 
-def encode_documents(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row."""
+def encode_documents(docs: DataFrame, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row, and the ids as an array if wanted."""
+    kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
-    def of(texts: pd.Series) -> pd.DataFrame:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(tokenizer_file(tokenizer))
-        return pd.DataFrame([digests(t, codec) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    # No type hints are evaluated in workers: the function type is given by the schema and its hints here.
-    coded = F.pandas_udf(of, "n_tokens long, ids_sha256 string, decoded_sha256 string")(F.col("text"))
-    return docs.select("doc_id", coded.alias("c")).select("doc_id", "c.n_tokens", "c.ids_sha256", "c.decoded_sha256")
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                some = batch.slice(a, 1000)
+                ids: list[bytes] | None = [] if with_ids else None
+                rows = [digests(t, codec, ids) for t in some.column(1).to_pylist()]
+                columns = [some.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string())))]
+                if with_ids:
+                    flat = np.frombuffer(b"".join(ids), "<i4")
+                    offsets = np.cumsum([0] + [r[0] for r in rows]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in kind.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(code, kind)
