@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 from millrace.operators.accrual import apply_cap, rate_of
 from millrace.sources.io import rule_map
 
-_ALL = Window.partitionBy()
-
 
 def category_share(tx: DataFrame, digits: int = 2) -> DataFrame:
     """Share of spend and points by category; shares are taken over the few result rows."""
     sums = tx.groupBy("category").agg(F.sum("amount_gtq").alias("spend"), F.sum("points").alias("points"))
-    pct = lambda c: F.round(100 * F.col(c) / F.sum(c).over(_ALL), 2)
+    pct = lambda c: F.round(100 * F.col(c) / F.sum(c).over(Window.partitionBy()), 2)
     return sums.select("category", F.round("spend", digits).alias("spend"), "points", pct("spend").alias("spend_pct"), pct("points").alias("points_pct"))
 
 
