@@ -240,8 +240,8 @@ class Encoder:
                 if opened:
                     m = kind.match(buffer, at, safe)
                     end = m.end() if m else at
-                    special = self.special.search(buffer, at, end) if self.special else None
-                    if special:
+                    special = self.special.search(buffer, at, safe) if self.special else None
+                    if special and special.start() < end:
                         yield from opened.push(buffer[at : special.start()].encode("utf-8", "surrogatepass"))
                         yield from opened.finish()
                         opened, at = None, special.start()
