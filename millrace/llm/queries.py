@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe_stream, lang_crf, multiprobe, quality_model, quality_rules, secret_scan, simhash, source_mix, token_pack, warc
+from millrace.llm import bpe_stream, lang_crf, multiprobe, oracles, quality_model, quality_rules, secret_scan, simhash, source_mix, token_pack, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,4 +57,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the queries that SQL can express; the others are tested against brute force."""
+    return {"op2_quality_rules": oracles.quality_rules_sql(), "op4_warc": oracles.WARC_SQL, "op6_source_mix": oracles.MIX_SQL}
