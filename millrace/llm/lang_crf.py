@@ -182,9 +182,14 @@ def train(runs: list[tuple[str, str]], rounds: int = 40, rate: float = 0.5, deca
 
 def training_runs(docs: DataFrame, docs_per_lang: int = 300, words_per_doc: int = 192, run: int = 16) -> list[tuple[str, str]]:
     """The bounded sample: (language, run of words), shuffled by a hash.  docs: text, lang, already without held-out rows."""
-    usable = docs.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    usable = docs.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn("h", F.xxhash64("text"))
+    # A first thinning by hash leaves a few times the documents wanted, however many there are; only these are ranked.
+    counts = usable.groupBy("lang").count()
+    thin = counts.select(F.col("lang").alias("known"), (F.lit(4.0 * docs_per_lang) / F.col("count")).alias("rate"))
+    uniform = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    few = usable.join(F.broadcast(thin), F.col("lang") == F.col("known")).where(uniform < F.col("rate"))
     order = Window.partitionBy("lang").orderBy("h", F.md5("text"))
-    chosen = usable.withColumn("h", F.xxhash64("text")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_lang)
+    chosen = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_lang)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -105,7 +105,9 @@ def nearest(
     queries = materialize(rows.where(is_query(F.col("id"))).select("id", "h1", "h2").distinct(), "ann-queries")
     asked = classes.join(queries.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", "vec")
 
-    picked = [r["vec"] for r in classes.orderBy("h1", "h2").limit(sample).select("vec").collect()]
+    # Thinned by hash to a few times the sample before the smallest hashes are taken.
+    thin = F.pmod(F.col("h1"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < 4.0 * sample / max(1, classes.count())
+    picked = [r["vec"] for r in classes.where(thin).orderBy("h1", "h2").limit(sample).select("vec").collect()]
     nearness = _sample_nearness(picked, neighbours)
 
     def by_dim(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:

@@ -146,7 +146,11 @@ def classify(docs: DataFrame, threshold: float = 0.5, per_class: int = 1000) ->
         good = fit_accuracies(np.array([r["votes"] for r in patterns]), np.array([r["count"] for r in patterns], float))
         posterior = F.broadcast(spark.createDataFrame([(r["votes"], float(g)) for r, g in zip(patterns, good, strict=True)], "votes array<int>, p_good double"))
         side = Window.partitionBy(F.col("p_good") >= 0.5).orderBy("key")
-        chosen = voted.join(posterior, "votes").groupBy("key").agg(F.min("p_good").alias("p_good"))
+        # A first thinning by hash leaves a few times the texts wanted on each side; only these are ranked.
+        n_good, n_bad = (max(1, sum(r["count"] for r, g in zip(patterns, good, strict=True) if (g >= 0.5) == s)) for s in (True, False))
+        rate = F.when(F.col("p_good") >= 0.5, F.lit(8.0 * per_class / n_good)).otherwise(F.lit(8.0 * per_class / n_bad))
+        thinned = voted.join(posterior, "votes").where(F.pmod(F.col("key"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < rate)
+        chosen = thinned.groupBy("key").agg(F.min("p_good").alias("p_good"))
         chosen = chosen.withColumn("n", F.row_number().over(side)).where(F.col("n") <= per_class)
         soft = {r["key"]: r["p_good"] for r in chosen.select("key", "p_good").collect()}  # at most 2 x per_class rows
         keys = F.broadcast(spark.createDataFrame([(k,) for k in soft], "key long"))
