@@ -135,3 +135,13 @@ def expiry_notices(balance: DataFrame) -> DataFrame:
 
 def return_on_spend(tx: DataFrame, value: float = 0.0619) -> DataFrame:
     return tx.groupBy("category").agg(F.round(F.sum("points") * value / F.sum("amount_gtq"), 6).alias("money_per_unit"))
+
+
+def group_members(clients: DataFrame, group: str = "group_id", client: str = "client_id") -> DataFrame:
+    """Size and members of each family group.  Families are small; for corporate groups select the size alone."""
+    return clients.groupBy(group).agg(F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_list(client)).alias("members"))
+
+
+def card_rates(cards: DataFrame, by: str = "origin", accrues: str = "accrues") -> DataFrame:
+    """Cards, and the share of them that earn points, per origin."""
+    return cards.groupBy(by).agg(F.count(F.lit(1)).alias("cards"), F.round(F.avg(F.col(accrues).cast("int")), 6).alias("accrual_rate"))

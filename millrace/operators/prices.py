@@ -23,6 +23,11 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return best.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
 
 
+def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Registry of one row per key: new rows replace old ones unless these are later in `order`."""
+    return latest_per_key(existing.unionByName(new), keys, order)
+
+
 def merge_photos(images: DataFrame, identity: str = "sha256", fill: tuple[str, ...] = ("source_uri", "brand", "station", "captured_at"), order: str = "id") -> DataFrame:
     """One row per content: the first arrival, its empty metadata taken from later ones."""
     rest = [c for c in images.columns if c != identity]

@@ -328,3 +328,14 @@ def return_on_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prize_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = T.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("prize_id"), F.lit(10).alias("points"))
     return audit.reconcile_prizes(c.where("prize_id % 4 <> 0"), c.where("prize_id % 5 <> 0")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH c AS (SELECT c_custkey // 4 AS family, c_custkey FROM customer) SELECT family, count(*) AS size, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS members FROM c GROUP BY 1""")
+def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = T.read(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 4).alias("family"), "c_custkey")
+    return audit.group_members(c, "family", "c_custkey").withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+
+
+@query("SELECT c_mktsegment AS origin, count(*) AS cards, round(avg(CAST(c_acctbal > 0 AS INTEGER)), 6) AS accrual_rate FROM customer GROUP BY 1")
+def card_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.card_rates(T.read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("origin"), (F.col("c_acctbal") > 0).alias("accrues")))

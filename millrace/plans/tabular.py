@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import evaluate, features, ml, quality
+from millrace.operators import evaluate, features, ml, prices, quality
 from millrace.plans import tables as T
 
 QUERIES, ORACLES = {}, {}
@@ -185,3 +185,9 @@ def redemption_propensity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ml.redemption_features(e, "user_id", "ts", "value", F.col("value") > 150, "2024-01-10", 3)
     split = evaluate.hash_split(rows, "user_id", {"train": 70, "test": 30})
     return ml.propensity(split.where("split = 'train'"), split.where("split = 'test'"), ["balance", "n_before", "n_recent", "redeemed_before"])
+
+
+@query("""WITH r AS (SELECT user_id % 50 AS model, event_type AS horizon, event_id AS trained_at, value AS mae FROM events) SELECT model, horizon, max(trained_at) AS trained_at, arg_max(mae, trained_at) AS mae FROM r GROUP BY 1, 2""")
+def model_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.read(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("model"), F.col("event_type").alias("horizon"), F.col("event_id").alias("trained_at"), F.col("value").alias("mae"))
+    return prices.upsert(e.where("trained_at % 2 = 0"), e.where("trained_at % 2 = 1"), ["model", "horizon"], ["trained_at"])
