@@ -260,9 +260,13 @@ def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     printed = materialize(fingerprints(docs, fp, width), "simhash-docs")
     # Only narrow rows meet the components; the survivors' ids then pick the whole documents.
     narrow = join_unique(printed.select("doc_id", F.col(fp).alias("fp")), component_ids(printed.select("doc_id", fp), fp, "doc_id"), "fp", "n")
-    survivors = narrow.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"), F.col("fp").alias("print")).distinct()
-    kept = printed.join(survivors, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col(fp) == F.col("print")), "left_semi")
-    n = unused_name(kept, "simhash_n")
+    alive = narrow.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    m, n = unused_name(printed, "simhash_m"), unused_name(printed, "simhash_n")
+    survivors = alive.groupBy(F.col("doc_id").alias("id"), F.col("fp").alias("print")).agg(F.count(F.lit(1)).alias(m)).alias("s")
+    d = printed.alias("d")
+    kept = d.join(survivors, F.col("d.doc_id").eqNullSafe(F.col("s.id")) & (F.col(f"d.`{fp}`") == F.col("s.print"))).select("d.*", F.col(f"s.`{m}`"))
+    # Only rows that share id and fingerprint have to be told apart; the others move once.
     others = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")]
     first = Window.partitionBy("doc_id", fp).orderBy(F.col("text").asc_nulls_first(), *others)
-    return kept.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).select(*[f"`{c}`" for c in docs.columns])
+    repeated = kept.where(F.col(m) > 1).withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n)
+    return kept.where(F.col(m) == 1).unionByName(repeated).select(*[f"`{c}`" for c in docs.columns])
