@@ -36,12 +36,18 @@ def dedupe_first(df: DataFrame, keys: list[str], order: list[str]) -> tuple[Data
 
 
 def cancel_reversals(tx: DataFrame, id_col: str, ref_col: str, is_reversal: Column) -> tuple[DataFrame, DataFrame]:
-    """(kept, cancelled): reversals and every row that one names.  A reversal without a reference cancels itself alone."""
-    named = tx.where(is_reversal & F.col(ref_col).isNotNull()).select(F.col(ref_col).alias("_ref")).distinct()
-    rest = tx.where(~F.coalesce(is_reversal, F.lit(False)))
-    kept = rest.join(named, F.col(id_col) == F.col("_ref"), "left_anti")
-    cancelled = rest.join(named, F.col(id_col) == F.col("_ref"), "left_semi").unionByName(tx.where(is_reversal))
-    return kept, cancelled.withColumn("motivo", F.lit("reversa"))
+    """(kept, cancelled): reversals and every row that one names.  A reversal without a reference cancels itself alone.
+
+    A reversal is dealt to the row that it names, so one window decides instead of a join of the table
+    with itself; rows are read once, and a previous shuffle by id serves again.
+    """
+    reversal = F.coalesce(is_reversal, F.lit(False))
+    target = F.when(reversal, F.coalesce(F.col(ref_col), F.col(id_col))).otherwise(F.col(id_col))
+    marked = tx.withColumn("_target", target).withColumn("_cancelled", F.coalesce(F.max(reversal).over(Window.partitionBy("_target")), F.lit(False)))
+    # Rows without an id are named by nobody.
+    gone = F.col("_cancelled") & (F.col("_target").isNotNull() | reversal)
+    kept = marked.where(~gone).drop("_target", "_cancelled")
+    return kept, marked.where(gone).drop("_target", "_cancelled").withColumn("motivo", F.lit("reversa"))
 
 
 def row_filter(df: DataFrame, max_null_ratio: float, bounds: dict[str, tuple[float, float]]) -> DataFrame:
