@@ -41,14 +41,21 @@ MAGIC, BLOCK, END_ID = b"MRPACK1\0", 1 << 14, 0
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     wide = np.ascontiguousarray(ids, dtype=">u4").view(np.uint8).reshape(-1, 4)
+    if bits % 8 == 0:  # whole bytes need no shifting
+        return wide[:, 4 - bits // 8 :].tobytes()
     return np.packbits(np.unpackbits(wide, axis=1)[:, 32 - bits :]).tobytes()
 
 
 def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
-    rows = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits).reshape(n, bits)
-    wide = np.zeros((n, 32), np.uint8)
-    wide[:, 32 - bits :] = rows
-    return np.packbits(wide, axis=1).view(">u4").ravel().astype(np.uint32)
+    if bits % 8 == 0:
+        wide = np.zeros((n, 4), np.uint8)
+        wide[:, 4 - bits // 8 :] = np.frombuffer(data, np.uint8, n * bits // 8).reshape(n, -1)
+    else:
+        rows = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits).reshape(n, bits)
+        padded = np.zeros((n, 32), np.uint8)
+        padded[:, 32 - bits :] = rows
+        wide = np.packbits(padded, axis=1)
+    return wide.view(">u4").ravel().astype(np.uint32)
 
 
 class ShardWriter:
@@ -146,7 +153,8 @@ def library_encoder(path: str) -> tuple[Callable[[list], list[bytes]], int]:
 
     def encode(texts: list) -> list[bytes]:
         parts = [PART.findall(t) if t else [] for t in texts]
-        new = list({p for ps in parts for p in ps if p not in known})
+        found = [list(map(known.get, ps)) for ps in parts]
+        new = list({p for ps, ids in zip(parts, found, strict=True) if None in ids for p, i in zip(ps, ids, strict=True) if i is None})
         fresh: dict[str, bytes] = {}
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
@@ -154,7 +162,7 @@ def library_encoder(path: str) -> tuple[Callable[[list], list[bytes]], int]:
                 fresh[p] = np.array(e.ids, "<u4").tobytes()
         for p in new[: max(0, CACHE - len(known))]:
             known[p] = fresh[p]
-        return [b"".join([known.get(p) or fresh[p] for p in ps]) for ps in parts]
+        return [b"".join([fresh[p] if i is None else i for p, i in zip(ps, ids, strict=True)] if None in ids else ids) for ps, ids in zip(parts, found, strict=True)]
 
     return encode, max(1, (library.get_vocab_size() - 1).bit_length())
 
