@@ -97,7 +97,7 @@ def method_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 _R = lambda c: f"round({c}, 5) AS {c}"
 
 
-@query(f"""WITH {SERIES_SQL} SELECT fuel_type, date, isodow(date) - 1 AS weekday, month(date) AS month, CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend, weekofyear(date) AS iso_week,
+@query(f"""WITH {SERIES_SQL} SELECT fuel_type, date, CAST(isodow(date) - 1 AS INTEGER) AS weekday, CAST(month(date) AS INTEGER) AS month, CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend, CAST(weekofyear(date) AS INTEGER) AS iso_week,
   {_R('lag_1')}, {_R('lag_2')}, {_R('lag_3')}, {_R('lag_4')}, {_R('rolling_mean_3')}, {_R('rolling_std_3')}, {_R('recent_change')}, round(t1, 5) AS target_price_h1, round(t2, 5) AS target_price_h2, round(t4, 5) AS target_price_h4,
   {TREND.format('(t1 - price)')} AS target_trend_h1, {TREND.format('(t2 - price)')} AS target_trend_h2, {TREND.format('(t4 - price)')} AS target_trend_h4 FROM feat""")
 def price_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.hash_split(T.read(spark, sf_dir, "orders"), "o_orderkey", {"train": 60, "validation": 20, "test": 20}).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT o_orderstatus, fold, count(*) AS n, min(o_orderkey) AS least FROM (SELECT *, ntile(6) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS fold FROM orders) GROUP BY 1, 2")
+@query("SELECT o_orderstatus, CAST(fold AS INTEGER) AS fold, count(*) AS n, min(o_orderkey) AS least FROM (SELECT *, ntile(6) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS fold FROM orders) GROUP BY 1, 2")
 def forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = evaluate.forward_folds(T.read(spark, sf_dir, "orders"), "o_orderstatus", "o_orderkey", 5)
     return o.groupBy("o_orderstatus", "fold").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("least"))
@@ -69,7 +69,7 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.training_rows(t, ["k"], ["q"], "tax", 100).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {DEMAND_SQL} SELECT store, date, month(date) AS month, round(datediff('day', (SELECT min(date) FROM demand), date) / 365.25::DOUBLE, 6) AS years, CAST(competitor_price_per_kg < price_per_kg AS INTEGER) AS competitor_cheaper FROM demand""")
+@query(f"""WITH {DEMAND_SQL} SELECT store, date, CAST(month(date) AS INTEGER) AS month, round(datediff('day', (SELECT min(date) FROM demand), date) / 365.25::DOUBLE, 6) AS years, CAST(competitor_price_per_kg < price_per_kg AS INTEGER) AS competitor_cheaper FROM demand""")
 def demand_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = demand(spark, sf_dir)
     return features.demand_features(d, features.first_day(d)).select("store", "date", "month", F.round("years", 6).alias("years"), "competitor_cheaper")
