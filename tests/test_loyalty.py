@@ -119,3 +119,25 @@ def test_neighbour_gaps_match_a_global_window(spark):
 def test_row_filter(spark):
     df = spark.createDataFrame([(1, 2, 3, 4), (1, 2, 3, 4), (None, None, None, 1), (None, None, 3, 1), (11, 1, 1, 1), (None, 1, 1, 1)], "a int, b int, c int, d int")
     assert quality.row_filter(df, 0.5, {"a": (0, 10)}).count() == 3
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_ledger_invariants(seed):
+    """FIFO and LIFO redeem the same in total when nothing expires, and lots always equal movements."""
+    import random
+
+    rng = random.Random(seed)
+    lots = pd.DataFrame([(f"L{i}", "g", D(2024, 1 + i % 12, 28), D(2030, 2, 5), rng.randint(1, 90)) for i in range(12)], columns=["lot_id", "group_id", "available_from", "expires_on", "points"])
+    asked = pd.DataFrame([(f"r{i}", "h", D(2024, rng.randint(1, 12), rng.randint(1, 28)), rng.randint(1, 150)) for i in range(15)], columns=["request_id", "client_id", "date", "points"])
+    group = pd.DataFrame([("h", None)], columns=["holder_id", "merged_since"])
+    spent = {}
+    for order in ("fifo", "lifo"):
+        out = ledger.fold_group(lots, asked, group, [], order)
+        spent[order] = sum(x[4] for x in out if x[2] == "canje")
+        left = {x[0]: x[7] for x in out if x[2] == "saldo"}
+        per_lot = {}
+        for x in out:
+            if x[2] in ("acumulacion", "canje"):
+                per_lot[x[0]] = per_lot.get(x[0], 0) + x[4]
+        assert per_lot == left and min(left.values()) >= 0
+    assert spent["fifo"] == spent["lifo"]
