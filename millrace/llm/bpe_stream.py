@@ -37,7 +37,7 @@ BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A part: blanks and what follows them up to the next blank.  No token crosses its ends.
 PART = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 #: So many parts and stable pairs are remembered by each worker.
-CACHE, PAIRS = 700_000, 1_000_000
+CACHE, PAIRS = 300_000, 200_000
 #: A run of more characters than this is encoded while it is still open.
 HOLD = 4096
 
@@ -107,9 +107,9 @@ class MergeList:
         """Whether two tokens side by side encode to themselves."""
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.merge(self.bytes[a] + self.bytes[b]) == [a, b]
+            found = self.merge(self.bytes[a] + self.bytes[b]) == [a, b]
+            if len(self.pairs) < PAIRS:
+                self.pairs[a, b] = found
         return found
 
 
