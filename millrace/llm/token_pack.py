@@ -33,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe_stream import CACHE, PART, TOKENIZER, tokenizer_file
+from millrace.llm.bpe_stream import PART, TOKENIZER, tokenizer_file
 from millrace.llm.common import fresh_path, materialize, open_shared
 
 MAGIC, BLOCK, END_ID = b"MRPACK1\0", 1 << 14, 0
+#: So many parts of texts are remembered by each worker, with their ids.
+KNOWN = 700_000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -160,7 +162,7 @@ def library_encoder(path: str) -> tuple[Callable[[list], list[bytes]], int]:
             some = new[at : at + 4096]
             for p, e in zip(some, library.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 fresh[p] = np.array(e.ids, "<u4").tobytes()
-        for p in new[: max(0, CACHE - len(known))]:
+        for p in new[: max(0, KNOWN - len(known))]:
             known[p] = fresh[p]
         return [b"".join([fresh[p] if i is None else i for p, i in zip(ps, ids, strict=True)] if None in ids else ids) for ps, ids in zip(parts, found, strict=True)]
 
