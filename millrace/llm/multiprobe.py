@@ -146,8 +146,10 @@ def nearest(
     visits = asked.mapInArrow(probed, "dim long, t long, bucket long, q1 long, q2 long")
     found = materialize(_compare(index, sizes, visits, asked, neighbours, block), "ann-found")
 
-    # Too few candidates in the visited buckets: these queries see every bucket of the first table.
-    enough = found.groupBy("q1", "q2").agg(F.sum(F.size("ids")).alias("n")).where(F.col("n") > neighbours)
+    # Too few candidates in the visited buckets: these queries see every bucket of the first table.  An id that both
+    # tables found counts once, and more than `neighbours` of them leave enough when the query's own is one of them.
+    met = found.select("q1", "q2", F.explode("ids").alias("id")).distinct()
+    enough = met.groupBy("q1", "q2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > neighbours)
     short = asked.join(enough, (F.col("h1") == F.col("q1")) & (F.col("h2") == F.col("q2")), "left_anti")
     short = short.select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), F.size("vec").cast("long").alias("dim"))
     rest = short.join(sizes.where("t = 0").select("dim", "t", "bucket"), "dim").select("dim", "t", "bucket", "q1", "q2")
