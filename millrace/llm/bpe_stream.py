@@ -7,9 +7,16 @@ those of shorter prefixes, one byte at a time.  Any token still to come begins w
 make; where the encodings of all prefixes in that window share a beginning, that beginning can change
 no more and is emitted.  Only the window and the unshared end are kept.
 
-Texts are cut first where the tokenizer cuts them: at special tokens, then into runs of letters,
-numbers, other characters and blanks.  The cut needs a lookahead of two characters.  Parts between
-blanks recur, so their ids are kept in a cache of bounded size.
+Whether a pair is stable is read off the merge list.  Merges happen in rank order, so the right edge of
+the left token is at each time one token of its right spine (itself, its right half, the right half of
+that, and so on), the left edge of the right token one of its left spine, and each is there until the
+rank at which the next larger one is made.  The pair is stable if no two edges that stand side by side
+when the rank of their merge comes have a merge.
+
+Texts come in pieces and are cut first where the tokenizer cuts them: at special tokens, then into runs
+of letters, numbers, other characters and blanks.  The cut needs a lookahead of two characters.  Parts
+between blanks recur, so the codes of the last ones met are kept, in two generations of bounded size; a
+part that grows beyond HOLD characters is encoded while it is still open.
 
 Defined cases: null and empty texts have no tokens; texts of any length are encoded whole; repeated rows
 are encoded alike; an empty table gives an empty result; null ids are carried; other columns are ignored.
@@ -18,13 +25,13 @@ are encoded alike; an empty table gives an empty result; null ids are carried; o
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import json
 import re
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +43,15 @@ TOKENIZER = "byte_bpe_50k.json"
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A part: blanks and what follows them up to the next blank.  No token crosses its ends.
 PART = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
-#: So many parts and stable pairs are remembered by each worker.
-CACHE, PAIRS = 300_000, 200_000
-#: A run of more characters than this is encoded while it is still open.
+#: So many parts, pairs of tokens and beginnings of runs are remembered by each worker before it starts anew.
+CACHE, PAIRS, HEADS = 350_000, 200_000, 100_000
+#: Runs that begin with the same bytes share the work for so many of them, or for the lesser number.
+LONG_HEAD, SHORT_HEAD = 7, 4
+#: A part of more characters than this is encoded while it is still open.
 HOLD = 4096
+#: Texts are handed to the encoder in pieces of so many characters.
+PIECE = 1 << 16
+SHIFT, NEVER = 20, 1 << 60
 
 
 def tokenizer_file(name: str = TOKENIZER) -> str:
@@ -75,41 +87,64 @@ class MergeList:
             self.bytes[i] = b
         for s, i in self.specials.items():
             self.bytes[i] = s.encode()
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.sizes = list(map(len, self.bytes))
+        #: Rank of the merge of a pair, under left << SHIFT | right.
+        self.ranks: dict[int, int] = {}
+        #: For each token the edges that its right (left) end shows to a neighbour: token (shifted for the
+        #: right end) and the rank at which the next larger one replaces it.
+        self.right: list[tuple] = [((i << SHIFT, NEVER),) for i in range(size)]
+        self.left: list[tuple] = [((i, NEVER),) for i in range(size)]
+        made = [-1] * size  # rank at which a token is made from its own bytes
+        #: Tokens that encode to themselves, by their bytes; the others occur in no encoding.
+        self.whole = {bytes([b]): self.ids[bytes([b])] for b in range(256)}
+        merges = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = map(as_bytes, pair.split(" ") if isinstance(pair, str) else pair)
-            self.merges[self.ids[left], self.ids[right]] = rank, self.ids[left + right]
+            merges.append((self.ids[left], self.ids[right], self.ids[left + right]))
+            self.ranks[merges[-1][0] << SHIFT | merges[-1][1]] = rank
+        for rank, (left, right, token) in enumerate(merges):
+            if made[left] >= rank or made[right] >= rank:
+                raise ValueError("a merge comes before those of its halves")
+            both = self.bytes[left] in self.whole and self.bytes[right] in self.whole
+            if both and self.bytes[token] not in self.whole and self._apart(left, right, rank):
+                made[token] = rank
+                self.whole[self.bytes[token]] = token
+                self.right[token] += ((self.right[right][0][0], rank), *self.right[right][1:])
+                self.left[token] += ((left, rank), *self.left[left][1:])
+        #: The last pairs asked for, and whether they are stable.
+        self.pairs: dict[int, bool] = {}
+        #: Last tokens of the prefixes of the beginnings last met.
+        self.heads: dict[bytes, list[int]] = {}
         #: Bytes within which every later token begins.
         self.lookahead = max(map(len, self.ids))
-        #: Known pairs of neighbours, and whether they are stable.
-        self.pairs: dict[tuple[int, int], bool] = {}
-        #: Tokens by their bytes from the last to the first; key -1 holds the token that begins there.
-        #: Those that do not encode to themselves occur in no encoding and are left out.
+        #: Tokens by their bytes from the last to the first: byte -> (the token that begins there or None, the same table for one byte more).
         self.ending: dict = {}
-        for b, i in self.ids.items():
-            if self.merge(b) == [i]:
-                node = self.ending
-                for byte in reversed(b):
-                    node = node.setdefault(byte, {})
-                node[-1] = i
-
-    def merge(self, data: bytes) -> list[int]:
-        """Merges applied one by one in rank order: the definition, for short strings."""
-        out = [self.ids[data[i : i + 1]] for i in range(len(data))]
-        while len(out) > 1:
-            best = min((self.merges.get(p, (1 << 60, 0)) + (i,) for i, p in enumerate(zip(out, out[1:], strict=False))), key=lambda x: (x[0], x[2]))
-            if best[0] == 1 << 60:
-                break
-            out[best[2] : best[2] + 2] = [best[1]]
-        return out
+        for b, i in self.whole.items():
+            node = self.ending
+            for byte in reversed(b[1:]):
+                node = node.setdefault(byte, (None, {}))[1]
+            node[b[0]] = i, node[b[0]][1] if b[0] in node else {}
+        #: The first token of a run has this neighbour, with which all tokens are stable.
+        self.start = size
+        self.right.append(())
+
+    def _apart(self, a: int, b: int, before: int) -> bool:
+        """Whether no merge of a rank below `before` joins the edges of two neighbours."""
+        rank_of = self.ranks.get
+        for x, x_end in self.right[a]:
+            for y, y_end in self.left[b]:
+                rank = rank_of(x | y)
+                # Equal ranks are equal pairs, and of these the leftmost is merged first.
+                if rank is not None and rank < before and rank < x_end and rank <= y_end:
+                    return False
+        return True
 
     def stable(self, a: int, b: int) -> bool:
         """Whether two tokens side by side encode to themselves."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            found = self.merge(self.bytes[a] + self.bytes[b]) == [a, b]
-            if len(self.pairs) < PAIRS:
-                self.pairs[a, b] = found
+        found = self._apart(a, b, NEVER)
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        self.pairs[a << SHIFT | b] = found
         return found
 
 
@@ -119,37 +154,63 @@ class Transducer:
     def __init__(self, table: MergeList) -> None:
         self.table = table
         self.data = bytearray()  # bytes not yet emitted
-        self.last = [-1]  # last token of each prefix of data; -1 at its beginning
-        self.before: int | None = None  # the token emitted last
+        self.last = [table.start]  # last token of each prefix of data; before it the token emitted last
 
     def push(self, more: bytes) -> list[int]:
-        table, data, last, longest = self.table, self.data, self.last, self.table.lookahead
-        known, stable, ending = table.pairs.get, table.stable, table.ending
-        out: list[int] = []
-        for byte in more:
-            data.append(byte)
-            end = at = len(data)
-            node, found = ending, -2  # -2: no encoding ends here beside the tokens already emitted
-            while at and (node := node.get(data[at - 1])) is not None:
-                at -= 1
-                if -1 in node:
-                    token = node[-1]
-                    previous = last[at] if at else self.before
-                    if previous is None or (previous >= 0 and ((yes := known((previous, token))) or (yes is None and stable(previous, token)))):
+        most, out = 4 * self.table.lookahead, []
+        for at in range(0, len(more), most):
+            self._read(more[at : at + most])
+            if len(self.data) >= most:
+                out += self._settle()
+        return out
+
+    def _read(self, more: bytes) -> None:
+        if len(self.last) == 1 and self.last[0] == self.table.start and len(more) > SHORT_HEAD:
+            # A run begins: what is known of another run with the same beginning holds for it.
+            heads, size = self.table.heads, LONG_HEAD if len(more) > LONG_HEAD else SHORT_HEAD
+            known = heads.get(more[:size])
+            if known is None:
+                if size > SHORT_HEAD and (shorter := heads.get(more[:SHORT_HEAD])):
+                    self.last[:] = shorter
+                    self.data += more[:SHORT_HEAD]
+                elif size > SHORT_HEAD:
+                    self._step(more[:SHORT_HEAD])
+                    heads[more[:SHORT_HEAD]] = self.last.copy()
+                self._step(more[len(self.data) : size])
+                if len(heads) >= HEADS:
+                    heads.clear()
+                heads[more[:size]] = self.last.copy()
+            else:
+                self.last[:] = known
+                self.data += more[:size]
+            more = more[size:]
+        self._step(more)
+
+    def _step(self, more: bytes) -> None:
+        data, last = self.data, self.last
+        ending, stable, known = self.table.ending, self.table.stable, self.table.pairs.get
+        begun = len(data)
+        data += more
+        for at in range(begun, len(data)):
+            found, table = -2, ending  # -2: no encoding ends here beside the tokens already emitted
+            while at >= 0 and (node := table.get(data[at])):
+                token, table = node
+                if token is not None and (previous := last[at]) >= 0:
+                    yes = known(previous << SHIFT | token)
+                    if yes or (yes is None and stable(previous, token)):
                         found = token
                         break
+                at -= 1
             last.append(found)
-            if end >= 4 * longest:
-                out += self._settle()
-                last = self.last
-        return out
 
     def _path(self, end: int) -> list[int]:
-        path = []
+        path, last, sizes = [], self.last, self.table.sizes
         while end > 0:
-            path.append(self.last[end])
-            end -= len(self.table.bytes[self.last[end]])
-        return path[::-1]
+            token = last[end]
+            path.append(token)
+            end -= sizes[token]
+        path.reverse()
+        return path
 
     def _settle(self) -> list[int]:
         """Emit what the encodings of all prefixes in the window share."""
@@ -158,23 +219,26 @@ class Transducer:
         while len(live) > 1:
             furthest = max(live)
             live.remove(furthest)
-            live.add(furthest - len(self.table.bytes[self.last[furthest]]))
+            live.add(furthest - self.table.sizes[self.last[furthest]])
         shared = live.pop()
         if not shared:
             return []
         out = self._path(shared)
-        self.before = out[-1]
         del self.data[:shared]
-        self.last = [-1, *self.last[shared + 1 :]]
+        self.last = [out[-1], *self.last[shared + 1 :]]
         return out
 
     def finish(self) -> list[int]:
         out = self._path(len(self.data))
         self.data.clear()
-        self.last, self.before = [-1], None
+        self.last = [self.table.start]
         return out
 
 
+#: Ids as little-endian uint32, their decimal list, and the bytes that they decode to.
+Code = tuple[bytes, bytes, bytes]
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         import regex
@@ -183,46 +247,41 @@ class Encoder:
         self.run = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
         self.kinds = [regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", rf"[^{BLANK}\p{{L}}\p{{N}}]+", f"[{BLANK}]+")]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.table.specials, key=len, reverse=True))) + ")") if self.table.specials else None
-        self.parts: dict[str, tuple[bytes, bytes, bytes]] = {}
         self.decimal = [b"%d" % i for i in range(len(self.table.bytes))]
+        self.machine = Transducer(self.table)
+        self.young: dict[str, Code] = {}
+        self.old: dict[str, Code] = {}
+
+    def code(self, ids: list[int]) -> Code:
+        return struct.pack(f"<{len(ids)}I", *ids), b",".join(map(self.decimal.__getitem__, ids)), b"".join(map(self.table.bytes.__getitem__, ids))
 
     def _run_ids(self, run: str) -> list[int]:
         data = run.encode("utf-8", "surrogatepass")
-        whole = self.table.ids.get(data)
-        if whole is not None and self.table.merge(data) == [whole]:
+        whole = self.table.whole.get(data)
+        if whole is not None:
             return [whole]
-        transducer = Transducer(self.table)
-        return transducer.push(data) + transducer.finish()
+        return self.machine.push(data) + self.machine.finish()
 
-    def part(self, part: str) -> tuple[bytes, bytes, bytes]:
-        """Ids of a part as little-endian uint32, their decimal list, and the bytes that they decode to."""
-        found = self.parts.get(part)
+    def part(self, part: str) -> Code:
+        """The code of a part; the younger generation remembers it."""
+        found = self.old.get(part)
         if found is None:
-            ids = [i for m in self.run.finditer(part) for i in self._run_ids(m[0])]
-            found = self._facts(ids)
-            if len(self.parts) < CACHE and len(part) < 64:
-                self.parts[part] = found
+            found = self.code([i for m in self.run.finditer(part) for i in self._run_ids(m[0])])
+        if len(part) < 64:
+            if len(self.young) >= CACHE:
+                self.old, self.young = self.young, {}
+            self.young[part] = found
         return found
 
-    def _facts(self, ids: list[int]) -> tuple[bytes, bytes, bytes]:
-        return struct.pack(f"<{len(ids)}I", *ids), b",".join(map(self.decimal.__getitem__, ids)), b"".join(map(self.table.bytes.__getitem__, ids))
-
-    def coded(self, text: str) -> Iterator[tuple[bytes, bytes, bytes]]:
-        """Part by part, what `part` tells of each."""
-        pieces = self.special.split(text) if self.special and any(s in text for s in self.table.specials) else [text]
-        known, part = self.parts, self.part
-        for k, piece in enumerate(pieces):
-            if k % 2:
-                yield self._facts([self.table.specials[piece]])
-            else:
-                yield from [known.get(p) or part(p) for p in PART.findall(piece)]
-
     def encode(self, text: str) -> list[int]:
-        """All ids of a text that is at hand as a whole."""
-        return np.frombuffer(b"".join([p[0] for p in self.coded(text)]), "<u4").tolist()
+        """All ids of a text."""
+        return self.ids(_pieces(text))
 
-    def stream(self, pieces: Iterable[str]) -> Iterator[int]:
-        """Ids of a text that comes in pieces, in constant memory whatever its length and its runs'."""
+    def ids(self, pieces: Iterable[str]) -> list[int]:
+        return np.frombuffer(b"".join([c[0] for some in self.stream(pieces) for c in some]), "<u4").tolist()
+
+    def stream(self, pieces: Iterable[str]) -> Iterator[list[Code]]:
+        """Codes of a text that comes in pieces; in constant memory whatever its length and its parts'."""
         hold = max([HOLD, *(len(s) for s in self.table.specials)])
         buffer, opened, kind, closed = "", None, None, False
         source = iter(pieces)
@@ -237,50 +296,52 @@ class Encoder:
             safe = len(buffer) if closed else self._safe_end(buffer)
             at = 0
             while at < safe:
+                special = self.special.search(buffer, at, safe) if self.special else None
+                until = special.start() if special else safe
                 if opened:
-                    m = kind.match(buffer, at, safe)
+                    m = kind.match(buffer, at, until)
                     end = m.end() if m else at
-                    special = self.special.search(buffer, at, safe) if self.special else None
-                    if special and special.start() < end:
-                        yield from opened.push(buffer[at : special.start()].encode("utf-8", "surrogatepass"))
-                        yield from opened.finish()
-                        opened, at = None, special.start()
-                        continue
                     # The last blank of a run goes with what follows it; so one character stays back.
                     more = end == safe and not closed
-                    blank_before_text = kind is self.kinds[3] and end < safe
-                    stop = end - 1 if more or (blank_before_text and not (self.special and self.special.match(buffer, end))) else end
-                    yield from opened.push(buffer[at:stop].encode("utf-8", "surrogatepass"))
-                    at = stop
+                    blank_before_text = kind is self.kinds[3] and end < until
+                    yield [self.code(opened.push(buffer[at : end - 1 if more or blank_before_text else end].encode("utf-8", "surrogatepass")))]
+                    at = end - 1 if more or blank_before_text else end
                     if more:
                         break
-                    yield from opened.finish()
+                    yield [self.code(opened.finish())]
                     opened = None
                     continue
-                special = self.special.search(buffer, at, safe) if self.special else None
-                until = special.start() if special else safe
                 if special and special.start() == at:
-                    yield self.table.specials[special[0]]
+                    yield [self.code([self.table.specials[special[0]]])]
                     at = special.end()
                     continue
+                parts = PART.findall(buffer, at, until)
+                whole = closed or special is not None
+                if not whole:
+                    at = until - len(parts.pop())  # the last part is still open
+                known, part = self.young.get, self.part
+                yield [known(p) or part(p) for p in parts]
+                if whole:
+                    at = until
+                    continue
+                if until - at <= hold:
+                    break
+                # A long open part: its runs one by one, and one that fills the rest as it comes.
                 m = self.run.match(buffer, at, until)
-                sure = closed or special is not None or (m.end() < until and m.start() + 3 <= until)
-                if sure:
-                    yield from self._run_ids(m[0])
+                while m.end() < until and m.start() + 3 <= until:
+                    yield [self.code(self._run_ids(m[0]))]
                     at = m.end()
-                elif m.end() == until and m.end() - at > hold:
-                    # One open run fills the rest: encode it as it comes.
+                    m = self.run.match(buffer, at, until)
+                if m.end() == until and m.end() - at > hold:
                     opened = Transducer(self.table)
                     kind = next(k for k in self.kinds if k.match(m[0][-1]))
-                    yield from opened.push(buffer[at : until - 1].encode("utf-8", "surrogatepass"))
+                    yield [self.code(opened.push(buffer[at : until - 1].encode("utf-8", "surrogatepass")))]
                     at = until - 1
-                    break
-                else:
-                    break
+                break
             buffer = buffer[at:]
             if closed:
                 if opened:
-                    yield from opened.finish()
+                    yield [self.code(opened.finish())]
                 return
 
     def _safe_end(self, buffer: str) -> int:
@@ -313,23 +374,29 @@ class Decoder:
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    found = Encoder(path)
+    gc.freeze()  # the tables stay for the worker's life; no collection needs to walk them
+    return found
+
+
+def _pieces(text: str) -> Iterator[str]:
+    return (text[at : at + PIECE] for at in range(0, len(text), PIECE)) if len(text) > PIECE else iter((text,))
 
 
-def digests(text: str | None, codec: Encoder, ids: list[bytes] | None = None, step: int = 1 << 16) -> tuple[int, str, str]:
-    """Number of ids, SHA-256 of their decimal list, SHA-256 of the decoded text; `step` parts at a time.
+def digests(text: str | None, codec: Encoder, ids: list[bytes] | None = None) -> tuple[int, str, str]:
+    """Number of ids, SHA-256 of their decimal list, SHA-256 of the decoded text, all as the ids come.
 
     The ids themselves are added to `ids`, if given, as little-endian uint32.
     """
     listed, decoded, decoder, n = hashlib.sha256(), hashlib.sha256(), Decoder(codec.table), 0
-    parts = codec.coded(text or "")
-    while some := list(islice(parts, step)):
-        packed = b"".join([p[0] for p in some])
-        listed.update((b"," if n else b"") + b",".join([p[1] for p in some]))
-        decoded.update(decoder.push_bytes(b"".join([p[2] for p in some])).encode("utf-8", "surrogatepass"))
-        n += len(packed) // 4
-        if ids is not None:
-            ids.append(packed)
+    for some in codec.stream(_pieces(text or "")):
+        packed = b"".join([c[0] for c in some])
+        if packed:
+            listed.update((b"," if n else b"") + b",".join([c[1] for c in some if c[1]]))
+            decoded.update(decoder.push_bytes(b"".join([c[2] for c in some])).encode("utf-8", "surrogatepass"))
+            n += len(packed) // 4
+            if ids is not None:
+                ids.append(packed)
     decoded.update(decoder.finish().encode())
     return n, listed.hexdigest(), decoded.hexdigest()
 
