@@ -22,6 +22,7 @@ are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -33,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe_stream import PART, TOKENIZER, tokenizer_file
+from millrace.llm.bpe_stream import BLANK, PART, TOKENIZER, byte_letters, tokenizer_file
 from millrace.llm.common import fresh_path, materialize, open_shared
 
 MAGIC, BLOCK, END_ID = b"MRPACK1\0", 1 << 14, 0
-#: So many parts of texts are remembered by each worker, with their ids.
-KNOWN = 700_000
+#: So many parts of texts make one of the two generations that each worker remembers, with their ids.
+KNOWN = 400_000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -143,7 +144,9 @@ class ShardReader:
 def library_encoder(path: str) -> tuple[Callable[[list], list[bytes]], int]:
     """texts -> ids as little-endian uint32 bytes, by the tokenizers library; and the bits of an id.
 
-    The library encodes the parts between blanks, whose ids do not depend on what surrounds them; recurring parts are remembered.
+    The ids of a part between blanks do not depend on what surrounds it.  Those of the parts last met are
+    remembered in two generations; the others are joined to one text, which the library encodes, and its
+    ids are cut again where the parts end.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -151,22 +154,46 @@ def library_encoder(path: str) -> tuple[Callable[[list], list[bytes]], int]:
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
-    known: dict[str, bytes] = {}
+    letters = {letter: 1 for letter in byte_letters()}
+    size = library.get_vocab_size()
+    special = {i: t.content for i, t in library.get_added_tokens_decoder().items()}
+    #: Bytes of text that each id stands for: one letter of the vocabulary is one byte.
+    width = np.array([len(special[i].encode()) if i in special else sum(letters.get(c, 1) for c in library.id_to_token(i) or "") for i in range(size)])
+    apart = re.compile(f"[{BLANK}].*[^{BLANK}]", re.S).fullmatch
+    young: dict[str, bytes] = {}
+    old: dict[str, bytes] = {}
+
+    def ids_of(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(parts: list[str]) -> dict[str, bytes]:
+        # A part that begins with a blank and ends without one keeps its ids beside others of the kind.
+        joined = [p for p in parts if apart(p)]
+        alone = [p for p in parts if not apart(p)]
+        found = {p: ids.tobytes() for p, ids in zip(alone, ids_of(alone), strict=True)}
+        for at in range(0, len(joined), 8192):
+            some = joined[at : at + 8192]
+            ids = ids_of(["".join(some)])[0]
+            ends = np.searchsorted(np.cumsum(width[ids]), np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in some])) + 1
+            data = ids.tobytes()
+            found.update(zip(some, [data[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], strict=True))
+        return found
 
     def encode(texts: list) -> list[bytes]:
+        nonlocal young, old
+        if len(young) > KNOWN:
+            old, young = young, {}
         parts = [PART.findall(t) if t else [] for t in texts]
-        found = [list(map(known.get, ps)) for ps in parts]
-        new = list({p for ps, ids in zip(parts, found, strict=True) if None in ids for p, i in zip(ps, ids, strict=True) if i is None})
-        fresh: dict[str, bytes] = {}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for p, e in zip(some, library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                fresh[p] = np.array(e.ids, "<u4").tobytes()
-        for p in new[: max(0, KNOWN - len(known))]:
-            known[p] = fresh[p]
-        return [b"".join([fresh[p] if i is None else i for p, i in zip(ps, ids, strict=True)] if None in ids else ids) for ps, ids in zip(parts, found, strict=True)]
-
-    return encode, max(1, (library.get_vocab_size() - 1).bit_length())
+        new = {p for ps in parts for p in ps if p not in young}
+        young.update((p, old[p]) for p in new if p in old)
+        young.update(learn([p for p in new if p not in old]))
+        coded = [b"".join(map(young.__getitem__, ps)) for ps in parts]
+        for p in new:
+            if len(p) >= 64:
+                del young[p]
+        return coded
+
+    return encode, max(1, (size - 1).bit_length())
 
 
 def _slices(values: pa.Array, most_bytes: int = 1 << 22) -> Iterator[tuple[int, int]]:
