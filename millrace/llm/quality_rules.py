@@ -1,10 +1,14 @@
 """Quality rules under weak supervision, in DataFrame functions only.
 
-Seven rules read counts of the whole text and vote good (1), bad (-1) or abstain (0).  A two-class
-model with one accuracy per rule and class is fitted to the votes by expectation-maximisation; a
-document is kept when its posterior probability of being good reaches `threshold`.  Votes of all
-documents enter the fit: they are counted by vote pattern first, at most 3**7 patterns however large
-the corpus, and the whole fit is one expression over that table.
+Seven rules read counts of the whole text and vote good (1), bad (-1) or abstain (0).  Junk comes in
+kinds, each of which sets off its own rules: a latent class model has one class of good documents and
+one for each kind in KINDS, and in each class every rule has a rate of voting bad when it votes at all.
+Rates and class shares are fitted to the votes by expectation-maximisation; a document is kept when its
+posterior probability of the good class reaches `threshold`.  So a rule that fires often beside good
+votes, such as that on length, is outvoted, and one bad vote of a rule that hardly ever fires on good
+documents decides.  The rates have Beta priors that weigh as much as PRIOR_SHARE of the corpus; nothing
+else bounds them.  Votes of all documents enter the fit: they are counted by vote pattern first, at most
+3**7 patterns however large the corpus, and the whole fit is one expression over that table.
 
 Defined cases: null or wordless text has all counts 0 and fails the base rule; texts of any length
 are counted whole; repeated rows are judged alike; an empty table gives an empty result; null ids
@@ -19,8 +23,13 @@ from pyspark.sql import functions as F
 from millrace.llm.common import let, materialize, unused_name, words_of
 
 RULES = ("length", "symbols", "lines", "repeats", "word_length", "capitals", "shouts")
-#: Bounds of a rule's error on good documents and of its reach on bad ones.
-ALARM_MOST, CATCH_LEAST = 0.002, 0.1
+#: Rules that a kind of junk sets off.  Short texts are no kind of their own: length is judged by how it goes with the rest.
+KINDS = {"repetition": ("lines", "repeats"), "shouting": ("capitals", "shouts"), "noise": ("symbols", "word_length")}
+#: Beta priors: mean rate of bad votes on good documents; on junk by rules of its kind, and by others; their weight.
+ALARM = {"length": 0.02, "symbols": 0.005, "lines": 0.005, "repeats": 0.005, "word_length": 0.01, "capitals": 0.01, "shouts": 0.01}
+CATCH, STRAY = 0.5, 0.05
+#: Weight of the priors of the good class and of a kind of junk, as shares of the corpus.
+PRIOR_SHARE, KIND_SHARE = 0.01, 0.001
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_shouts")
 
 
@@ -105,53 +114,51 @@ def votes(s: Column) -> Column:
     )
 
 
+def prior_rates() -> list[list[float]]:
+    """Mean rate of bad votes by class (good first) and rule."""
+    return [list(ALARM.values())] + [[CATCH if rule in own else STRAY for rule in RULES] for own in KINDS.values()]
+
+
 def fit_votes(patterns: DataFrame, rounds: int = 25) -> DataFrame:
     """patterns: votes array<int>, n long, one row per pattern.  Adds p_good, the posterior.
 
-    Starts from "bad if any rule says so".  Accuracies are bounded, so that the two classes cannot
-    turn into two kinds of junk or two languages: a rule that votes on good documents calls at most
-    ALARM_MOST of them bad, and calls at least CATCH_LEAST of the bad ones bad.
+    Starts from the rules' kinds: a bad vote makes its kind twenty times as likely as a good document.
     """
-    k = len(RULES)
-    table = F.sort_array(F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n"))))
+    rates = F.array(*[F.array(*[F.lit(x) for x in row]) for row in prior_rates()])
+    classes, rules = (F.sequence(F.lit(0), F.lit(k - 1)) for k in (1 + len(KINDS), len(RULES)))
+    weigh = lambda own: 0.02 + sum((F.when(F.get(F.col("votes"), RULES.index(r)) == -1, 20.0).otherwise(0.0) for r in own), F.lit(0.0))
+    begun = F.array(F.lit(1.0), *[weigh(own) for own in KINDS.values()])
+    table = F.sort_array(F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n"), begun.alias("begun"))))
+    summed = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    shares = lambda values: let(summed(values), lambda s: F.transform(values, lambda x: x / s))
 
     def fit(t: Column) -> Column:
-        start = F.transform(t, lambda p: F.when(F.exists(p["votes"], lambda v: v == -1), 0.1).otherwise(0.95).cast("double"))
-
-        def total(good: Column, pick) -> Column:
-            return F.aggregate(F.zip_with(t, good, pick), F.lit(0.0), lambda a, x: a + x)
-
-        def e_step(good: Column) -> Column:
-            g_all = total(good, lambda p, r: p["n"] * r)
-            b_all = total(good, lambda p, r: p["n"] * (1 - r))
-            rule = lambda j: F.struct(
-                total(good, lambda p, r: F.when(F.get(p["votes"], j) == 1, p["n"] * r).otherwise(0.0)).alias("gp"),
-                total(good, lambda p, r: F.when(F.get(p["votes"], j) == -1, p["n"] * r).otherwise(0.0)).alias("gm"),
-                total(good, lambda p, r: F.when(F.get(p["votes"], j) == 1, p["n"] * (1 - r)).otherwise(0.0)).alias("bp"),
-                total(good, lambda p, r: F.when(F.get(p["votes"], j) == -1, p["n"] * (1 - r)).otherwise(0.0)).alias("bm"),
-            )
-            bounded = lambda s: F.struct(
-                F.least((s["gm"] + 0.01) / (s["gp"] + s["gm"] + 1.0), F.lit(ALARM_MOST)).alias("alarm"),
-                F.least(F.greatest((s["bm"] + 0.5) / (s["bp"] + s["bm"] + 1.0), F.lit(CATCH_LEAST)), F.lit(0.999)).alias("catch"),
-            )
-            ratio = lambda s: let(
-                bounded(s), lambda a: F.struct(F.log((1 - a["alarm"]) / (1 - a["catch"])).alias("up"), F.log(a["alarm"] / a["catch"]).alias("down"))
-            )
-            weights = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: let(rule(j), ratio))
-            prior = F.log((g_all + 1) / (b_all + 1))
-
-            def posterior(model: Column) -> Column:
-                def one(p: Column) -> Column:
-                    pulls = F.zip_with(p["votes"], model["w"], lambda v, w: F.when(v == 1, w["up"]).when(v == -1, w["down"]).otherwise(0.0))
-                    score = F.aggregate(pulls, model["prior"], lambda a, x: a + x)
-                    return 1 / (1 + F.exp(-score))
-
-                return F.transform(t, one)
-
-            return let(F.struct(weights.alias("w"), prior.alias("prior")), posterior)
-
-        final = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda good, _: e_step(good))
-        return F.zip_with(t, final, lambda p, r: F.struct(p["votes"].alias("votes"), r.alias("p_good")))
+        everything = summed(F.transform(t, lambda p: p["n"]))
+
+        def step(state: Column) -> Column:
+            total = lambda pick: summed(F.zip_with(t, state, pick))
+
+            def rate(c: Column, j: Column) -> Column:
+                cast = lambda vote: total(lambda p, r: F.when(F.get(p["votes"], j) == vote, p["n"] * F.get(r, c)).otherwise(0.0))
+                weight = everything * F.when(c == 0, PRIOR_SHARE).otherwise(KIND_SHARE)
+                counts = F.struct(cast(-1).alias("bad"), cast(1).alias("good"), weight.alias("weight"))
+                # Null only where there are no documents at all.
+                return let(counts, lambda s: F.try_divide(s["bad"] + s["weight"] * F.get(F.get(rates, c), j), s["bad"] + s["good"] + s["weight"]))
+
+            share = lambda c: F.log((total(lambda p, r: p["n"] * F.get(r, c)) + 1) / (everything + len(KINDS) + 1))
+            model = F.transform(classes, lambda c: F.struct(share(c).alias("share"), F.transform(rules, lambda j: rate(c, j)).alias("rates")))
+            pull = lambda v, x: F.when(v == -1, F.log(x)).when(v == 1, F.log(1 - x)).otherwise(0.0)
+
+            def posterior(m: Column) -> Column:
+                scores = lambda p: F.transform(m, lambda k: F.aggregate(F.zip_with(p["votes"], k["rates"], pull), k["share"], lambda a, x: a + x))
+                relative = lambda s: let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
+                return F.transform(t, lambda p: let(let(scores(p), relative), shares))
+
+            return let(model, posterior)
+
+        start = F.transform(t, lambda p: let(p["begun"], shares))
+        final = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda state, _: step(state))
+        return F.zip_with(t, final, lambda p, r: F.struct(p["votes"].alias("votes"), F.get(r, F.lit(0)).alias("p_good")))
 
     return patterns.agg(let(table, fit).alias("fitted")).select(F.explode("fitted").alias("f")).select("f.votes", "f.p_good")
 
