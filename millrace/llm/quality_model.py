@@ -1,8 +1,10 @@
 """Quality classifier from weak labels: heuristic labellers, expectation-maximisation, a hashed linear scorer.
 
 Eight overlapping labellers vote good, bad or abstain on every document.  Expectation-maximisation over
-the vote patterns of the whole corpus estimates each labeller's accuracy on good and on bad documents;
-the posterior of a pattern is the soft label of its documents.  A linear scorer is then fitted to the
+the vote patterns of the whole corpus estimates how often each labeller votes bad on good documents and
+on each kind of junk in KINDS (a kind is what sets off the same labellers); the posterior probability
+of the good class is the soft label of a pattern's documents.  The rates have Beta priors that weigh as
+much as a small share of the corpus, and no other bounds.  A linear scorer is then fitted to the
 soft labels: hashed byte trigrams (relative frequencies) and hashed bins of the labellers' measures.
 Every document is scored over its whole text; `kept` is score >= threshold.
 
@@ -28,8 +30,11 @@ from millrace.llm.common import materialize
 
 LABELLERS = ("length", "symbols", "bars", "lines", "variety", "capitals", "shouts", "letters")
 BUCKETS, BINS, PIECE = 1 << 16, 16, 1 << 20
-#: A labeller that votes calls at most so many good documents bad, and at least so many bad ones.
-ALARM_MOST, CATCH_LEAST = 0.002, 0.1
+#: Labellers that a kind of junk sets off; short text is no kind of its own.
+KINDS = {"repetition": ("lines", "variety"), "shouting": ("capitals", "shouts"), "noise": ("symbols", "letters"), "tables": ("bars",)}
+#: Beta priors: mean rate of bad votes on good documents, on junk by its own labellers, on junk by others; weights as shares of the corpus.
+ALARM = {"length": 0.02, "symbols": 0.005, "bars": 0.005, "lines": 0.005, "variety": 0.005, "capitals": 0.01, "shouts": 0.01, "letters": 0.01}
+CATCH, STRAY, PRIOR_SHARE, KIND_SHARE = 0.5, 0.05, 0.01, 0.001
 
 
 def measures(text: str) -> np.ndarray:
@@ -57,17 +62,30 @@ def votes_of(m: np.ndarray) -> list[int]:
     return [-1 if b else int(g) for b, g in zip(bad, good, strict=True)]
 
 
-def fit_accuracies(votes: np.ndarray, n: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """votes: patterns x labellers, n: documents of each pattern.  Posterior probability of good, per pattern."""
-    good = np.where((votes == -1).any(1), 0.1, 0.95)
+def prior_rates() -> np.ndarray:
+    """Mean rate of bad votes by class (good first) and labeller."""
+    return np.array([list(ALARM.values()), *([CATCH if x in own else STRAY for x in LABELLERS] for own in KINDS.values())])
+
+
+def fit_accuracies(votes: np.ndarray, n: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """votes: patterns x labellers, n: documents of each pattern.
+
+    Posterior probability of good, per pattern, and the fitted rates of bad votes by class and labeller.
+    Starts from the labellers' kinds: a bad vote makes its kind twenty times as likely as a good document.
+    """
+    bad, cast, prior = (votes == -1).astype(float), (votes != 0).astype(float), prior_rates()
+    own = prior[1:] == CATCH
+    state = np.concatenate([np.ones((len(votes), 1)), 0.02 + 20 * bad @ own.T], axis=1)
+    state /= state.sum(1, keepdims=True)
+    weight = n.sum() * np.array([PRIOR_SHARE] + [KIND_SHARE] * len(KINDS))[:, None]
     for _ in range(rounds):
-        g, b = n * good, n * (1 - good)
-        up, down = votes == 1, votes == -1
-        alarm = np.minimum((g @ down + 0.01) / (g @ (up | down) + 1.0), ALARM_MOST)
-        catch = np.clip((b @ down + 0.5) / (b @ (up | down) + 1.0), CATCH_LEAST, 0.999)
-        score = np.log((g.sum() + 1) / (b.sum() + 1)) + up @ np.log((1 - alarm) / (1 - catch)) + down @ np.log(alarm / catch)
-        good = 1 / (1 + np.exp(-np.clip(score, -60, 60)))
-    return good
+        held = n[:, None] * state
+        rates = (held.T @ bad + weight * prior) / (held.T @ cast + weight)
+        shares = (held.sum(0) + 1) / (n.sum() + len(prior))
+        score = np.log(shares) + bad @ np.log(rates).T + (cast - bad) @ np.log(1 - rates).T
+        state = np.exp(score - score.max(1, keepdims=True))
+        state /= state.sum(1, keepdims=True)
+    return state[:, 0], rates
 
 
 def _trigrams(data: bytes) -> Iterator[np.ndarray]:
@@ -143,11 +161,12 @@ def classify(docs: DataFrame, threshold: float = 0.5, per_class: int = 1000) ->
     if not patterns:
         weights, bias = np.zeros(BUCKETS + len(LABELLERS) * BINS, np.float32), 0.0
     else:
-        good = fit_accuracies(np.array([r["votes"] for r in patterns]), np.array([r["count"] for r in patterns], float))
+        good, _ = fit_accuracies(np.array([r["votes"] for r in patterns]), np.array([r["count"] for r in patterns], float))
         posterior = F.broadcast(spark.createDataFrame([(r["votes"], float(g)) for r, g in zip(patterns, good, strict=True)], "votes array<int>, p_good double"))
         side = Window.partitionBy(F.col("p_good") >= 0.5).orderBy("key")
-        # A first thinning by hash leaves a few times the texts wanted on each side; only these are ranked.
-        n_good, n_bad = (max(1, sum(r["count"] for r, g in zip(patterns, good, strict=True) if (g >= 0.5) == s)) for s in (True, False))
+        # A first thinning by hash leaves a few times the distinct texts wanted on each side; only these are ranked.
+        distinct = {tuple(r["votes"]): r["n"] for r in voted.groupBy("votes").agg(F.approx_count_distinct("key", 0.02).alias("n")).collect()}
+        n_good, n_bad = (max(1, sum(distinct[tuple(r["votes"])] for r, g in zip(patterns, good, strict=True) if (g >= 0.5) == s)) for s in (True, False))
         rate = F.when(F.col("p_good") >= 0.5, F.lit(8.0 * per_class / n_good)).otherwise(F.lit(8.0 * per_class / n_bad))
         thinned = voted.join(posterior, "votes").where(F.pmod(F.col("key"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < rate)
         chosen = thinned.groupBy("key").agg(F.min("p_good").alias("p_good"))
