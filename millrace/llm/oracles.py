@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm.quality_rules import ALARM_MOST, CATCH_LEAST, RULES
+from millrace.llm.quality_rules import KIND_SHARE, KINDS, PRIOR_SHARE, RULES, prior_rates
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -13,22 +13,33 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
   CASE WHEN payload_bytes >= 100 AND page_id <> least THEN least END AS refers_to FROM m"""
 
 MIX_SQL = f"""
-WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, '')))), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-f AS (SELECT *, (SELECT arg_min(level, source_size / weight) FROM l WHERE weight * level <= 3 * source_size) AS final FROM l),
+f AS (SELECT *, (SELECT max(level) FROM l WHERE weight * level <= 3 * source_size) AS final FROM l),
 t AS (SELECT source, source_size, least(CASE WHEN weight * level <= 3 * source_size THEN weight * final ELSE 3.0::DOUBLE * source_size END, 3.0::DOUBLE * source_size) AS target FROM f),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12::DOUBLE) ELSE 0 END AS whole FROM t),
-j AS (SELECT d.*, r.source_size, r.target, r.whole, greatest(r.target - r.whole * r.source_size, 0) AS rest,
-  sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id NULLS LAST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS prior FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
-SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN prior + size / 2 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM j"""
+b AS (SELECT source_size, target, whole, greatest(target - whole * source_size, 0) AS rest, source FROM r),
+z AS (SELECT d.*, CAST((length(bin(size)) - 1) // 2 AS INT) AS class, b.source_size, b.target, b.whole, b.rest FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
+c AS (SELECT source, class, CAST(1 << class AS BIGINT) AS weight, any_value(rest) AS rest, CAST(sum(size) AS BIGINT) AS words FROM z GROUP BY 1, 2),
+e AS (SELECT a.source, a.class, a.weight, (a.rest - (SELECT coalesce(sum(x.words), 0) FROM c x WHERE x.source IS NOT DISTINCT FROM a.source AND x.class > a.class))
+  / nullif((SELECT sum(x.words * x.weight) FROM c x WHERE x.source IS NOT DISTINCT FROM a.source AND x.class <= a.class), 0) AS level FROM c a),
+o AS (SELECT e.source, e.class, CASE WHEN weight * coalesce(level, 0) <= 1
+  THEN greatest(weight * (SELECT arg_max(coalesce(x.level, 0), x.class) FROM e x WHERE x.source IS NOT DISTINCT FROM e.source AND x.weight * coalesce(x.level, 0) <= 1), 1e-12::DOUBLE) ELSE 1.0::DOUBLE END AS p FROM e),
+k AS (SELECT z.*, (u / (1 - u)) / (p / nullif(1 - p, 0)) AS odds_ratio FROM z JOIN o ON z.source IS NOT DISTINCT FROM o.source AND z.class = o.class),
+j AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY coalesce(odds_ratio, 0), doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS prior FROM k)
+SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN rest > 0 AND prior + size / 2 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM j"""
 
 
 def quality_rules_sql(rounds: int = 25) -> str:
     """Counts, votes, and the fit written out round by round over the table of vote patterns."""
-    k = range(len(RULES))
+    k, classes, prior = range(len(RULES)), range(1 + len(KINDS)), prior_rates()
+    pattern, total = ", ".join(f"v{j}" for j in k), " + ".join(f"w{c}" for c in classes)
+    begun = ["1.0::DOUBLE AS w0"] + [
+        f"0.02::DOUBLE + {' + '.join(f'CASE WHEN v{RULES.index(x)} = -1 THEN 20.0::DOUBLE ELSE 0.0::DOUBLE END' for x in own)} AS w{c}" for c, own in enumerate(KINDS.values(), 1)
+    ]
     vote = lambda value, bad, good: f"CASE WHEN {value} {bad} THEN -1 WHEN {value} {good} THEN 1 ELSE 0 END"
     share = lambda a, b: f"{a} / greatest({b}, 1)"
     length = "(word_chars / greatest(n_words, 1))"
@@ -46,17 +57,24 @@ def quality_rules_sql(rounds: int = 25) -> str:
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(text, '\P{Lu}+', '', 'g')) AS n_capitals,
   length(regexp_replace(text, '[^!]+', '', 'g')) AS n_shouts FROM d LEFT JOIN cov USING (rid))""",
         f"vt AS MATERIALIZED (SELECT *, {', '.join(f'{v} AS v{j}' for j, v in enumerate(votes))} FROM st)",
-        f"""g0 AS MATERIALIZED (SELECT {', '.join(f'v{j}' for j in k)}, CAST(count(*) AS DOUBLE) AS n, CASE WHEN least({', '.join(f'v{j}' for j in k)}) = -1 THEN 0.1::DOUBLE ELSE 0.95::DOUBLE END AS good FROM vt GROUP BY ALL)""",
+        f"vp AS MATERIALIZED (SELECT {pattern}, CAST(count(*) AS DOUBLE) AS n, {', '.join(begun)} FROM vt GROUP BY ALL)",
+        f"g0 AS MATERIALIZED (SELECT {pattern}, n, sum(n) OVER () AS everything, {', '.join(f'w{c} / ({total}) AS r{c}' for c in classes)} FROM vp)",
     ]
     for r in range(rounds):
-        sums = [f"sum(n * {g}) FILTER (v{j} = {v}) AS {c}{s}{j}" for j in k for c, g in (("g", "good"), ("b", "(1 - good)")) for s, v in (("p", 1), ("m", -1))]
-        alarm = [f"least((coalesce(gm{j}, 0) + 0.01::DOUBLE) / (coalesce(gp{j}, 0) + coalesce(gm{j}, 0) + 1), {ALARM_MOST}::DOUBLE) AS a{j}" for j in k]
-        catch = [f"least(greatest((coalesce(bm{j}, 0) + 0.5::DOUBLE) / (coalesce(bp{j}, 0) + coalesce(bm{j}, 0) + 1), {CATCH_LEAST}::DOUBLE), 0.999::DOUBLE) AS c{j}" for j in k]
-        pull = " + ".join(["ln((g_all + 1) / (b_all + 1))", *(f"CASE v{j} WHEN 1 THEN ln((1 - a{j}) / (1 - c{j})) WHEN -1 THEN ln(a{j} / c{j}) ELSE 0 END" for j in k)])
+        rates = [
+            f"(coalesce(sum(n * r{c}) FILTER (v{j} = -1), 0) + any_value(everything) * {share}::DOUBLE * {prior[c][j]}::DOUBLE) / (coalesce(sum(n * r{c}) FILTER (v{j} <> 0), 0) + any_value(everything) * {share}::DOUBLE) AS b{c}_{j}"
+            for c in classes for share in [PRIOR_SHARE if c == 0 else KIND_SHARE] for j in k
+        ]
+        sizes = [f"ln((sum(n * r{c}) + 1) / (any_value(everything) + {len(classes)})) AS s{c}" for c in classes]
+        pull = lambda c: " + ".join([f"s{c}", *(f"CASE v{j} WHEN -1 THEN ln(b{c}_{j}) WHEN 1 THEN ln(1 - b{c}_{j}) ELSE 0 END" for j in k)])
+        scores = ", ".join(f"{pull(c)} AS x{c}" for c in classes)
+        top = f"greatest({', '.join(f'x{c}' for c in classes)})"
+        norm = " + ".join(f"exp(x{c} - {top})" for c in classes)
         ctes += [
-            f"s{r} AS MATERIALIZED (SELECT g_all, b_all, {', '.join(alarm + catch)} FROM (SELECT sum(n * good) AS g_all, sum(n * (1 - good)) AS b_all, {', '.join(sums)} FROM g{r}))",
-            f"g{r + 1} AS MATERIALIZED (SELECT {', '.join(f'v{j}' for j in k)}, n, 1 / (1 + exp(-({pull}))) AS good FROM g{r}, s{r})",
+            f"s{r} AS MATERIALIZED (SELECT {', '.join(rates + sizes)} FROM g{r})",
+            f"x{r} AS MATERIALIZED (SELECT {pattern}, n, everything, {scores} FROM g{r}, s{r})",
+            f"g{r + 1} AS MATERIALIZED (SELECT {pattern}, n, everything, {', '.join(f'exp(x{c} - {top}) / ({norm}) AS r{c}' for c in classes)} FROM x{r})",
         ]
     failed = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
-    return f"""WITH {', '.join(ctes)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT {failed} AND good >= 0.5 AS kept, round(good, 6) AS quality_prob
+    return f"""WITH {', '.join(ctes)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT {failed} AND r0 >= 0.5 AS kept, round(r0, 6) AS quality_prob
   FROM vt JOIN g{rounds} USING ({', '.join(f'v{j}' for j in k)})"""
