@@ -10,10 +10,16 @@ cosine c is then found with that probability, and a nearer one with a higher one
 best cosine within a bounded sample (`sample` vectors, first by hash), which is below what the whole
 table offers.  Candidates of all tables are merged and ranked by exact cosine in double precision.
 
+The number of projections follows the table: it is the one of HASHES that costs least by the sample,
+counting a comparison for every vector of the visited buckets and VISIT comparisons for every bucket
+visited.  So buckets multiply as the table grows, as far as the vectors have structure to be found.  A
+query whose order of buckets would be too long to list is treated as one without candidates.
+
 Equal vectors are one class, of which the `neighbours` + 1 smallest ids are enough for any query.
-Buckets are cut into blocks of at most `block` classes, queries of a bucket into blocks as well, and a
-task compares block with block, returning only the best few of each query.  Queries for which the
-visited buckets held too few candidates are compared with every bucket of the first table.
+A bucket is cut into blocks of about `block` classes and its queries into blocks of about `asked`; a
+task compares one block with one other and returns only the best few of each query, so neither a full
+bucket nor one that all queries visit lands in one task.  Queries for which the visited buckets held
+too few candidates are compared with every bucket of the first table.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor
 do rows without an id; vectors meet only those of their own dimension; equal scores go to the smaller
@@ -35,6 +41,10 @@ from pyspark.sql import functions as F
 from millrace.llm.common import materialize
 
 
+#: Numbers of projections to choose from; a visit costs as much as so many comparisons; most buckets in a query's list.
+HASHES, VISIT, LONGEST = (2, 4, 6, 8, 10, 12), 256, 1 << 14
+
+
 class Tables:
     """Projections of one dimension; the same on every machine."""
 
@@ -54,22 +64,22 @@ class Tables:
         return slots @ (2 * self.reach + 1) ** np.arange(self.m, dtype=np.int64)
 
     def probes(self, x: np.ndarray, table: int, nearness: float, success: float) -> np.ndarray:
-        """Buckets of one query by estimated success, until these sum to `success`."""
+        """Buckets of one query by estimated success, until these sum to `success`; none if the list would be too long."""
         edges = (np.arange(-self.reach, self.reach + 2) * self.width)[None, :] - self.shift[table][:, None]
         edges[:, 0], edges[:, -1] = -np.inf, np.inf
         z = (edges - nearness * x[:, None]) / math.sqrt(1 - nearness**2)
         mass = np.diff(np.vectorize(math.erf)(z / math.sqrt(2)) / 2, axis=1)
-        # Best slots of each line first; a product with a slot of next to no mass is not worth a visit.
+        # The product of the slots' masses, line by line; only the most likely beginnings are carried on.
         joint, code = np.ones(1), np.zeros(1, np.int64)
         for j in range(self.m):
-            own = np.flatnonzero(mass[j] > 1e-4)
-            joint = (joint[:, None] * mass[j][own][None, :]).ravel()
-            code = (code[:, None] + own[None, :] * (2 * self.reach + 1) ** j).ravel()
-            if len(joint) > 1 << 14:
-                best = np.argsort(-joint, kind="stable")[: 1 << 14]
+            joint = (joint[:, None] * mass[j][None, :]).ravel()
+            code = (code[:, None] + np.arange(mass.shape[1])[None, :] * (2 * self.reach + 1) ** j).ravel()
+            if len(joint) > LONGEST:
+                best = np.argpartition(-joint, LONGEST)[:LONGEST]
                 joint, code = joint[best], code[best]
         order = np.argsort(-joint, kind="stable")
-        return code[order[: int(np.searchsorted(np.cumsum(joint[order]), success)) + 1]]
+        reached = np.cumsum(joint[order])
+        return code[order[: int(np.searchsorted(reached, success)) + 1]] if reached[-1] >= success else code[:0]
 
 
 def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -95,20 +105,23 @@ def _unit(vectors: pa.Array) -> np.ndarray:
 
 
 def nearest(
-    vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", neighbours: int = 5, tables: int = 2, hashes: int = 4,
-    width: float = 2.5, success: float = 0.97, block: int = 4096, sample: int = 4096, seed: int = 7,
+    vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", neighbours: int = 5, tables: int = 2, hashes: int | None = None,
+    width: float = 2.5, success: float = 0.97, block: int = 1024, asked: int = 256, sample: int = 4096, seed: int = 7,
 ) -> DataFrame:
     """query_id, rank, vec_id, score.  is_query: condition on the id as a Column function."""
     spark, per_table = vectors.sparkSession, 1 - (1 - success) ** (1 / tables)
     rows = materialize(_usable(vectors, id_col, vec_col), "ann-rows")
     classes = materialize(_classes(rows, neighbours + 1), "ann-classes")
     queries = materialize(rows.where(is_query(F.col("id"))).select("id", "h1", "h2").distinct(), "ann-queries")
-    asked = classes.join(queries.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", "vec")
+    sought = classes.join(queries.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", "vec")
 
     # Thinned by hash to a few times the sample before the smallest hashes are taken.
-    thin = F.pmod(F.col("h1"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < 4.0 * sample / max(1, classes.count())
+    n_classes = classes.count()
+    thin = F.pmod(F.col("h1"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < 4.0 * sample / max(1, n_classes)
     picked = [r["vec"] for r in classes.where(thin).orderBy("h1", "h2").limit(sample).select("vec").collect()]
-    nearness = _sample_nearness(picked, neighbours)
+    unit = _common_unit(picked)
+    nearness = _sample_nearness(unit, neighbours)
+    hashes = hashes or _choose_hashes(unit, n_classes, nearness, tables, width, per_table, seed)
 
     def by_dim(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         sizes = pa.compute.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False)
@@ -143,18 +156,18 @@ def nearest(
 
     index = materialize(classes.select("h1", "h2", "ids", "vec").mapInArrow(hashed, "dim long, t long, bucket long, h1 long, h2 long, ids array<bigint>, vec array<double>"), "ann-index")
     sizes = index.groupBy("dim", "t", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    visits = asked.mapInArrow(probed, "dim long, t long, bucket long, q1 long, q2 long")
-    found = materialize(_compare(index, sizes, visits, asked, neighbours, block), "ann-found")
+    visits = materialize(sought.mapInArrow(probed, "dim long, t long, bucket long, q1 long, q2 long"), "ann-visits")
+    found = materialize(_compare(index, sizes, visits, sought, neighbours, asked), "ann-found")
 
     # Too few candidates in the visited buckets: these queries see every bucket of the first table.  An id that both
     # tables found counts once, and more than `neighbours` of them leave enough when the query's own is one of them.
     met = found.select("q1", "q2", F.explode("ids").alias("id")).distinct()
     enough = met.groupBy("q1", "q2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > neighbours)
-    short = asked.join(enough, (F.col("h1") == F.col("q1")) & (F.col("h2") == F.col("q2")), "left_anti")
+    short = sought.join(enough, (F.col("h1") == F.col("q1")) & (F.col("h2") == F.col("q2")), "left_anti")
     short = short.select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), F.size("vec").cast("long").alias("dim"))
     rest = short.join(sizes.where("t = 0").select("dim", "t", "bucket"), "dim").select("dim", "t", "bucket", "q1", "q2")
     rest = materialize(rest, "ann-rest")
-    found = found.unionByName(_compare(index, sizes, rest, asked, neighbours, block)).dropDuplicates(["q1", "q2", "h1", "h2"])
+    found = found.unionByName(_compare(index, sizes, rest, sought, neighbours, asked)).dropDuplicates(["q1", "q2", "h1", "h2"])
 
     listed = found.select("q1", "q2", "score", F.explode("ids").alias("vec_id"))
     best = Window.partitionBy("q1", "q2").orderBy(F.col("score").desc(), "vec_id")
@@ -165,27 +178,51 @@ def nearest(
     return answers.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
 
 
-def _sample_nearness(vectors: list[list[float]], neighbours: int) -> float:
-    """Lower quartile, over some of the sample, of the cosine of the last neighbour within the sample."""
+def _common_unit(vectors: list[list[float]]) -> np.ndarray:
+    """The sampled vectors of the commonest dimension, scaled to length one."""
     dims = [len(v) for v in vectors]
     common = max(set(dims), key=dims.count) if dims else 0
-    unit = np.array([v for v in vectors if len(v) == common], float)
+    same = [v for v in vectors if len(v) == common]
+    unit = np.array(same, float).reshape(len(same), common)
+    if len(unit):
+        unit /= np.abs(unit).max(1, keepdims=True)
+        unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
+    return unit
+
+
+def _sample_nearness(unit: np.ndarray, neighbours: int) -> float:
+    """Lower quartile, over some of the sample, of the cosine of the last neighbour within the sample."""
     if len(unit) <= neighbours:
         return 0.1
-    unit /= np.abs(unit).max(1, keepdims=True)
-    unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
     cos = np.sort(unit[:256] @ unit.T, axis=1)[:, -1 - neighbours]
     return float(np.clip(np.quantile(cos, 0.25), 0.05, 0.95))
 
 
-def _compare(index: DataFrame, sizes: DataFrame, visits: DataFrame, asked: DataFrame, neighbours: int, block: int) -> DataFrame:
-    """q1, q2, h1, h2, ids, score: the best classes of each query in each block that it visits."""
+def _choose_hashes(unit: np.ndarray, n: int, nearness: float, tables: int, width: float, success: float, seed: int) -> int:
+    """The number of projections that costs least for the sample's queries, in a table of n vectors."""
+    costs = {}
+    for m in HASHES if len(unit) else HASHES[:1]:
+        t = Tables(unit.shape[1], tables, m, width, seed)
+        x, slots = t.slots(unit, 0)
+        bucket = t.bucket(slots)
+        visits = [t.probes(x[i], 0, nearness, success) for i in range(min(32, len(unit)))]
+        if m == HASHES[0] or all(map(len, visits)):
+            costs[m] = sum(n * np.isin(bucket, v).mean() + VISIT * len(v) for v in visits)
+    return min(costs, key=costs.get)
+
+
+def _compare(index: DataFrame, sizes: DataFrame, visits: DataFrame, sought: DataFrame, neighbours: int, asked: int) -> DataFrame:
+    """q1, q2, h1, h2, ids, score: the best classes of each query in each block that it visits.  visits: stored."""
     key = ["dim", "t", "bucket"]
-    # Blocks by hash: index rows of a bucket and its queries are both cut, so no task meets a whole hot bucket.
-    cut = index.join(sizes, key).withColumn("b", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int"))
-    at = visits.join(sizes, key).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = asked.select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), "vec")
-    left = at.join(held, ["q1", "q2"]).select(*key, "b", "q1", "q2", "vec")
+    # Both sides of a bucket are cut by hash: b numbers its blocks of classes, a its blocks of queries.
+    met = visits.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / asked).cast("int").alias("askers"))
+    cuts = sizes.join(met, key)
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
+    cut = index.join(cuts, key).withColumn("b", of("blocks", "h1", "h2")).withColumn("a", numbers("askers"))
+    at = visits.join(cuts, key).withColumn("a", of("askers", "q1", "q2")).withColumn("b", numbers("blocks"))
+    held = sought.select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), "vec")
+    left = at.join(held, ["q1", "q2"]).select(*key, "a", "b", "q1", "q2", "vec")
 
     def best(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if not len(ours) or not len(theirs):
@@ -209,7 +246,7 @@ def _compare(index: DataFrame, sizes: DataFrame, visits: DataFrame, asked: DataF
         cols = {"q1": ours["q1"].to_numpy()[i], "q2": ours["q2"].to_numpy()[i], "h1": theirs["h1"].to_numpy()[j], "h2": theirs["h2"].to_numpy()[j]}
         return pd.DataFrame(cols | {"ids": theirs["ids"].to_numpy()[j], "score": score})
 
-    groups = [*key, "b"]
+    groups = [*key, "a", "b"]
     return left.groupBy(*groups).cogroup(cut.select(*groups, "h1", "h2", "ids", "vec").groupBy(*groups)).applyInPandas(
         best, "q1 long, q2 long, h1 long, h2 long, ids array<bigint>, score double"
     )
