@@ -15,7 +15,7 @@ when the rank of their merge comes have a merge.
 
 Texts come in pieces and are cut first where the tokenizer cuts them: at special tokens, then into runs
 of letters, numbers, other characters and blanks.  The cut needs a lookahead of two characters.  Parts
-between blanks recur, so the codes of the last ones met are kept, in two generations of bounded size; a
+between blanks recur, so the ids of the last ones met are kept, in two generations of bounded size; a
 part that grows beyond HOLD characters is encoded while it is still open.
 
 Defined cases: null and empty texts have no tokens; texts of any length are encoded whole; repeated rows
@@ -44,7 +44,7 @@ BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A part: blanks and what follows them up to the next blank.  No token crosses its ends.
 PART = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 #: So many parts, pairs of tokens and beginnings of runs are remembered by each worker before it starts anew.
-CACHE, PAIRS, HEADS = 350_000, 200_000, 100_000
+CACHE, PAIRS, HEADS = 250_000, 150_000, 80_000
 #: Runs that begin with the same bytes share the work for so many of them, or for the lesser number.
 LONG_HEAD, SHORT_HEAD = 7, 4
 #: A part of more characters than this is encoded while it is still open.
@@ -235,8 +235,18 @@ class Transducer:
         return out
 
 
-#: Ids as little-endian uint32, their decimal list, and the bytes that they decode to.
-Code = tuple[bytes, bytes, bytes]
+class Spelling:
+    """A byte string for every id; spells sequences of ids by one gather."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        self.flat = np.frombuffer(b"".join(words), np.uint8)
+        self.size = np.array(list(map(len, words)))
+        self.begin = np.cumsum(self.size) - self.size
+
+    def of(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        end = np.cumsum(size)
+        return self.flat[np.arange(size.sum()) + np.repeat(self.begin[ids] - end + size, size)].tobytes()
 
 
 class Encoder:
@@ -247,13 +257,11 @@ class Encoder:
         self.run = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
         self.kinds = [regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", rf"[^{BLANK}\p{{L}}\p{{N}}]+", f"[{BLANK}]+")]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.table.specials, key=len, reverse=True))) + ")") if self.table.specials else None
-        self.decimal = [b"%d" % i for i in range(len(self.table.bytes))]
+        self.decimal = Spelling([b"%d," % i for i in range(len(self.table.bytes))])
+        self.decoded = Spelling(self.table.bytes)
         self.machine = Transducer(self.table)
-        self.young: dict[str, Code] = {}
-        self.old: dict[str, Code] = {}
-
-    def code(self, ids: list[int]) -> Code:
-        return struct.pack(f"<{len(ids)}I", *ids), b",".join(map(self.decimal.__getitem__, ids)), b"".join(map(self.table.bytes.__getitem__, ids))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _run_ids(self, run: str) -> list[int]:
         data = run.encode("utf-8", "surrogatepass")
@@ -262,11 +270,11 @@ class Encoder:
             return [whole]
         return self.machine.push(data) + self.machine.finish()
 
-    def part(self, part: str) -> Code:
-        """The code of a part; the younger generation remembers it."""
+    def part(self, part: str) -> bytes:
+        """Ids of a part as little-endian uint32; the younger generation remembers it."""
         found = self.old.get(part)
         if found is None:
-            found = self.code([i for m in self.run.finditer(part) for i in self._run_ids(m[0])])
+            found = _packed([i for m in self.run.finditer(part) for i in self._run_ids(m[0])])
         if len(part) < 64:
             if len(self.young) >= CACHE:
                 self.old, self.young = self.young, {}
@@ -278,10 +286,10 @@ class Encoder:
         return self.ids(_pieces(text))
 
     def ids(self, pieces: Iterable[str]) -> list[int]:
-        return np.frombuffer(b"".join([c[0] for some in self.stream(pieces) for c in some]), "<u4").tolist()
+        return np.frombuffer(b"".join(self.stream(pieces)), "<u4").tolist()
 
-    def stream(self, pieces: Iterable[str]) -> Iterator[list[Code]]:
-        """Codes of a text that comes in pieces; in constant memory whatever its length and its parts'."""
+    def stream(self, pieces: Iterable[str]) -> Iterator[bytes]:
+        """Ids, as little-endian uint32, of a text that comes in pieces; in constant memory whatever its length and its parts'."""
         hold = max([HOLD, *(len(s) for s in self.table.specials)])
         buffer, opened, kind, closed = "", None, None, False
         source = iter(pieces)
@@ -304,15 +312,15 @@ class Encoder:
                     # The last blank of a run goes with what follows it; so one character stays back.
                     more = end == safe and not closed
                     blank_before_text = kind is self.kinds[3] and end < until
-                    yield [self.code(opened.push(buffer[at : end - 1 if more or blank_before_text else end].encode("utf-8", "surrogatepass")))]
+                    yield _packed(opened.push(buffer[at : end - 1 if more or blank_before_text else end].encode("utf-8", "surrogatepass")))
                     at = end - 1 if more or blank_before_text else end
                     if more:
                         break
-                    yield [self.code(opened.finish())]
+                    yield _packed(opened.finish())
                     opened = None
                     continue
                 if special and special.start() == at:
-                    yield [self.code([self.table.specials[special[0]]])]
+                    yield _packed([self.table.specials[special[0]]])
                     at = special.end()
                     continue
                 parts = PART.findall(buffer, at, until)
@@ -320,7 +328,7 @@ class Encoder:
                 if not whole:
                     at = until - len(parts.pop())  # the last part is still open
                 known, part = self.young.get, self.part
-                yield [known(p) or part(p) for p in parts]
+                yield b"".join([known(p) or part(p) for p in parts])
                 if whole:
                     at = until
                     continue
@@ -329,19 +337,19 @@ class Encoder:
                 # A long open part: its runs one by one, and one that fills the rest as it comes.
                 m = self.run.match(buffer, at, until)
                 while m.end() < until and m.start() + 3 <= until:
-                    yield [self.code(self._run_ids(m[0]))]
+                    yield _packed(self._run_ids(m[0]))
                     at = m.end()
                     m = self.run.match(buffer, at, until)
                 if m.end() == until and m.end() - at > hold:
                     opened = Transducer(self.table)
                     kind = next(k for k in self.kinds if k.match(m[0][-1]))
-                    yield [self.code(opened.push(buffer[at : until - 1].encode("utf-8", "surrogatepass")))]
+                    yield _packed(opened.push(buffer[at : until - 1].encode("utf-8", "surrogatepass")))
                     at = until - 1
                 break
             buffer = buffer[at:]
             if closed:
                 if opened:
-                    yield [self.code(opened.finish())]
+                    yield _packed(opened.finish())
                 return
 
     def _safe_end(self, buffer: str) -> int:
@@ -379,6 +387,10 @@ def encoder(path: str) -> Encoder:
     return found
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _pieces(text: str) -> Iterator[str]:
     return (text[at : at + PIECE] for at in range(0, len(text), PIECE)) if len(text) > PIECE else iter((text,))
 
@@ -389,12 +401,12 @@ def digests(text: str | None, codec: Encoder, ids: list[bytes] | None = None) ->
     The ids themselves are added to `ids`, if given, as little-endian uint32.
     """
     listed, decoded, decoder, n = hashlib.sha256(), hashlib.sha256(), Decoder(codec.table), 0
-    for some in codec.stream(_pieces(text or "")):
-        packed = b"".join([c[0] for c in some])
+    for packed in codec.stream(_pieces(text or "")):
         if packed:
-            listed.update((b"," if n else b"") + b",".join([c[1] for c in some if c[1]]))
-            decoded.update(decoder.push_bytes(b"".join([c[2] for c in some])).encode("utf-8", "surrogatepass"))
-            n += len(packed) // 4
+            some = np.frombuffer(packed, "<u4")
+            listed.update((b"," if n else b"") + codec.decimal.of(some)[:-1])
+            decoded.update(decoder.push_bytes(codec.decoded.of(some)).encode("utf-8", "surrogatepass"))
+            n += len(some)
             if ids is not None:
                 ids.append(packed)
     decoded.update(decoder.finish().encode())
