@@ -56,8 +56,16 @@ def place_decimal(text: Column, only_if_unparsed: bool = True) -> Column:
     return F.struct(F.when(moved, F.concat(F.substring(digits, 1, 2), F.lit("."), F.substring(digits, 3, 2))).otherwise(text).alias("text"), moved.alias("changed"))
 
 
-def digits_only(col: Column) -> Column:
-    return F.regexp_replace(col, "[^0-9]", "")
+def price_reading(text: Column, confidence: Column, doubt: float = 0.85) -> Column:
+    """Struct price, confidence: the text as it stands, else with its decimal point put back, which is trusted less."""
+    placed = place_decimal(text)
+    return F.struct(text_to_price(placed["text"]).alias("price"), F.when(placed["changed"], confidence * doubt).otherwise(confidence).alias("confidence"))
+
+
+def expand_abbreviations(text: Column, rules: dict[str, str]) -> Column:
+    """Every blank-separated word that has a long form gets it."""
+    table = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])
+    return F.array_join(F.transform(F.split(text, " "), lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
 
 
 def file_extension(url: Column) -> Column:
@@ -69,6 +77,6 @@ def file_name(url: Column) -> Column:
 
 
 def fraction_to_pixels(box: Column, width: Column, height: Column) -> Column:
-    """Bounding box of four fractions to whole pixels; null stays null."""
-    scaled = lambda i, size: F.round(F.get(box, i) * size).cast("int")
-    return F.when(box.isNotNull(), F.struct(scaled(0, width).alias("x0"), scaled(1, height).alias("y0"), scaled(2, width).alias("x1"), scaled(3, height).alias("y1")))
+    """Bounding box of four fractions to whole pixels, cut off and not rounded; null stays null."""
+    pixel = lambda i, size: (F.get(box, i) * size).cast("int")
+    return F.when(box.isNotNull(), F.struct(pixel(0, width).alias("x0"), pixel(1, height).alias("y0"), pixel(2, width).alias("x1"), pixel(3, height).alias("y1")))

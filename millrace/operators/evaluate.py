@@ -25,7 +25,7 @@ def fraction_split(df: DataFrame, order: str, test: float) -> DataFrame:
 
 def hash_split(df: DataFrame, key: str, weights: dict[str, int]) -> DataFrame:
     """Adds split by a hash of the key modulo 100: repeatable whatever the partitions."""
-    h = F.crc32(F.col(key).cast("string").cast("binary")) % 100
+    h = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 100
     out, upto = F.lit(None).cast("string"), 0
     edges = []
     for name, share in weights.items():

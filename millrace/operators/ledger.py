@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from bisect import insort
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,58 +29,88 @@ def in_transit(lots: DataFrame, cut: Column) -> DataFrame:
 _MOVEMENT = "lot_id string, group_id string, type string, date date, points long, request_id string, result string, remaining long"
 
 
+class LotBook:
+    """The lots of one group that can still be used, in the order in which redemptions take them."""
+
+    def __init__(self, newest_first: bool = False) -> None:
+        self.sign = -1 if newest_first else 1
+        self.places: list[tuple[int, int, str]] = []  # expiry as a day number (negated: newest first), arrival, lot
+        self.left: dict[str, int] = {}
+        self.balance = 0
+
+    def add(self, lot_id: str, expires_on: dt.date, points: int) -> None:
+        insort(self.places, (self.sign * expires_on.toordinal(), len(self.left), lot_id))
+        self.left[lot_id] = points
+        self.balance += points
+
+    def _take(self, lot_id: str, points: int) -> tuple[str, int]:
+        self.left[lot_id] -= points
+        self.balance -= points
+        return lot_id, points
+
+    def expire(self, day: dt.date) -> list[tuple[str, int]]:
+        """Drops the lots whose time is over; what each of them lost."""
+        over = [lot for key, _, lot in self.places if self.sign * key <= day.toordinal()]
+        self.places = [place for place in self.places if self.sign * place[0] > day.toordinal()]
+        return [self._take(lot, self.left[lot]) for lot in over if self.left[lot]]
+
+    def redeem(self, points: int) -> list[tuple[str, int]]:
+        """Takes the points lot by lot; the book must hold them."""
+        taken = []
+        for _, _, lot in self.places:
+            if not points:
+                break
+            if part := min(points, self.left[lot]):
+                taken.append(self._take(lot, part))
+                points -= part
+        self.places = [place for place in self.places if self.left[place[2]]]
+        return taken
+
+
+def refusal(client_id: str, day: dt.date, points: int, holder: str | None, merged: dt.date | None, balance: int) -> str | None:
+    """Why a request is turned down; the first reason that holds."""
+    if holder is None or client_id != holder:
+        return "no_es_titular"
+    if merged is not None and day < (pd.Timestamp(merged) + pd.DateOffset(months=12)).date():
+        return "unificacion_menor_a_12_meses"
+    return "saldo_insuficiente" if balance < points else None
+
+
 def fold_group(lots: pd.DataFrame, requests: pd.DataFrame, group: pd.DataFrame, cuts: list, order: str = "fifo") -> list[tuple]:
-    """Events of one group in (date, lot < cut < request) order.
+    """One group's days in order; on each day its lots arrive, then the cut is made, then requests are judged.
 
     Rows: movements (type acumulacion, expiracion, canje), request results (type solicitud) and what lots hold at the end (type saldo).
     """
-    out: list[tuple] = []
-    holder = merged = None
-    if len(group):
-        holder, merged = group["holder_id"].iloc[0], group["merged_since"].iloc[0]
-    wait_over = pd.Timestamp(merged) + pd.DateOffset(months=12) if merged is not None and not pd.isna(merged) else None
-    events = [(pd.Timestamp(r.available_from), 0, r.lot_id, r) for r in lots.itertuples()]
-    events += [(pd.Timestamp(c), 1, "", None) for c in cuts]
-    events += [(pd.Timestamp(r.date), 2, r.request_id, r) for r in requests.itertuples()]
-    events.sort(key=lambda e: e[:3])
-    active: dict[str, list] = {}  # lot -> [expiry, left], in order of arrival
-    for date, kind, _, row in events:
-        if kind == 0:
-            active[row.lot_id] = [pd.Timestamp(row.expires_on), int(row.points)]
-            out.append((row.lot_id, row.group_id, "acumulacion", date.date(), int(row.points), None, None, None))
-        elif kind == 1:
-            for lot in [x for x, (expiry, _) in active.items() if expiry <= date]:
-                left = active[lot][1]
-                if left > 0:
-                    out.append((lot, None, "expiracion", date.date(), -left, None, None, None))
-                    active[lot][1] = 0
-                active[lot] = [pd.Timestamp.max, 0]
-        else:
-            have = sum(left for _, left in active.values())
-            if holder is None or row.client_id != holder:
-                result = "no_es_titular"
-            elif wait_over is not None and date < wait_over:
-                result = "unificacion_menor_a_12_meses"
-            elif have < row.points:
-                result = "saldo_insuficiente"
-            else:
-                result = "aprobado"
-                need = int(row.points)
-                for lot, (_, left) in sorted(active.items(), key=lambda x: x[1][0], reverse=order == "lifo"):
-                    taken = min(left, need)
-                    if taken > 0:
-                        active[lot][1] -= taken
-                        need -= taken
-                        out.append((lot, None, "canje", date.date(), -taken, row.request_id, None, None))
-            out.append((None, None, "solicitud", date.date(), int(row.points), row.request_id, result, None))
-    out += [(lot, None, "saldo", None, None, None, None, left) for lot, (_, left) in active.items()]
+    known = group.iloc[0] if len(group) else {"holder_id": None, "merged_since": None}
+    merged = None if pd.isna(known["merged_since"]) else pd.Timestamp(known["merged_since"]).date()
+    arriving, asking = (
+        {day: rows.sort_values(by) for day, rows in table.groupby(pd.to_datetime(table[on]).dt.date)} for table, on, by in ((lots, "available_from", "lot_id"), (requests, "date", "request_id"))
+    )
+    cut_days, book, out = {pd.Timestamp(c).date() for c in cuts}, LotBook(order == "lifo"), []
+
+    def moved(kind: str, day: dt.date, parts: list[tuple[str, int]], request_id: str | None = None, sign: int = -1) -> None:
+        out.extend((lot, None, kind, day, sign * n, request_id, None, None) for lot, n in parts)
+
+    for day in sorted({*arriving, *asking, *cut_days}):
+        for lot in arriving[day].itertuples() if day in arriving else ():
+            book.add(lot.lot_id, pd.Timestamp(lot.expires_on).date(), int(lot.points))
+            moved("acumulacion", day, [(lot.lot_id, int(lot.points))], sign=1)
+        if day in cut_days:
+            moved("expiracion", day, book.expire(day))
+        for ask in asking[day].itertuples() if day in asking else ():
+            reason = refusal(ask.client_id, day, int(ask.points), known["holder_id"], merged, book.balance)
+            if reason is None:
+                moved("canje", day, book.redeem(int(ask.points)), ask.request_id)
+            out.append((None, None, "solicitud", day, int(ask.points), ask.request_id, reason or "aprobado", None))
+    out += [(lot, None, "saldo", None, None, None, None, left) for lot, left in book.left.items()]
     return out
 
 
 def run_ledger(lots: DataFrame, requests: DataFrame, groups: DataFrame, cuts: list, order: str = "fifo") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(movements, requests with result, lots with what remains).
 
-    The only sequential step: it folds lots (months x origins per group) and requests, never transactions.
+    The only sequential step: it folds lots (months x origins per group) and requests, never transactions,
+    so a group is a small table and groups spread over tasks.
     groups: group_id, holder_id, merged_since; requests: request_id, group_id, client_id, date, points.
     """
     if order not in ("fifo", "lifo"):

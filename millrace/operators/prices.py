@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.scalars import fraction_to_pixels
+
 LITRES_PER_GALLON = 3.785411784
 
 
@@ -77,3 +79,12 @@ def overlay(grid: DataFrame, measured: DataFrame, keys: list[str], value: str =
     return joined.withColumn(value, F.coalesce(F.col("_m"), F.col(value))).withColumn("source", F.when(real, "real").otherwise("synthetic")).withColumn(
         "method", F.when(real, F.col("_method")).when(F.col(value).isNotNull(), "synthetic")
     ).drop("_m", "_method")
+
+
+def panel_boxes(photos: DataFrame, assignment: DataFrame, profiles: DataFrame, default: str) -> DataFrame:
+    """One row per photo and panel of its profile, with the box in pixels (null where the panel is out of frame).
+
+    photos: file, width, height; assignment: file, profile; profiles: profile, fuel_type, box (four fractions or null).
+    """
+    placed = photos.join(assignment, "file", "left").withColumn("profile", F.coalesce("profile", F.lit(default)))
+    return placed.join(profiles, "profile").withColumn("bbox", fraction_to_pixels(F.col("box"), F.col("width"), F.col("height")))

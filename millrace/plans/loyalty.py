@@ -153,61 +153,59 @@ def lots_in_transit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.in_transit(T.lots(spark, sf_dir), F.lit(T.AS_OF).cast("date"))
 
 
-def _cuts() -> list:
-    return [datetime.date(y, 2, 5) for y in range(1996, 2005)]
+def _cuts(until: str = "2004-12-31") -> list:
+    return [d for y in range(1996, 2005) if (d := datetime.date(y, 2, 5)) <= datetime.date.fromisoformat(until)]
 
 
-def _no_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.read(spark, sf_dir, "nation").where("false").select(F.lit("").alias("request_id"), F.col("n_nationkey").alias("group_id"), F.lit("").alias("client_id"), F.current_date().alias("date"), F.lit(0).cast("long").alias("points"))
+def _ledger(spark: SparkSession, sf_dir: str, order: str = "fifo") -> tuple[DataFrame, DataFrame, DataFrame]:
+    return ledger.run_ledger(T.lots(spark, sf_dir), T.requests(spark, sf_dir), T.groups(spark, sf_dir), _cuts(), order)
 
 
-def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = T.read(spark, sf_dir, "orders").where("o_orderkey % 97 = 0")
-    group = (F.col("o_custkey") % 25).cast("int")
-    return o.select(
-        F.col("o_orderkey").cast("string").alias("request_id"), group.alias("group_id"), F.when(F.col("o_orderkey") % 5 == 0, "other").otherwise(group.cast("string")).alias("client_id"),
-        F.to_date("o_orderdate").alias("date"), F.floor(F.col("o_totalprice") / 10).cast("long").alias("points"),
-        F.when(F.col("o_orderkey") % 2 == 0, "web").otherwise("agencia").alias("center"), F.col("o_orderpriority").alias("prize"),
-    )
+def ledger_query(sql: str, until: str | None = None, order: str = "fifo"):
+    return query(f"WITH {T.RAW_SQL}, {T.ledger_sql(until, order)} {sql}")
 
 
 @query(f"""SELECT CAST(group_id AS VARCHAR) AS group_id, CAST(sum(CASE WHEN expires_on >= DATE '2004-02-06' OR available_from > make_date(year(expires_on), 2, 5) THEN points ELSE 0 END) AS BIGINT) AS held,
   CAST(sum(points) AS BIGINT) AS issued, CAST(sum(CASE WHEN expires_on < DATE '2004-02-06' AND available_from <= expires_on THEN points ELSE 0 END) AS BIGINT) AS expired FROM lots2 GROUP BY 1""")
 def ledger_without_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moves, _, left = ledger.run_ledger(T.lots(spark, sf_dir), _no_requests(spark, sf_dir), T.groups(spark, sf_dir), _cuts())
+    moves, _, left = ledger.run_ledger(T.lots(spark, sf_dir), T.requests(spark, sf_dir).where("false"), T.groups(spark, sf_dir), _cuts())
     held = left.groupBy(F.col("group_id").cast("string").alias("group_id")).agg(F.sum("remaining").alias("held"))
     part = lambda kind: F.coalesce(F.sum(F.when(F.col("type") == kind, F.abs("points"))), F.lit(0))
     return held.join(moves.groupBy("group_id").agg(part("acumulacion").alias("issued"), part("expiracion").alias("expired")), "group_id")
 
 
-@query()
+@ledger_query("SELECT * FROM moves")
 def ledger_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moves, _, _ = ledger.run_ledger(T.lots(spark, sf_dir), _requests(spark, sf_dir), T.groups(spark, sf_dir), _cuts())
-    return moves
+    return _ledger(spark, sf_dir)[0]
 
 
-@query()
+@ledger_query("SELECT result, count(*) AS n, CAST(sum(points) AS BIGINT) AS points FROM steps WHERE kind = 2 GROUP BY 1", order="lifo")
 def redemption_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, asked, _ = ledger.run_ledger(T.lots(spark, sf_dir), _requests(spark, sf_dir), T.groups(spark, sf_dir), _cuts(), "lifo")
+    _, asked, _ = _ledger(spark, sf_dir, "lifo")
     return asked.groupBy("result").agg(F.count(F.lit(1)).alias("n"), F.sum("points").alias("points"))
 
 
-@query()
+@ledger_query("""SELECT type, a.center, a.prize, CAST(-sum(m.points) AS BIGINT) AS points, round(100 * CAST(-sum(m.points) AS DOUBLE) / (SELECT sum(points) FROM moves WHERE type = 'acumulacion'), 4) AS pct_of_issued
+  FROM moves m LEFT JOIN asked a USING (request_id) WHERE type <> 'acumulacion' GROUP BY 1, 2, 3""")
 def point_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moves, _, _ = ledger.run_ledger(T.lots(spark, sf_dir), _requests(spark, sf_dir), T.groups(spark, sf_dir), _cuts())
-    return audit.point_outcomes(moves, _requests(spark, sf_dir))
+    return audit.point_outcomes(_ledger(spark, sf_dir)[0], T.requests(spark, sf_dir))
 
 
-def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lots of which part is gone, as if redeemed, by a rule that SQL can repeat."""
-    return T.lots(spark, sf_dir).withColumn("remaining", F.col("points") - F.when(F.month("period") % 3 == 0, F.col("points")).otherwise(F.floor(F.col("points") / 4)))
+@ledger_query("SELECT CAST(h.group_id AS VARCHAR) AS group_id, CAST(h.n AS BIGINT) AS held, CAST(m.n AS BIGINT) AS moved FROM (SELECT group_id, sum(remaining) AS n FROM held GROUP BY 1) h JOIN (SELECT group_id, sum(points) AS n FROM moves GROUP BY 1) m ON m.group_id = CAST(h.group_id AS VARCHAR) WHERE h.n <> m.n")
+def check_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No rows: every family's lots add up to its movements."""
+    moves, _, left = _ledger(spark, sf_dir)
+    return ledger.check_ledger(left, moves)
 
 
-HELD = "held AS (SELECT *, points - CASE WHEN month(period) % 3 = 0 THEN points ELSE points // 4 END AS remaining FROM lots2)"
+def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lots with what the ledger leaves of them on the reporting day."""
+    asked = T.requests(spark, sf_dir).where(F.col("date") <= F.lit(T.AS_OF).cast("date"))
+    return ledger.run_ledger(T.lots(spark, sf_dir), asked, T.groups(spark, sf_dir), _cuts(T.AS_OF))[2]
 
 
 def _held_query(sql: str):
-    return query(f"WITH {T.RAW_SQL}, {HELD} {sql}")
+    return ledger_query(sql, T.AS_OF)
 
 
 FREE = "(merged_since IS NULL OR merged_since + INTERVAL 12 MONTH <= DATE '{0}')"
@@ -303,12 +301,12 @@ GAPS_SQL = f"""gaps AS (SELECT lag(group_id) OVER w AS lower_group, group_id AS
   FROM (SELECT group_id, CAST(sum(remaining) AS BIGINT) AS balance, round(sum(remaining * {MILES_SQL}), 4) AS miles FROM held GROUP BY 1) WHERE balance > 1000 WINDOW w AS (ORDER BY balance, group_id))"""
 
 
-@query(f"WITH {T.RAW_SQL}, {HELD}, {GAPS_SQL} SELECT * FROM gaps WHERE lower_group IS NOT NULL")
+@query(f"WITH {T.RAW_SQL}, {T.ledger_sql(T.AS_OF)}, {GAPS_SQL} SELECT * FROM gaps WHERE lower_group IS NOT NULL")
 def neighbour_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.neighbour_gaps(audit.miles_by_group(_held(spark, sf_dir), T.MILES))
 
 
-@query(f"WITH {T.RAW_SQL}, {HELD}, {GAPS_SQL} SELECT * FROM gaps WHERE rel_gap < 0.2 ORDER BY miles_gap DESC, lower_group LIMIT 1")
+@query(f"WITH {T.RAW_SQL}, {T.ledger_sql(T.AS_OF)}, {GAPS_SQL} SELECT * FROM gaps WHERE rel_gap < 0.2 ORDER BY miles_gap DESC, lower_group LIMIT 1")
 def near_equal_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.near_equal_pair(audit.neighbour_gaps(audit.miles_by_group(_held(spark, sf_dir), T.MILES)), 0.2)
 
@@ -339,3 +337,23 @@ def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_mktsegment AS origin, count(*) AS cards, round(avg(CAST(c_acctbal > 0 AS INTEGER)), 6) AS accrual_rate FROM customer GROUP BY 1")
 def card_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.card_rates(T.read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("origin"), (F.col("c_acctbal") > 0).alias("accrues")))
+
+
+@query("""SELECT 'known' AS part, count(*) AS n, CAST(sum(CAST(catalog_mcc AS BIGINT)) AS BIGINT) AS codes FROM (
+    SELECT descr_norm, catalog_mcc FROM catalog WHERE ascii(right(descr_norm, 1)) % 2 = 0
+    UNION ALL SELECT descr_norm, CASE WHEN ascii(right(descr_norm, 1)) % 4 = 1 THEN '5812' ELSE '5411' END FROM (SELECT DISTINCT descr_norm FROM named) WHERE ascii(right(descr_norm, 1)) % 2 = 1 AND ascii(right(descr_norm, 1)) % 3 <> 0)
+  UNION ALL SELECT 'review', count(*), 0 FROM (SELECT DISTINCT descr_norm FROM named) WHERE ascii(right(descr_norm, 1)) % 3 = 0""")
+def merged_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue of half the descriptions, and answers for all of them of which a third is unsure."""
+    deduped, _ = quality.dedupe_first(T.raw_transactions(spark, sf_dir), ["auth_code"], ["ts", "copy"])
+    kept, _ = quality.cancel_reversals(deduped, "auth_code", "auth_ref", F.col("kind") == "reversa")
+    last = F.ascii(F.substring("descr_norm", -1, 1))
+    catalog = merchants.build_catalog(kept).where(last % 2 == 0)
+    answers = kept.select(merchants.normalize_description(F.col("descr")).alias("descr_norm")).distinct().select(
+        "descr_norm", F.when(last % 4 == 1, "5812").otherwise("5411").alias("mcc"), F.when(last % 3 == 0, 0.5).otherwise(0.9).alias("confidence")
+    )
+    known, review = merchants.merge_answers(catalog, answers)
+    codes = F.sum(F.col("catalog_mcc").cast("long"))
+    return known.agg(F.lit("known").alias("part"), F.count(F.lit(1)).alias("n"), codes.alias("codes")).unionByName(
+        review.agg(F.lit("review").alias("part"), F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("codes"))
+    )

@@ -273,9 +273,12 @@ def lineage_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.coverage(_lineage(spark, sf_dir)).withColumnRenamed("rows", "n_rows")
 
 
-@query()
+@query("""WITH t AS (SELECT md5(concat_ws('|', coalesce(CAST(o_custkey AS VARCHAR), '\\N'), coalesce(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '\\N'), coalesce(CAST(o_orderkey AS VARCHAR), '\\N'), coalesce(o_orderpriority, '\\N'),
+    coalesce(o_orderstatus, '\\N'), coalesce(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), '\\N'))) AS h FROM orders)
+  SELECT CAST(sum(CAST('0x' || substr(h, 1, 13) AS BIGINT)) % 2305843009213693951 AS BIGINT) AS first_sum, CAST(sum(CAST('0x' || substr(h, 14, 13) AS BIGINT)) % 2305843009213693951 AS BIGINT) AS second_sum, count(*) AS n FROM t""")
 def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.fingerprint(T.read(spark, sf_dir, "orders"))
+    o = T.read(spark, sf_dir, "orders")
+    return lineage.fingerprint(o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"), F.to_date("o_orderdate").alias("o_orderdate")))
 
 
 @query("""WITH r AS (SELECT 'long' AS engine, d.doc_id AS crop, CASE WHEN d.n_chars > 300 THEN d.n_chars / 10.0::DOUBLE END AS value FROM documents d UNION ALL SELECT 'mod', doc_id, CASE WHEN doc_id % 3 <> 0 THEN n_chars % 50 + 0.0::DOUBLE END FROM documents),
@@ -292,10 +295,69 @@ def reader_scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.engine_scoreboard(r, truth, lab.where("quality = 0").select(F.col("doc_id").alias("crop")))
 
 
-@query("""SELECT page_id, CAST(nullif(regexp_extract(html, '(?is)page=.*?([0-9]+(?:\\.[0-9]+)?)', 1), '') AS DOUBLE) AS per_gallon FROM pages""")
+#: Two numbers side by side and one after a label, as the given pages show them.
+PAGE_PAIR, PAGE_AGO = r"(?s)track\(([0-9]+)\).*?<!-- ad ([0-9]+) -->", r"(?s)<article>.*?([0-9]+(?:\.[0-9]+)?)"
+
+
+@query(f"""WITH n AS (SELECT page_id, TRY_CAST(regexp_extract(html, '{PAGE_PAIR}', 1) AS DOUBLE) AS per_litre, TRY_CAST(regexp_extract(html, '{PAGE_PAIR}', 2) AS DOUBLE) AS per_gallon,
+  TRY_CAST(regexp_extract(html, '{PAGE_AGO}', 1) AS DOUBLE) AS month_ago FROM pages)
+  SELECT *, CASE WHEN month_ago > 0 THEN round((per_litre - month_ago) / month_ago * 100, 2) END AS change_pct FROM n""")
 def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = T.read(spark, sf_dir, "pages")
-    return p.select("page_id", F.regexp_extract("html", r"(?is)page=.*?([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double").alias("per_gallon"))
+    return io.parse_price_pages(T.read(spark, sf_dir, "pages").select("page_id", "html"), "html", PAGE_PAIR, PAGE_AGO).drop("html")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://drive.google.com/uc?export=download&id=f' || CAST(page_id AS VARCHAR) WHEN page_id % 3 = 1 THEN 'https://www.dropbox.com/s/' || CAST(page_id AS VARCHAR) || '/a.jpg?dl=1' ELSE url END AS link FROM pages""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third page address as a shared link of one kind, every third as one of the other."""
+    number, third = F.col("page_id").cast("string"), F.col("page_id") % 3
+    drive, box = F.concat(F.lit("https://drive.google.com/file/d/f"), number, F.lit("/view")), F.concat(F.lit("https://www.dropbox.com/s/"), number, F.lit("/a.jpg?dl=0"))
+    shared = F.when(third == 0, drive).when(third == 1, box).otherwise(F.col("url"))
+    return T.read(spark, sf_dir, "pages").select("page_id", io.normalize_link(shared).alias("link"))
+
+
+@query("""WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS file_hash, coalesce(lang, '') AS version, coalesce(source, '') AS config FROM documents)
+  SELECT doc_id FROM d WHERE NOT EXISTS (SELECT 1 FROM d k WHERE k.doc_id % 2 = 0 AND k.file_hash = d.file_hash AND k.version = d.version AND k.config = d.config)""")
+def unprocessed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose content, version and configuration no earlier run has had together."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    d = T.read(spark, sf_dir, "documents").select("doc_id", F.sha2(blank("text"), 256).alias("file_hash"), blank("lang").alias("version"), blank("source").alias("config"))
+    return io.pending(d, d.where("doc_id % 2 = 0"), ["file_hash", "version", "config"]).select("doc_id")
+
+
+@query("""WITH k AS (SELECT page_id, sha256(coalesce(html, '')) AS cache_key FROM pages), i AS (SELECT DISTINCT cache_key FROM k WHERE page_id % 3 = 0), f AS (SELECT DISTINCT cache_key FROM k WHERE page_id % 7 = 1),
+  s AS (SELECT CASE WHEN cache_key IN (FROM i) THEN 'skipped' WHEN cache_key IN (FROM f) THEN 'failed' ELSE 'downloaded' END AS status FROM k)
+  SELECT v.status, count(s.status) AS n FROM (VALUES ('downloaded'), ('skipped'), ('failed')) v(status) LEFT JOIN s USING (status) GROUP BY 1""")
+def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = T.read(spark, sf_dir, "pages").select("page_id", F.sha2(F.coalesce("html", F.lit("")), 256).alias("cache_key"))
+    return io.ingest_report(k, k.where("page_id % 3 = 0"), k.where("page_id % 7 = 1"))
+
+
+@query("""WITH t AS (SELECT l_orderkey AS id, l_linenumber AS line, l_partkey AS part, CASE l_partkey % 5 WHEN 0 THEN ' ' || CAST(1000 + l_partkey % 9000 AS VARCHAR) WHEN 1 THEN CAST(10 + l_partkey % 80 AS VARCHAR) || '.5 ' WHEN 2 THEN '4?.' || CAST(l_partkey % 10 AS VARCHAR)
+    WHEN 3 THEN '4.0.' || CAST(l_partkey % 10 AS VARCHAR) ELSE 'Q' || CAST(1000 + l_partkey % 9000 AS VARCHAR) END AS raw FROM lineitem),
+  b AS (SELECT *, regexp_replace(raw, '\s+', '', 'g') AS bare, regexp_replace(raw, '[^0-9]', '', 'g') AS digits FROM t),
+  p AS (SELECT *, CASE WHEN NOT contains(bare, '?') AND len(bare) - len(replace(bare, '.', '')) < 2 THEN TRY_CAST(bare AS DOUBLE) END AS plain FROM b),
+  m AS (SELECT *, plain IS NULL AND len(digits) = 4 AND NOT contains(raw, '.') AS moved FROM p)
+  SELECT part % 5 AS kind, count(*) AS n, round(sum(CASE WHEN moved THEN CAST(left(digits, 2) || '.' || right(digits, 2) AS DOUBLE) ELSE plain END), 2) AS price, round(sum(CASE WHEN moved THEN 0.8::DOUBLE * 0.85::DOUBLE ELSE 0.8::DOUBLE END), 2) AS confidence FROM m GROUP BY 1""")
+def price_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Display readings of several kinds of trouble: bare digits, a point, an unreadable digit, two points, a letter."""
+    li = T.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"))
+    four, digit = (1000 + F.col("part") % 9000).cast("string"), (F.col("part") % 10).cast("string")
+    cases = [F.concat(F.lit(" "), four), F.concat((10 + F.col("part") % 80).cast("string"), F.lit(".5 ")), F.concat(F.lit("4?."), digit), F.concat(F.lit("4.0."), digit), F.concat(F.lit("Q"), four)]
+    raw = F.get(F.array(*cases), (F.col("part") % 5).cast("int"))
+    read = li.select((F.col("part") % 5).alias("kind"), scalars.price_reading(raw, F.lit(0.8)).alias("r"))
+    return read.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("r.price"), 2).alias("price"), F.round(F.sum("r.confidence"), 2).alias("confidence"))
+
+
+@query("""WITH f AS (SELECT p_partkey AS file, 100 + p_size AS width, 50 + p_size % 7 AS height, CASE WHEN p_partkey % 3 = 0 THEN 'wide' WHEN p_partkey % 3 = 1 THEN 'tall' ELSE 'usual' END AS profile FROM part),
+  b AS (FROM (VALUES ('usual', 'diesel', 0.1::DOUBLE, 0.2::DOUBLE, 0.33::DOUBLE, 0.47::DOUBLE), ('usual', 'super', NULL, NULL, NULL, NULL), ('wide', 'diesel', 0.05::DOUBLE, 0.1::DOUBLE, 0.995::DOUBLE, 0.999::DOUBLE), ('tall', 'super', 0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 0.875::DOUBLE)) v(profile, fuel_type, a, b, c, d))
+  SELECT file, fuel_type, CAST(trunc(a * width) AS INTEGER) AS x0, CAST(trunc(b * height) AS INTEGER) AS y0, CAST(trunc(c * width) AS INTEGER) AS x1, CAST(trunc(d * height) AS INTEGER) AS y1 FROM f JOIN b USING (profile)""")
+def panel_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = T.read(spark, sf_dir, "part")
+    photos = p.select(F.col("p_partkey").alias("file"), (100 + F.col("p_size")).alias("width"), (50 + F.col("p_size") % 7).alias("height"))
+    assigned = p.where("p_partkey % 3 < 2").select(F.col("p_partkey").alias("file"), F.when(F.col("p_partkey") % 3 == 0, "wide").otherwise("tall").alias("profile"))
+    rows = [("usual", "diesel", [0.1, 0.2, 0.33, 0.47]), ("usual", "super", None), ("wide", "diesel", [0.05, 0.1, 0.995, 0.999]), ("tall", "super", [0.25, 0.5, 0.75, 0.875])]
+    out = prices.panel_boxes(photos, assigned, spark.createDataFrame(rows, "profile string, fuel_type string, box array<double>"), "usual")
+    return out.select("file", "fuel_type", "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
 
 
 @query("""SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/]*$') AS name, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '(\\.[A-Za-z0-9]+)$', 1)) AS extension FROM pages""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.sources.io import rule_map
@@ -17,6 +17,11 @@ ORIGINS = ["campana", "consumo", "saldo_promedio", "sorteo"]
 NEXT_CUT, AS_OF = "2000-02-05", "1999-06-30"
 
 
+def family(client: Column) -> Column:
+    """Forty neighbouring clients share one account of points; families grow in number with the clients."""
+    return F.floor(client / 40).cast("long")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -57,7 +62,7 @@ categorized AS (SELECT *, CASE WHEN mcc_resolved IN ('6011', '6010') OR kind = '
   WHEN mcc_resolved IN ('5411', '5412', '5541', '5542', '5499', '8398', '8220', '8211') THEN 'reducida' ELSE 'general' END AS category FROM resolved),
 converted AS (SELECT *, CASE WHEN currency = 'USD' THEN amount ELSE amount / 7.70::DOUBLE END AS amount_usd,
   CASE WHEN currency = 'USD' THEN amount * 7.70::DOUBLE ELSE amount END AS amount_gtq FROM categorized),
-tx AS (SELECT c.*, k.c_nationkey AS group_id, k.c_mktsegment AS product, k.c_custkey % 3 = 0 AS is_member, k.c_custkey % 7 = 0 AS uses_mobile,
+tx AS (SELECT c.*, CAST(k.c_custkey // 40 AS BIGINT) AS group_id, k.c_mktsegment AS product, k.c_custkey % 3 = 0 AS is_member, k.c_custkey % 7 = 0 AS uses_mobile,
   CASE WHEN k.c_custkey % 2 = 0 THEN 'visa' ELSE 'mastercard' END AS brand,
   CASE k.c_mktsegment WHEN 'AUTOMOBILE' THEN 180000 WHEN 'BUILDING' THEN 180000 WHEN 'FURNITURE' THEN 360000 WHEN 'HOUSEHOLD' THEN 420000 END AS cap
   FROM converted c JOIN customer k ON c.client_id = k.c_custkey WHERE c.category <> 'excluida'),
@@ -74,14 +79,54 @@ dated AS (SELECT *, d1 + CAST(days + 2 * ((isodow(d1) - 1 + days) // 5) AS INTEG
 accruals AS (
   SELECT group_id, 'consumo' AS origin, credited_on, credited AS points, client_id, key FROM dated
   UNION ALL SELECT d.group_id, 'campana', d.credited_on, c.extra_credited, d.client_id, d.key FROM campaigned c JOIN dated d USING (key)
-  UNION ALL SELECT c_nationkey, 'saldo_promedio', DATE '1998-06-30' + 2, CAST(CASE WHEN c_acctbal > CASE WHEN c_custkey % 2 = 0 THEN 500 ELSE 1000 END THEN floor(c_acctbal / 1000.0::DOUBLE * CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 0 THEN 2 ELSE 1 END) ELSE 0 END AS BIGINT), c_custkey, c_custkey FROM customer
-  UNION ALL SELECT c_nationkey, 'sorteo', DATE '1999-04-03', c_custkey % 500, c_custkey, c_custkey FROM customer WHERE c_custkey % 11 = 0),
+  UNION ALL SELECT CAST(c_custkey // 40 AS BIGINT), 'saldo_promedio', DATE '1998-06-30' + 2, CAST(CASE WHEN c_acctbal > CASE WHEN c_custkey % 2 = 0 THEN 500 ELSE 1000 END THEN floor(c_acctbal / 1000.0::DOUBLE * CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 0 THEN 2 ELSE 1 END) ELSE 0 END AS BIGINT), c_custkey, c_custkey FROM customer
+  UNION ALL SELECT CAST(c_custkey // 40 AS BIGINT), 'sorteo', DATE '1999-04-03', c_custkey % 500, c_custkey, c_custkey FROM customer WHERE c_custkey % 11 = 0),
 lots AS (SELECT group_id, CAST(date_trunc('month', credited_on) AS DATE) AS period, origin, CAST(sum(points) AS BIGINT) AS points FROM accruals WHERE points > 0 GROUP BY 1, 2, 3),
 lots2 AS (SELECT *, last_day(period) AS available_from, make_date(year(period) + 2, 2, 5) AS expires_on FROM lots),
-groups AS (SELECT n_nationkey AS group_id, CASE WHEN n_nationkey % 4 = 0 THEN DATE '1998-10-15' END AS merged_since FROM nation)
+groups AS (SELECT DISTINCT CAST(c_custkey // 40 AS BIGINT) AS group_id, CASE WHEN c_custkey // 40 % 4 = 0 THEN DATE '1998-10-15' END AS merged_since FROM customer)
 """
 
 
+def ledger_sql(until: str | None = None, order: str = "fifo") -> str:
+    """The ledger as a recursion over each family's numbered events; ends with the tables steps, moves and held.
+
+    A book is a list of lots in the order of redemption, each with its place: expiry (negated for lifo), arrival.
+    until: leave out cuts and requests after that day.
+    """
+    at = f" WHERE d <= DATE '{until}'" if until else ""
+    place = "epoch_ms(CAST({0} AS TIMESTAMP)) // 86400000" if order == "fifo" else "-(epoch_ms(CAST({0} AS TIMESTAMP)) // 86400000)"
+    lot = "STRUCT(place BIGINT, arrived BIGINT, lot_id VARCHAR, expires DATE, points BIGINT)"
+    before = "coalesce(list_sum(list_transform(list_slice(book, 1, j - 1), lambda y: y.points)), 0)"
+    part = f"least(x.points, greatest(ask - {before}, 0))"
+    return f"""
+lots3 AS (SELECT *, sha256(CAST(group_id AS VARCHAR) || '#' || CAST(period AS VARCHAR) || '#' || origin) AS lot_id FROM lots2),
+asked AS (SELECT CAST(o_orderkey AS VARCHAR) AS request_id, CAST(o_custkey // 40 AS BIGINT) AS group_id, CASE WHEN o_orderkey % 5 = 0 THEN 'other' ELSE CAST(o_custkey // 40 AS VARCHAR) END AS client_id,
+  CAST(o_orderdate AS DATE) AS d, CAST(floor(o_totalprice / 10) AS BIGINT) AS points, CASE WHEN o_orderkey % 2 = 0 THEN 'web' ELSE 'agencia' END AS center, CASE WHEN o_orderkey % 3 = 0 THEN 'viaje' ELSE 'articulo' END AS prize
+  FROM orders WHERE o_orderpriority = '5-LOW'),
+events AS (SELECT group_id, available_from AS d, 0 AS kind, lot_id AS id, points, expires_on, '' AS client_id FROM lots3
+  UNION ALL SELECT group_id, d, 1, '', 0, NULL, '' FROM groups, (SELECT make_date(CAST(y AS INT), 2, 5) AS d FROM range(1996, 2005) r(y)){at}
+  UNION ALL SELECT group_id, d, 2, request_id, points, NULL, client_id FROM asked{at}),
+numbered_events AS MATERIALIZED (SELECT e.*, row_number() OVER (PARTITION BY group_id ORDER BY d, kind, id) AS i, g.merged_since FROM events e LEFT JOIN groups g USING (group_id)),
+steps AS MATERIALIZED (WITH RECURSIVE s AS (
+  SELECT group_id, CAST(0 AS BIGINT) AS i, CAST([] AS {lot}[]) AS book, CAST([] AS STRUCT(lot_id VARCHAR, points BIGINT)[]) AS moves, CAST(NULL AS VARCHAR) AS result FROM groups
+  UNION ALL
+  SELECT group_id, i, CASE kind WHEN 0 THEN list_sort(list_append(book, CAST({{'place': {place.format('expires_on')}, 'arrived': i, 'lot_id': id, 'expires': expires_on, 'points': points}} AS {lot})))
+      WHEN 1 THEN list_filter(book, lambda x: x.expires > d)
+      ELSE list_filter(list_transform(book, lambda x, j: {{'place': x.place, 'arrived': x.arrived, 'lot_id': x.lot_id, 'expires': x.expires, 'points': x.points - {part}}}), lambda x: x.points > 0) END,
+    CASE kind WHEN 0 THEN [{{'lot_id': id, 'points': points}}]
+      WHEN 1 THEN list_transform(list_filter(book, lambda x: x.expires <= d), lambda x: {{'lot_id': x.lot_id, 'points': -x.points}})
+      ELSE list_filter(list_transform(book, lambda x, j: {{'lot_id': x.lot_id, 'points': -{part}}}), lambda x: x.points < 0) END,
+    result
+  FROM (SELECT *, CASE WHEN result = 'aprobado' THEN points ELSE 0 END AS ask FROM (
+    SELECT s.group_id, e.i, s.book, e.kind, e.id, e.d, e.points, e.expires_on, CASE WHEN e.kind < 2 THEN NULL WHEN e.client_id <> CAST(s.group_id AS VARCHAR) THEN 'no_es_titular'
+      WHEN e.d < e.merged_since + INTERVAL 12 MONTH THEN 'unificacion_menor_a_12_meses' WHEN coalesce(list_sum(list_transform(s.book, lambda y: y.points)), 0) < e.points THEN 'saldo_insuficiente' ELSE 'aprobado' END AS result
+    FROM s JOIN numbered_events e ON e.group_id = s.group_id AND e.i = s.i + 1))
+  ) SELECT s.group_id, s.moves, s.result, e.kind, e.id, e.d, e.points FROM s JOIN numbered_events e USING (group_id, i)),
+moves AS (SELECT m.lot_id, CAST(group_id AS VARCHAR) AS group_id, CASE kind WHEN 0 THEN 'acumulacion' WHEN 1 THEN 'expiracion' ELSE 'canje' END AS type, d AS date, m.points, CASE WHEN kind = 2 THEN id END AS request_id
+  FROM (SELECT *, unnest(moves) AS m FROM steps)),
+held AS (SELECT l.*, CAST(coalesce(m.n, 0) AS BIGINT) AS remaining FROM lots3 l LEFT JOIN (SELECT lot_id, sum(points) AS n FROM moves GROUP BY 1) m USING (lot_id))"""
+
+
 def clean_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deduplicated, reversal-free, resolved and categorised purchases."""
     from millrace.operators import accrual, merchants, quality
@@ -95,7 +140,7 @@ def clean_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer")
     return c.select(
-        F.col("c_custkey").alias("client_id"), F.col("c_nationkey").alias("group_id"), F.col("c_mktsegment").alias("product"), (F.col("c_custkey") % 3 == 0).alias("is_member"),
+        F.col("c_custkey").alias("client_id"), family(F.col("c_custkey")).alias("group_id"), F.col("c_mktsegment").alias("product"), (F.col("c_custkey") % 3 == 0).alias("is_member"),
         (F.col("c_custkey") % 7 == 0).alias("uses_mobile"), F.when(F.col("c_custkey") % 2 == 0, "visa").otherwise("mastercard").alias("brand"), rule_map(CAPS, F.col("c_mktsegment")).alias("cap"),
     )
 
@@ -148,8 +193,19 @@ def accruals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = read(spark, sf_dir, "nation")
-    return n.select(F.col("n_nationkey").alias("group_id"), F.when(F.col("n_nationkey") % 4 == 0, F.lit("1998-10-15").cast("date")).alias("merged_since"), F.col("n_nationkey").cast("string").alias("holder_id"))
+    g = read(spark, sf_dir, "customer").select(family(F.col("c_custkey")).alias("group_id")).distinct()
+    return g.select("group_id", F.when(F.col("group_id") % 4 == 0, F.lit("1998-10-15").cast("date")).alias("merged_since"), F.col("group_id").cast("string").alias("holder_id"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders of low priority as redemption requests of their family."""
+    o = read(spark, sf_dir, "orders").where("o_orderpriority = '5-LOW'")
+    group = family(F.col("o_custkey"))
+    return o.select(
+        F.col("o_orderkey").cast("string").alias("request_id"), group.alias("group_id"), F.when(F.col("o_orderkey") % 5 == 0, "other").otherwise(group.cast("string")).alias("client_id"),
+        F.to_date("o_orderdate").alias("date"), F.floor(F.col("o_totalprice") / 10).cast("long").alias("points"),
+        F.when(F.col("o_orderkey") % 2 == 0, "web").otherwise("agencia").alias("center"), F.when(F.col("o_orderkey") % 3 == 0, "viaje").otherwise("articulo").alias("prize"),
+    )
 
 
 def lots(spark: SparkSession, sf_dir: str) -> DataFrame:

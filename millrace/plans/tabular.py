@@ -50,7 +50,7 @@ def chronological_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
 
 
-@query()
+@query("""SELECT CASE WHEN h < 60 THEN 'train' WHEN h < 80 THEN 'validation' ELSE 'test' END AS split, count(*) AS n FROM (SELECT CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS h FROM orders) GROUP BY 1""")
 def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.hash_split(T.read(spark, sf_dir, "orders"), "o_orderkey", {"train": 60, "validation": 20, "test": 20}).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 

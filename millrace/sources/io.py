@@ -73,13 +73,32 @@ def pending(catalog: DataFrame, index: DataFrame, keys: list[str], limit: int |
     return fresh.orderBy(order).limit(limit) if limit else fresh
 
 
-def parse_price_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Per-litre, per-gallon and month-ago price of a page, and the change in percent."""
-    text = F.col(html)
-    number = r"([0-9]+(?:\.[0-9]+)?)"
-    price = lambda label: F.regexp_extract(text, rf"(?is){label}.*?{number}", 1).try_cast("double")
-    latest, ago = price("per lit(?:re|er)"), price("month ago")
-    return pages.withColumns({"per_litre": latest, "per_gallon": price("per gallon"), "month_ago": ago, "change_pct": F.when(ago > 0, F.round((latest - ago) / ago * 100, 2))})
+#: How a reference-price page shows its figures. A number is a centred cell; the current price per litre and
+#: per gallon are two such cells side by side after the currency, the price of a month ago follows its label.
+PRICE_CELL = r'align="center">([\d.]+)</td>'
+PRICE_PAIR = rf"(?s)GTQ.*?{PRICE_CELL}\s*<td[^>]*{PRICE_CELL}"
+MONTH_AGO = rf"(?s)Hace un mes.*?{PRICE_CELL}"
+
+
+def parse_price_pages(pages: DataFrame, html: str = "html", pair: str = PRICE_PAIR, ago: str = MONTH_AGO) -> DataFrame:
+    """Per-litre, per-gallon and month-ago price of a page, and the change in percent; null where a page does not show them.
+
+    pair: pattern with two groups, per litre and per gallon; ago: pattern with one.
+    """
+    found = lambda pattern, group: F.regexp_extract(html, pattern, group).try_cast("double")
+    litre, before = found(pair, 1), found(ago, 1)
+    change = F.when(before > 0, F.round((litre - before) / before * 100, 2))
+    return pages.withColumns({"per_litre": litre, "per_gallon": found(pair, 2), "month_ago": before, "change_pct": change})
+
+
+def ingest_report(catalog: DataFrame, index: DataFrame, failures: DataFrame, key: str = "cache_key") -> DataFrame:
+    """How many files of the catalogue are new (downloaded), known already (skipped) and lost (failed), with all three rows always there."""
+    known, lost = index.select(key).distinct().withColumn("_known", F.lit(True)), failures.select(key).distinct().withColumn("_lost", F.lit(True))
+    status = F.when(F.col("_known"), "skipped").when(F.col("_lost"), "failed").otherwise("downloaded")
+    counted = catalog.join(known, key, "left").join(lost, key, "left").select(status.alias("status")).agg(
+        *[F.sum((F.col("status") == s).cast("long")).alias(s) for s in ("downloaded", "skipped", "failed")]
+    )
+    return counted.select(F.explode(F.create_map(*[x for s in counted.columns for x in (F.lit(s), F.coalesce(s, F.lit(0)))])).alias("status", "n"))
 
 
 def features_to_map(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:

@@ -121,9 +121,12 @@ def test_sources(spark, tmp_path):
     assert sorted(r["name"] for r in io.parse_manifest(texts).collect()) == ["a.jpg", "c.png", "d.jpeg"]
     links = spark.createDataFrame([("https://drive.google.com/file/d/AbC-1/view",), ("https://www.dropbox.com/s/q/a.jpg?dl=0",), ("http://x/a.jpg",)], "u string")
     assert [r[0] for r in links.select(io.normalize_link(F.col("u"))).collect()] == ["https://drive.google.com/uc?export=download&id=AbC-1", "https://www.dropbox.com/s/q/a.jpg?dl=1", "http://x/a.jpg"]
-    page = spark.createDataFrame([("<p>Price per litre: 10.67</p><p>per gallon 40.38</p><p>month ago 10.60</p>",), ("<p>nothing</p>",)], "html string")
+    cell = '<td align="center">%s</td>'
+    shown = "<tr><td>GTQ</td>" + cell % "10.67" + "\n " + cell % "40.38" + "</tr><tr><td>Hace un mes</td>" + cell % "10.60" + "</tr>"
+    page = spark.createDataFrame([(shown,), (shown.replace("10.60", "0"),), ("<p>nothing</p>",), (None,)], "html string")
     got = io.parse_price_pages(page).collect()
-    assert (got[0]["per_litre"], got[0]["per_gallon"], got[0]["change_pct"]) == (10.67, 40.38, 0.66) and got[1]["per_litre"] is None
+    assert (got[0]["per_litre"], got[0]["per_gallon"], got[0]["month_ago"], got[0]["change_pct"]) == (10.67, 40.38, 10.6, 0.66)
+    assert got[1]["change_pct"] is None and got[2]["per_litre"] is None and got[3]["per_gallon"] is None
     catalog = io.with_cache_key(spark.createDataFrame([("i", 5, None, "abc"), ("j", 6, None, None)], "identifier string, size long, modified_at timestamp, checksum string"))
     assert [r["cache_key"] for r in catalog.orderBy("identifier").collect()] == ["sum:abc", "id:j|6|"]
     assert io.pending(catalog, catalog.where("identifier = 'i'"), ["cache_key"], 3).count() == 1
@@ -139,3 +142,43 @@ def test_streams(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("deduped").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("deduped").count() == 2
+
+
+def test_writer_replaces_the_whole_table(spark, tmp_path):
+    path = str(tmp_path / "silver")
+    df = lambda rows: spark.createDataFrame(rows, "k string, v int")
+    io.write_table(df([("a", 1), ("b", 2)]), path, ["k"])
+    assert (tmp_path / "silver" / "k=a").is_dir()
+    io.write_table(df([("c", 3)]), path, ["k"])
+    assert [tuple(r) for r in spark.read.parquet(path).select("k", "v").collect()] == [("c", 3)]
+    io.write_table(df([("d", 4)]), str(tmp_path / "csv"), fmt="csv")
+    assert spark.read.csv(str(tmp_path / "csv")).count() == 1
+
+
+def test_price_texts(spark):
+    df = spark.createDataFrame([("40.09",), (" 40 . 09",), ("Q4009",), ("4?09",), ("4.0.9",), ("4609",), (None,)], "t string")
+    got = [tuple(r["r"]) for r in df.select(scalars.price_reading(F.col("t"), F.lit(0.8)).alias("r")).collect()]
+    assert got == [(40.09, 0.8), (40.09, 0.8), (40.09, pytest.approx(0.68)), (None, 0.8), (None, 0.8), (4609.0, 0.8), (None, 0.8)]
+    words = spark.createDataFrame([("SUPERM. LA TORRE",), ("GAS. X",), (None,)], "t string")
+    assert [r[0] for r in words.select(scalars.expand_abbreviations(F.col("t"), {"SUPERM.": "SUPERMERCADO", "GAS.": "GASOLINERA"})).collect()] == ["SUPERMERCADO LA TORRE", "GASOLINERA X", None]
+
+
+def test_panel_boxes_cut_off_and_fall_back(spark):
+    photos = spark.createDataFrame([("a", 101, 51), ("new", 100, 50)], "file string, width int, height int")
+    profiles = spark.createDataFrame([("usual", "diesel", [0.1, 0.2, 0.999, 0.99]), ("usual", "super", None), ("wide", "diesel", [0.5, 0.5, 1.0, 1.0])], "profile string, fuel_type string, box array<double>")
+    out = prices.panel_boxes(photos, spark.createDataFrame([("a", "wide")], "file string, profile string"), profiles, "usual")
+    got = {(r["file"], r["fuel_type"]): r["bbox"] for r in out.collect()}
+    assert tuple(got["a", "diesel"]) == (50, 25, 101, 51) and tuple(got["new", "diesel"]) == (10, 10, 99, 49) and got["new", "super"] is None and len(got) == 3
+
+
+def test_ingest_counts(spark):
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "cache_key string")
+    report = lambda *a: {r["status"]: r["n"] for r in io.ingest_report(*a).collect()}
+    assert report(keys("a", "b", "c"), keys("x"), keys("c")) == {"downloaded": 2, "skipped": 0, "failed": 1}
+    assert report(keys("a", "b", "c"), keys("a", "b", "c"), keys()) == {"downloaded": 0, "skipped": 3, "failed": 0}
+
+
+def test_fingerprint_ignores_order_and_sees_every_cell(spark):
+    rows = [(1, "a", None), (2, None, "b"), (2, None, "b")]
+    mark = lambda r: tuple(lineage.fingerprint(spark.createDataFrame(r, "k int, a string, b string")).first())
+    assert mark(rows) == mark(rows[::-1]) and len({mark(rows), mark(rows[:2]), mark([(1, "a", ""), *rows[1:]]), mark([(1, None, "a"), *rows[1:]])}) == 4
