@@ -5,35 +5,61 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none (tests)."""
+    """The folder that driver and executors share.  Only a local session without one (tests) gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        found = tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Lists to which `materialize` adds the paths it writes, innermost `scratch` last.
+_WRITTEN: list[list[str]] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a table in the shared folder and read it again: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
     df.write.parquet(path)
+    for written in _WRITTEN[-1:]:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at the end what `materialize` wrote inside, but for the paths taken out of the list."""
+    _WRITTEN.append([])
+    try:
+        yield _WRITTEN[-1]
+    finally:
+        for path in _WRITTEN.pop():
+            discard(spark, path)
+
+
 def open_shared(uri: str, mode: str):
     """Open a file of the shared folder inside a task, whatever store it is in."""
     parts = urlparse(uri)

@@ -3,8 +3,9 @@
 Every word of a text is labelled: its emission scores come from affixes (the first and last two to
 four bytes), character n-grams of two to four bytes, and a lexicon of frequent words, all with learned
 weights; learned transition weights join neighbouring labels; forward-backward gives each word's
-label probabilities.  Chains are runs of at most CHAIN words.  A document's language is the label with
-the largest mean probability over all its words, and its score is that mean.
+label probabilities.  A text is read in windows of CHAIN words, each with MARGIN words of context on both
+sides whose own labels come from the neighbouring windows.  A document's language is the label with the
+largest mean probability over all its words, and its score is that mean.
 
 Training maximises the likelihood of labelled words.  Its sample is bounded: at most `docs_per_lang`
 documents of each language, chosen by a hash of the text, and of each `words_per_doc` words in runs
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS, CHAIN, LEXICON = 1 << 15, 48, 2000
+BUCKETS, CHAIN, MARGIN, LEXICON = 1 << 15, 48, 6, 2000
 #: Texts are decoded in pieces of about so many words together.
 PIECE = 60_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -140,6 +141,15 @@ def _chains(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(index < n, index, index[:, :1]), lengths
 
 
+def _windows(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index (windows x width, padded with the last word) of n words in order, window lengths, and which places give labels."""
+    first = np.arange(0, n, CHAIN)
+    start, end = np.maximum(first - MARGIN, 0), np.minimum(first + CHAIN + MARGIN, n)
+    index = start[:, None] + np.arange(CHAIN + 2 * MARGIN)[None, :]
+    own = (index >= first[:, None]) & (index < np.minimum(first + CHAIN, n)[:, None])
+    return np.minimum(index, n - 1), end - start, own
+
+
 def train(runs: list[tuple[str, str]], rounds: int = 40, rate: float = 0.5, decay: float = 1e-4) -> Crf:
     """runs: (language, words joined by blanks), in the order in which chains join them."""
     langs = sorted({lang for lang, _ in runs})
@@ -183,11 +193,11 @@ def train(runs: list[tuple[str, str]], rounds: int = 40, rate: float = 0.5, deca
 def training_runs(docs: DataFrame, docs_per_lang: int = 300, words_per_doc: int = 192, run: int = 16) -> list[tuple[str, str]]:
     """The bounded sample: (language, run of words), shuffled by a hash.  docs: text, lang, already without held-out rows."""
     usable = docs.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn("h", F.xxhash64("text"))
-    # A first thinning by hash leaves a few times the documents wanted, however many there are; only these are ranked.
-    counts = usable.groupBy("lang").count()
-    thin = counts.select(F.col("lang").alias("known"), (F.lit(4.0 * docs_per_lang) / F.col("count")).alias("rate"))
+    # A first thinning by hash leaves a few times the distinct texts wanted, however many there are; only these are ranked.
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    thin = counts.select(F.col("lang").alias("known"), (F.lit(4.0 * docs_per_lang) / F.col("n")).alias("rate"))
     uniform = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    few = usable.join(F.broadcast(thin), F.col("lang") == F.col("known")).where(uniform < F.col("rate"))
+    few = usable.join(F.broadcast(thin), F.col("lang") == F.col("known")).where(uniform < F.col("rate")).dropDuplicates(["lang", "h"])
     order = Window.partitionBy("lang").orderBy("h", F.md5("text"))
     chosen = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_lang)
 
@@ -220,12 +230,12 @@ def word_probabilities(texts: list[str], model: Crf) -> Iterator[tuple[int, np.n
         scores = model.emissions(row, place, model.lexicon_rows(hashes))
         counts = np.array([len(p[1]) for _, p in held])
         first = np.cumsum(counts) - counts
-        blocks = [_chains(c) for c in counts if c]
+        blocks = [_windows(c) for c in counts if c]
         index = np.concatenate([b[0] + a for b, a in zip(blocks, first[counts > 0], strict=True)])
-        lengths = np.concatenate([b[1] for b in blocks])
-        both, _, live, _ = model.forward_backward(scores[index], lengths)
+        own = np.concatenate([b[2] for b in blocks])
+        both, _, _, _ = model.forward_backward(scores[index], np.concatenate([b[1] for b in blocks]))
         flat = np.empty_like(scores)
-        flat[index[live]] = both[live]
+        flat[index[own]] = both[own]
         for (i, _), a, c in zip(held, first, counts, strict=True):
             yield i, flat[a : a + c]
 

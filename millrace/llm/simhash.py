@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import join_unique, materialize, unused_name
+from millrace.llm.common import discard, join_unique, materialize, scratch, unused_name
 
 BLOCK, RADIUS, MOST = 23, 3, 2
 #: Generator polynomial of the Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -216,21 +216,25 @@ def components(links: DataFrame, label: str = "components", most_rounds: int = 6
     Alternating large-star and small-star rounds; each is an aggregation with map-side partials and a
     join, written to the shared folder.
     """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), label)
-    before = None
-    for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u").select(F.col("v").alias("x"), F.col("m").alias("v")).where("x <> v").withColumnRenamed("x", "u")
-        edges = materialize(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), label)
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError("components did not settle")
+    spark = links.sparkSession
+    with scratch(spark) as written:
+        edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), label)
+        before = None
+        for _ in range(most_rounds):
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(small_least, "u").select(F.col("v").alias("x"), F.col("m").alias("v")).where("x <> v").withColumnRenamed("x", "u")
+            edges = materialize(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), label)
+            discard(spark, written.pop(0))
+            state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if state == before:
+                break
+            before = state
+        else:
+            raise RuntimeError("components did not settle")
+        written.clear()  # the last round is what the result reads
     star = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return star.unionByName(star.select(F.col("root").alias("node"), "root").distinct())
 

@@ -376,6 +376,47 @@ def test_bpe_holds_little_and_decodes_bytes(library):
     assert "".join(decoder.push([i]) for i in ids) + decoder.finish() == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_memory_is_constant(library):
+    """Four million characters in pieces, among them one word of 300,000: the stream keeps a window, not the text."""
+    import tracemalloc
+
+    codec, rng = bpe_stream.encoder(bpe_stream.tokenizer_file()), random.Random(8)
+    word = lambda: "".join(rng.choice("aeiourstnl") for _ in range(6))
+    some = " ".join(word() for _ in range(2000)) + " "
+
+    def pieces():
+        yield from (some for _ in range(140))
+        yield from ("abc" * 10_000 for _ in range(10))
+        yield from (some for _ in range(140))
+
+    sum(map(len, codec.stream(pieces())))
+    tracemalloc.start()
+    n = sum(map(len, codec.stream(pieces()))) // 4
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(library.encode("".join(pieces()), add_special_tokens=False).ids) and peak < 2_000_000
+
+
+def test_bpe_caches_are_renewed(docs, library, monkeypatch):
+    """Tiny caches give the same ids, in both encoders."""
+    monkeypatch.setattr(bpe_stream, "CACHE", 20)
+    monkeypatch.setattr(bpe_stream, "PAIRS", 30)
+    monkeypatch.setattr(bpe_stream, "HEADS", 10)
+    monkeypatch.setattr(token_pack, "KNOWN", 20)
+    codec = bpe_stream.Encoder(bpe_stream.tokenizer_file())
+    encode, _ = token_pack.library_encoder.__wrapped__(bpe_stream.tokenizer_file())
+    texts = [r["text"] or "" for r in docs.collect()]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [codec.encode(t) for t in texts] == want
+        assert [np.frombuffer(b, "<u4").tolist() for t in texts for b in encode([t])] == want
+    assert len(codec.young) <= 20 and len(codec.table.pairs) <= 30 and len(codec.table.heads) <= 11
+
+
+def test_bpe_empty_table(docs):
+    assert bpe_stream.encode_documents(docs.where("false"), with_ids=True).count() == 0
+
+
 def test_token_files(docs, library):
     rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
     want, at = [], 0
@@ -450,12 +491,12 @@ def test_neighbours(spark):
     centres = rng.standard_normal((12, 24))
     x = np.concatenate([c + 0.6 * rng.standard_normal((60, 24)) for c in centres])
     vectors = [row.tolist() for row in x]
-    rows = [(i, v) for i, v in enumerate(vectors)] + [(2000 + i, vectors[50]) for i in range(40)] + [(3000, None), (3050, [0.0] * 24), (3100, [float("nan")] * 24), (None, vectors[0]), (3200, [1.0, 2.0])]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(2000 + i, vectors[50]) for i in range(40)] + [(3000, None), (3050, [0.0] * 24), (3100, [float("nan")] * 24), (3150, [float("inf")] + [1.0] * 23), (3300, [None] + [1.0] * 23), (None, vectors[0]), (3200, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).repartition(3)
     got = collections.defaultdict(list)
     for r in multiprobe.nearest(df, lambda i: i % 50 == 0).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
-    usable = [(i, np.array(v)) for i, v in rows if i is not None and v is not None and len(v) == 24 and np.isfinite(v).all() and any(v)]
+    usable = [(i, np.array(v)) for i, v in rows if i is not None and v is not None and len(v) == 24 and None not in v and np.isfinite(v).all() and any(v)]
     hits = total = 0
     for q, v in usable:
         if q % 50 == 0:
@@ -463,7 +504,7 @@ def test_neighbours(spark):
             total += 5
             hits += len({i for i, _ in got[q]} & {i for _, i in cos})
             assert len(got[q]) == 5 and got[q] == sorted(got[q], key=lambda x: (-x[1], x[0]))
-    assert hits / total >= 0.9 and not {3000, 3050, 3100, 3200} & set(got)
+    assert hits / total >= 0.9 and not {3000, 3050, 3100, 3150, 3200, 3300} & set(got)
     assert [i for i, _ in got[2000]] == [50, 2001, 2002, 2003, 2004]
     few = multiprobe.nearest(df.where("vec_id in (0, 1, 700)"), lambda i: i % 50 == 0).collect()
     assert sorted((r["query_id"], r["vec_id"]) for r in few) == [(0, 1), (0, 700), (700, 0), (700, 1)]
