@@ -43,11 +43,14 @@ def cancel_reversals(tx: DataFrame, id_col: str, ref_col: str, is_reversal: Colu
     """
     reversal = F.coalesce(is_reversal, F.lit(False))
     target = F.when(reversal, F.coalesce(F.col(ref_col), F.col(id_col))).otherwise(F.col(id_col))
-    marked = tx.withColumn("_target", target).withColumn("_cancelled", F.coalesce(F.max(reversal).over(Window.partitionBy("_target")), F.lit(False)))
+    # Rows without an id share no target; a hash of the row spreads them over windows of their own.
+    alone = F.when(target.isNull(), F.xxhash64(*[F.col(f"`{c}`") for c in tx.columns]))
+    by_target = Window.partitionBy("_target", "_alone")
+    marked = tx.withColumn("_target", target).withColumn("_alone", alone).withColumn("_cancelled", F.coalesce(F.max(reversal).over(by_target), F.lit(False)))
     # Rows without an id are named by nobody.
     gone = F.col("_cancelled") & (F.col("_target").isNotNull() | reversal)
-    kept = marked.where(~gone).drop("_target", "_cancelled")
-    return kept, marked.where(gone).drop("_target", "_cancelled").withColumn("motivo", F.lit("reversa"))
+    kept = marked.where(~gone).drop("_target", "_alone", "_cancelled")
+    return kept, marked.where(gone).drop("_target", "_alone", "_cancelled").withColumn("motivo", F.lit("reversa"))
 
 
 def row_filter(df: DataFrame, max_null_ratio: float, bounds: dict[str, tuple[float, float]]) -> DataFrame:

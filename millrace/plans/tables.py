@@ -35,11 +35,12 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(rule_map(CODES, F.col("o_orderpriority")), F.lit("")).alias("mcc"), F.concat(F.lit("  shop   "), (F.col("o_custkey") % 40).cast("string"), F.lit(" ")).alias("descr"),
         F.when(F.col("o_orderkey") % 41 == 0, "extrafinanciamiento").otherwise("compra").alias("kind"), F.lit(None).cast("string").alias("auth_ref"), F.lit(0).alias("copy"),
     )
-    retries = base.where(F.col("key") % 33 == 0).withColumn("copy", F.lit(1))
-    reversals = base.where(F.col("key") % 50 == 0).withColumns(
-        {"auth_ref": F.col("auth_code"), "auth_code": F.concat(F.lit("R"), "auth_code"), "kind": F.lit("reversa"), "ts": F.col("ts") + F.expr("INTERVAL 2 DAYS")}
-    )
-    return base.unionByName(retries).unionByName(reversals)
+    # One pass: every order becomes an array of itself, its retry and its reversal.
+    row = lambda **changed: F.struct(*[changed.get(c, F.col(c)).alias(c) for c in base.columns])
+    retry = F.when(F.col("key") % 33 == 0, row(copy=F.lit(1)))
+    turned = {"auth_ref": F.col("auth_code"), "auth_code": F.concat(F.lit("R"), "auth_code"), "kind": F.lit("reversa"), "ts": F.col("ts") + F.expr("INTERVAL 2 DAYS")}
+    reversal = F.when(F.col("key") % 50 == 0, row(**turned))
+    return base.select(F.explode(F.array_compact(F.array(row(), retry, reversal))).alias("t")).select("t.*")
 
 
 RAW_SQL = """
