@@ -36,9 +36,22 @@ def hash_split(df: DataFrame, key: str, weights: dict[str, int]) -> DataFrame:
     return df.withColumn("split", out)
 
 
-def forward_folds(df: DataFrame, key: str, order: str, k: int) -> DataFrame:
-    """Adds fold 1..k+1 in time order per key; fold f is tested on what was learned from the folds before it."""
-    return df.withColumn("fold", F.ntile(k + 1).over(Window.partitionBy(key).orderBy(order)))
+def forward_folds(df: DataFrame, key: str, order: str, k: int, ranges: int = 64) -> DataFrame:
+    """Adds fold 1..k+1 in time order per key, of equal size as ntile makes them; fold f is tested on what was learned from the folds before it.
+
+    A key may hold most rows, so rows are ranked within ranges of `order` and the rows of earlier ranges are counted.
+    """
+    cuts = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 1000)).first()[0] or []
+    within = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    ranged = df.withColumn("_range", within)
+    counts = ranged.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    by_key = Window.partitionBy("_key")
+    placed = counts.select("_key", "_at", (F.sum("_n").over(by_key.orderBy("_at")) - F.col("_n")).alias("_before"), F.sum("_n").over(by_key).alias("_all"))
+    rows = ranged.join(placed, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at")))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy(key, "_range").orderBy(order))
+    size, larger = F.floor(F.col("_all") / (k + 1)), F.col("_all") % (k + 1)  # the first `larger` folds have one row more
+    fold = F.when(rank <= larger * (size + 1), F.ceil(rank / (size + 1))).otherwise(larger + F.ceil((rank - larger * (size + 1)) / F.greatest(size, F.lit(1))))
+    return rows.withColumn("fold", fold.cast("int")).drop("_range", "_key", "_at", "_before", "_all")
 
 
 def training_rows(gold: DataFrame, keys: list[str], features: list[str], target: str, least: int) -> DataFrame:

@@ -182,3 +182,14 @@ def test_fingerprint_ignores_order_and_sees_every_cell(spark):
     rows = [(1, "a", None), (2, None, "b"), (2, None, "b")]
     mark = lambda r: tuple(lineage.fingerprint(spark.createDataFrame(r, "k int, a string, b string")).first())
     assert mark(rows) == mark(rows[::-1]) and len({mark(rows), mark(rows[:2]), mark([(1, "a", ""), *rows[1:]]), mark([(1, None, "a"), *rows[1:]])}) == 4
+
+
+def test_forward_folds_are_those_of_ntile(spark):
+    from pyspark.sql import Window
+
+    rows = [("a", i * 7919 % 1009) for i in range(500)] + [("b", i) for i in range(3)] + [(None, i) for i in range(11)]
+    df = spark.createDataFrame(rows, "k string, t int")
+    got = evaluate.forward_folds(df, "k", "t", 4, 16)
+    want = df.withColumn("fold", F.ntile(5).over(Window.partitionBy("k").orderBy("t")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.columns == want.columns
+    assert evaluate.forward_folds(df.where("false"), "k", "t", 4).count() == 0
