@@ -148,14 +148,30 @@ def refuel_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.recommend(latest.join(wins, "fuel_type"), 18).select("fuel_type", "date", "change", "action", "trend", "peak_hour", "warning")
 
 
-@query()
+#: The same least squares by taking one feature after another out of the rest; coefficients from all but the last 60 rows of a key.
+FIT_SQL = """u AS (SELECT *, count(*) OVER (PARTITION BY fuel_type) AS held, row_number() OVER (PARTITION BY fuel_type ORDER BY date DESC) AS back
+    FROM (SELECT fuel_type, date, lag_1 AS x1, lag_2 AS x2, rolling_mean_3 AS x3, t1 AS y, price FROM feat) WHERE x1 + x2 + x3 + y IS NOT NULL),
+  s1 AS (SELECT fuel_type, regr_slope(x2, x1) AS b2, regr_intercept(x2, x1) AS a2, regr_slope(x3, x1) AS b3, regr_intercept(x3, x1) AS a3, regr_slope(y, x1) AS b, regr_intercept(y, x1) AS a FROM u WHERE back > 60 AND held >= 80 GROUP BY 1),
+  r1 AS (SELECT u.*, x2 - a2 - b2 * x1 AS e2, x3 - a3 - b3 * x1 AS e3, a + b * x1 AS f1 FROM u JOIN s1 USING (fuel_type)),
+  s2 AS (SELECT fuel_type, regr_slope(e3, e2) AS c3, regr_slope(y - f1, e2) AS c FROM r1 WHERE back > 60 GROUP BY 1),
+  r2 AS (SELECT r1.*, e3 - c3 * e2 AS g3, f1 + c * e2 AS f2 FROM r1 JOIN s2 USING (fuel_type)),
+  s3 AS (SELECT fuel_type, regr_slope(y - f2, g3) AS d FROM r2 WHERE back > 60 GROUP BY 1),
+  p AS (SELECT r2.*, f2 + d * g3 AS yhat FROM r2 JOIN s3 USING (fuel_type) WHERE back <= 60),
+  q AS (SELECT fuel_type, count(*) AS n, avg(abs(yhat - y)) AS mae, avg(abs((yhat - y) / y)) * 100 AS mape, sum(abs(yhat - y)) / sum(abs(y)) * 100 AS wape, sqrt(avg((yhat - y) * (yhat - y))) AS rmse,
+    1 - sum((yhat - y) * (yhat - y)) / (var_pop(y) * count(*)) AS r2, avg(yhat - y) AS bias, avg(abs(price - y)) AS mae_base FROM p GROUP BY 1)"""
+
+
+@query(f"""WITH {SERIES_SQL}, {FIT_SQL} SELECT fuel_type, n, round(mae, 4) AS mae, round(mape, 3) AS mape, round(wape, 3) AS wape, round(rmse, 4) AS rmse, round(r2, 3) AS r2, round(bias, 4) AS bias, round(mae_base, 4) AS mae_base,
+  round((mae_base - mae) / mae_base * 100, 2) AS improvement FROM q""")
 def forecasts_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least squares per fuel on lags; metrics of the last 60 weeks."""
     cols, target = ["lag_1", "lag_2", "rolling_mean_3"], "target_price_h1"
     rows = evaluate.training_rows(featured(spark, sf_dir), ["fuel_type"], cols, target, 80)
     train, test = evaluate.last_n_split(rows, "fuel_type", "date", 60)
     out = ml.predict_linear(test, ml.linear_per_key(train, ["fuel_type"], cols, target), ["fuel_type"], cols)
-    return evaluate.regression_metrics(out, target, "forecast", ["fuel_type"], "price")
+    m = evaluate.regression_metrics(out, target, "forecast", ["fuel_type"], "price")
+    digits = {"mae": 4, "mape": 3, "wape": 3, "rmse": 4, "r2": 3, "bias": 4, "mae_base": 4, "improvement": 2}
+    return m.select("fuel_type", "n", *[F.round(c, d).alias(c) for c, d in digits.items()])
 
 
 GRID_SQL = """g AS (SELECT DISTINCT l_returnflag AS fuel_type FROM lineitem), grid AS (SELECT fuel_type, CAST(d AS DATE) AS date FROM g, range(DATE '1994-01-03', DATE '1998-12-29', INTERVAL 7 DAY) r(d))"""

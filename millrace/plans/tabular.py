@@ -137,11 +137,26 @@ def regression_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("l_returnflag", "n", F.round(F.col("weights")[1], 3).alias("slope"), F.round(F.col("weights")[0], 1).alias("intercept"))
 
 
-@query()
+RIDGE = ["l_quantity", "l_discount", "l_tax", "line"]
+
+
+def _ridge_sql(penalty: float = 0.1, rounds: int = 60) -> str:
+    """The normal equations of standardised columns, (R + penalty / deviation of the target) b = r, solved by Jacobi steps."""
+    k = range(len(RIDGE))
+    pairs = [f"corr(x{i}, x{j}) AS r{i}{j}" for i in k for j in k if i < j]
+    single = [f"corr(x{i}, y) AS y{i}, stddev_pop(x{i}) AS s{i}" for i in k]
+    step = [f"(y{i} - ({' + '.join(f'r{min(i, j)}{max(i, j)} * b{j}' for j in k if j != i)})) / (1 + pen) AS b{i}" for i in k]
+    out = " UNION ALL ".join(f"SELECT '{c}' AS feature, round(b{i} * sy / s{i}, 3) AS coefficient FROM b, m WHERE t = {rounds}" for i, c in enumerate(RIDGE))
+    return f"""WITH RECURSIVE x AS (SELECT l_quantity AS x0, l_discount AS x1, l_tax AS x2, CAST(l_linenumber AS DOUBLE) AS x3, l_extendedprice AS y FROM lineitem),
+  m AS MATERIALIZED (SELECT {', '.join(pairs + single)}, stddev_pop(y) AS sy, {penalty}::DOUBLE / stddev_pop(y) AS pen FROM x),
+  b AS (SELECT 0 AS t, {', '.join(f'0.0::DOUBLE AS b{i}' for i in k)} UNION ALL SELECT t + 1, {', '.join(step)} FROM b, m WHERE t < {rounds}) {out}"""
+
+
+@query(_ridge_sql())
 def ridge_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, cols = _orders_table(spark, sf_dir), ["l_quantity", "l_discount", "l_tax", "line"]
-    _, model = ml.fit_predict(rows, rows, cols, "l_extendedprice", "ridge")
-    return evaluate.by_absolute(ml.coefficients(spark, model, cols))
+    rows = _orders_table(spark, sf_dir)
+    _, model = ml.fit_predict(rows, rows, RIDGE, "l_extendedprice", "ridge")
+    return evaluate.by_absolute(ml.coefficients(spark, model, RIDGE)).withColumn("coefficient", F.round("coefficient", 3))
 
 
 @query()
