@@ -39,15 +39,16 @@ _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space
 BROADCAST_ROWS = 500_000
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}')}>"
+def record_id(page_id: int, digest: str, kind: str = "response") -> str:
+    """Known without the other record: a revisit has the payload that it names.  Only rows equal in id and payload share one."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}:{digest}:{kind}')}>"
 
 
 def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     body = b"" if refers_to is not None else payload
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     target = urllib.parse.quote(url, safe="/:?#[]@!$&'()*+,;=%~-._") if url else f"urn:page:{page_id}"
-    own = record_id(page_id) if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"
+    own = record_id(page_id, digest, "response" if refers_to is None else "revisit") if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {own}", "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response",
@@ -56,7 +57,7 @@ def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, r
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + http + body + b"\r\n\r\n"
 
 
