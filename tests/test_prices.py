@@ -193,3 +193,13 @@ def test_forward_folds_are_those_of_ntile(spark):
     want = df.withColumn("fold", F.ntile(5).over(Window.partitionBy("k").orderBy("t")))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.columns == want.columns
     assert evaluate.forward_folds(df.where("false"), "k", "t", 4).count() == 0
+
+
+def test_exact_median_and_mode(spark):
+    rows = [(float(i * 7919 % 1009), "ab"[i % 2]) for i in range(501)] + [(300.0, None)] * 400 + [(None, "b")]
+    df = spark.createDataFrame(rows, "v double, t string").repartition(3)
+    values = sorted(v for v, _ in rows if v is not None)
+    assert all(ml.value_at(df, "v", k, few=10, ranges=5) == values[k] for k in (0, 7, 450, len(values) - 1))
+    assert ml.median(df, "v") == (values[450] + values[(len(values)) // 2]) / 2
+    assert ml.fit_fill(df, ["v"], ["t"]) == {"v": ml.median(df, "v"), "t": "b" if sum(t == "b" for _, t in rows) > sum(t == "a" for _, t in rows) else "a"}
+    assert ml.fit_fill(df.where("false"), ["v"], ["t"]) == {"v": None, "t": None}
