@@ -350,7 +350,7 @@ def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH t AS (SELECT l_orderkey AS id, l_linenumber AS line, l_partkey AS part, CASE l_partkey % 5 WHEN 0 THEN ' ' || CAST(1000 + l_partkey % 9000 AS VARCHAR) WHEN 1 THEN CAST(10 + l_partkey % 80 AS VARCHAR) || '.5 ' WHEN 2 THEN '4?.' || CAST(l_partkey % 10 AS VARCHAR)
     WHEN 3 THEN '4.0.' || CAST(l_partkey % 10 AS VARCHAR) ELSE 'Q' || CAST(1000 + l_partkey % 9000 AS VARCHAR) END AS raw FROM lineitem),
-  b AS (SELECT *, regexp_replace(raw, '\s+', '', 'g') AS bare, regexp_replace(raw, '[^0-9]', '', 'g') AS digits FROM t),
+  b AS (SELECT *, regexp_replace(raw, '\\s+', '', 'g') AS bare, regexp_replace(raw, '[^0-9]', '', 'g') AS digits FROM t),
   p AS (SELECT *, CASE WHEN NOT contains(bare, '?') AND len(bare) - len(replace(bare, '.', '')) < 2 THEN TRY_CAST(bare AS DOUBLE) END AS plain FROM b),
   m AS (SELECT *, plain IS NULL AND len(digits) = 4 AND NOT contains(raw, '.') AS moved FROM p)
   SELECT part % 5 AS kind, count(*) AS n, round(sum(CASE WHEN moved THEN CAST(left(digits, 2) || '.' || right(digits, 2) AS DOUBLE) ELSE plain END), 2) AS price, round(sum(CASE WHEN moved THEN 0.8::DOUBLE * 0.85::DOUBLE ELSE 0.8::DOUBLE END), 2) AS confidence FROM m GROUP BY 1""")
