@@ -113,7 +113,7 @@ def unused_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def join_unique(rows: DataFrame, table: DataFrame, key: str, count: str, hot_share: int = 10_000) -> DataFrame:
+def join_unique(rows: DataFrame, table: DataFrame, key: str | list[str], count: str, hot_share: int = 10_000) -> DataFrame:
     """rows inner join table on `key`, which is unique in table; `count` is how many rows have the key.
 
     Keys with more than 1/hot_share of all rows would each fill a task of a shuffle; there are fewer

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import join_unique, materialize
 
 
 #: Numbers of projections to choose from; a visit costs as much as so many comparisons; most buckets in a query's list.
@@ -155,7 +155,7 @@ def nearest(
                     yield pa.RecordBatch.from_arrays([*key, batch.column(0).take(at), batch.column(1).take(at)], ["dim", "t", "bucket", "q1", "q2"])
 
     index = materialize(classes.select("h1", "h2", "ids", "vec").mapInArrow(hashed, "dim long, t long, bucket long, h1 long, h2 long, ids array<bigint>, vec array<double>"), "ann-index")
-    sizes = index.groupBy("dim", "t", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    sizes = index.groupBy("dim", "t", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n_classes"))
     visits = materialize(sought.mapInArrow(probed, "dim long, t long, bucket long, q1 long, q2 long"), "ann-visits")
     found = materialize(_compare(index, sizes, visits, sought, neighbours, asked), "ann-found")
 
@@ -215,12 +215,12 @@ def _compare(index: DataFrame, sizes: DataFrame, visits: DataFrame, sought: Data
     """q1, q2, h1, h2, ids, score: the best classes of each query in each block that it visits.  visits: stored."""
     key = ["dim", "t", "bucket"]
     # Both sides of a bucket are cut by hash: b numbers its blocks of classes, a its blocks of queries.
-    met = visits.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / asked).cast("int").alias("askers"))
-    cuts = sizes.join(met, key)
+    met = visits.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / asked).cast("int").alias("askers"), F.count(F.lit(1)).alias("n_visits"))
+    cuts = materialize(sizes.join(met, key), "ann-cuts")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     of = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
-    cut = index.join(cuts, key).withColumn("b", of("blocks", "h1", "h2")).withColumn("a", numbers("askers"))
-    at = visits.join(cuts, key).withColumn("a", of("askers", "q1", "q2")).withColumn("b", numbers("blocks"))
+    cut = join_unique(index, cuts.drop("n_visits"), key, "n_classes").withColumn("b", of("blocks", "h1", "h2")).withColumn("a", numbers("askers"))
+    at = join_unique(visits, cuts.drop("n_classes"), key, "n_visits").withColumn("a", of("askers", "q1", "q2")).withColumn("b", numbers("blocks"))
     held = sought.select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), "vec")
     left = at.join(held, ["q1", "q2"]).select(*key, "a", "b", "q1", "q2", "vec")
 
