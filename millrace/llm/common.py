@@ -113,6 +113,11 @@ def unused_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def small(table: DataFrame, most: int = 200_000) -> DataFrame:
+    """A stored table, broadcast in joins if it has no more rows than that."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def join_unique(rows: DataFrame, table: DataFrame, key: str | list[str], count: str, hot_share: int = 10_000) -> DataFrame:
     """rows inner join table on `key`, which is unique in table; `count` is how many rows have the key.
 

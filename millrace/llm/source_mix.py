@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, unused_name, words_of
+from millrace.llm.common import materialize, small, unused_name, words_of
 
 #: Cuts of the rank.
 CUTS = 4096
@@ -105,7 +105,8 @@ def mix_sizes(sizes: DataFrame, weights=(5, 2, 1), max_repeat: int = 3) -> DataF
     plan = targets.withColumn("whole", F.floor(ratio + 1e-12).cast("long")).withColumn(
         "rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))
     )
-    classes = materialize(inclusion(plan, sizes), "mix-classes")
+    # Few rows a source; rows of documents stay where they are, so a hot source is no hot task.
+    classes = small(materialize(inclusion(plan, sizes), "mix-classes"))
     of_class = F.col("s.source").eqNullSafe(F.col("p.source")) & (size_class(F.col("s.size")) == F.col("p.class"))
     ranked = sizes.alias("s").join(classes.alias("p"), of_class).select("s.*", *[f"p.{c}" for c in ("source_size", "target", "whole", "rest", "p")])
     q = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("p")) / F.col("p"))
@@ -115,6 +116,7 @@ def mix_sizes(sizes: DataFrame, weights=(5, 2, 1), max_repeat: int = 3) -> DataF
     running = per_cut.withColumn("before", F.sum("cut_words").over(Window.partitionBy("source").orderBy("cut")) - F.col("cut_words"))
     # One row per source: the cut in which the sample ends, and the words before it.
     ends = running.where(F.col("before") + F.col("cut_words") > F.col("rest")).groupBy("source").agg(F.min(F.struct("cut", "before")).alias("end"))
+    ends = small(materialize(ends, "mix-ends"))
     joined = ranked.alias("k").join(ends.alias("e"), F.col("k.source").eqNullSafe(F.col("e.source")), "left").select("k.*", "e.end")
     # Only the cut in which the sample ends is ranked row by row.
     open_cut = F.coalesce(F.col("cut") == F.col("end.cut"), F.lit(False))
