@@ -78,3 +78,51 @@ def quality_rules_sql(rounds: int = 25) -> str:
     failed = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
     return f"""WITH {', '.join(ctes)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT {failed} AND r0 >= 0.5 AS kept, round(r0, 6) AS quality_prob
   FROM vt JOIN g{rounds} USING ({', '.join(f'v{j}' for j in k)})"""
+
+
+def phrases_sql(least: int = 30, longest: int = 4, share: int = 80, most: int = 2000) -> str:
+    """Every n-gram of every piece counted on its own, then cuts and longer phrases by joins."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?
+-
+]')), '[^ 	]+') AS words FROM d),
+total AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM p GROUP BY 1),
+i AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM p),
+g AS (SELECT lang, m, list_slice(words, i, i + m - 1) AS w FROM i, range(1, {longest + 1}) r(m) WHERE i + m - 1 <= len(words)),
+f AS MATERIALIZED (SELECT lang, any_value(m) AS m, array_to_string(w, ' ') AS phrase, any_value(w) AS w, count(*) AS f FROM g GROUP BY lang, array_to_string(w, ' ') HAVING count(*) >= {least}),
+cut AS (SELECT lang, phrase, f AS a, k, array_to_string(list_slice(w, 1, k), ' ') AS head, array_to_string(list_slice(w, k + 1, m), ' ') AS tail FROM (SELECT *, unnest(range(1, m)) AS k FROM f)),
+c AS (SELECT cut.lang, cut.phrase, a, k, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = head JOIN f r ON r.lang = cut.lang AND r.phrase = tail),
+best AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, array_to_string(list_slice(w, b, b + s - 1), ' ') AS phrase, max(f) AS longer FROM f, range(2, {longest}) x(s), range(1, {longest}) y(b) WHERE s < m AND b + s - 1 <= m GROUP BY 1, 2),
+free AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE NOT (100 * coalesce(longer, 0) >= {share} * a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= {most}"""
+
+
+def url_rules_sql(rules: list[tuple[str, str, str]], min_support: float = 0.01, min_confidence: float = 0.8, otherwise: str = "allow") -> str:
+    """Every subset of every labelled URL's tokens counted, in place of FP-growth."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    order = sorted(rules, key=lambda r: (len(r[1] + r[2]), r), reverse=True)
+    when = lambda value: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{s}') THEN '{value(v, h + s)}'" for v, h, s in order) + " END"
+    named = lambda parts, kind: f"list_transform(list_filter({parts}, lambda x: x <> ''), lambda x: '{kind}:' || regexp_replace(x, '[0-9]+', '#', 'g'))"
+    return rf"""
+WITH u AS (SELECT row_number() OVER () AS id, page_id, coalesce(url, '') AS url, position('://' IN coalesce(url, '')) AS found FROM pages),
+v AS (SELECT *, CASE WHEN found > 0 THEN substr(url, found + 3) ELSE '' END AS rest FROM u),
+w AS (SELECT *, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{upper.lower()}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+  regexp_extract(rest, '^[^?#]*((?s:.)*)$', 1) AS tail FROM v),
+known AS MATERIALIZED (SELECT id, page_id, host, path, {when(lambda v, r: r)} AS rule, {when(lambda v, r: v)} AS said, CASE WHEN found > 0 THEN list_distinct(
+  {named("string_split(host, '.')", 'host')} || {named("string_split(path, '/')", 'path')}
+  || {named("list_transform(string_split(regexp_extract(tail, '^[?]([^#]*)', 1), '&'), lambda x: split_part(x, '=', 1))", 'query')}
+  || {named("[regexp_extract(tail, '#((?s:.)*)$', 1)]", 'fragment')} || {named("[substr(url, 1, found - 1)]", 'scheme')}) ELSE [] END AS tokens FROM w),
+labelled AS (SELECT said, list_sort(tokens) AS tokens, count(*) OVER () AS everything FROM known WHERE said IS NOT NULL),
+sets AS (SELECT said, everything, unnest(list_transform(range(1, CAST(1 << len(tokens) AS BIGINT)), lambda b: list_filter(tokens, lambda x, i: (b >> (i - 1)) & 1 = 1))) AS items FROM labelled),
+counted AS (SELECT items, said, any_value(everything) AS everything, count(*) AS n, sum(count(*)) OVER (PARTITION BY items) AS held FROM sets GROUP BY items, said),
+strong AS MATERIALIZED (SELECT items, said, array_to_string(items, ' ') AS text, CAST(n AS DOUBLE) / CAST(held AS DOUBLE) AS confidence, CAST(n AS DOUBLE) / everything AS support
+  FROM counted WHERE n >= ceil({min_support}::DOUBLE * everything) AND CAST(n AS DOUBLE) / CAST(held AS DOUBLE) >= {min_confidence}::DOUBLE),
+mined AS MATERIALIZED (SELECT * FROM strong s WHERE NOT EXISTS (SELECT 1 FROM strong g WHERE g.said = s.said AND len(g.items) < len(s.items) AND g.confidence >= s.confidence AND list_has_all(s.items, g.items))),
+hit AS (SELECT k.id, m.said AS mined_verdict, m.text AS mined_rule, m.confidence AS mined_confidence FROM known k JOIN mined m ON list_has_all(k.tokens, m.items) WHERE k.said IS NULL
+  QUALIFY row_number() OVER (PARTITION BY k.id ORDER BY m.confidence DESC, m.support DESC, m.text, m.said) = 1)
+SELECT page_id, host, path, rule, coalesce(said, mined_verdict, '{otherwise}') AS verdict, mined_rule, round(mined_confidence, 6) AS mined_confidence FROM known LEFT JOIN hit USING (id)"""

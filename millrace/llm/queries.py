@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe_stream, lang_crf, multiprobe, oracles, quality_model, quality_rules, secret_scan, simhash, source_mix, token_pack, warc
+from millrace.llm import bpe_stream, lang_crf, multiprobe, oracles, periodic_runs, phrases, quality_model, quality_rules, secret_scan, simhash, source_mix, token_pack, url_rules, warc
+
+#: Explicit rules on URLs: verdict, host, start of the path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,11 +54,27 @@ def op10_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_read(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = [op1_multiprobe, op2_quality_rules, op3_lang_crf, op4_warc, op5_simhash, op6_source_mix, op7_quality_model, op8_secret_scan, op9_bpe_stream, op10_token_pack]
+    found += [op11_url_rules, op12_phrases, op13_periodic_runs]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """For the queries that SQL can express; the others are tested against brute force."""
-    return {"op2_quality_rules": oracles.quality_rules_sql(), "op4_warc": oracles.WARC_SQL, "op6_source_mix": oracles.MIX_SQL}
+    return {
+        "op2_quality_rules": oracles.quality_rules_sql(), "op4_warc": oracles.WARC_SQL, "op6_source_mix": oracles.MIX_SQL,
+        "op11_url_rules": oracles.url_rules_sql(URL_RULES), "op12_phrases": oracles.phrases_sql(),
+    }
