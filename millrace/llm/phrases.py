@@ -39,36 +39,57 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import materialize, scratch
 
-CHUNK, LEAST_BITS, MOST_BITS = 1 << 23, 16, 27
+CHUNK, PART, LEAST_BITS, MOST_BITS = 3 << 21, 1 << 18, 16, 27
 #: Pieces end at . , ; : ! ? and line breaks; a tab is a blank; A-Z are lower-cased.
 _BYTES = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-    """Texts of one language, about CHUNK bytes at once: language, vocabulary, word numbers in order (0: end of a piece)."""
-    held: dict[str, list[bytes]] = defaultdict(list)
-    size: dict[str, int] = defaultdict(int)
-    total = 0
+class _Chunk:
+    """Words of one language as numbers in order (0: end of a piece), with their spelling."""
+
+    def __init__(self) -> None:
+        self.known: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
+        self.known[b"\n"]
+        self.ids: list[np.ndarray] = [np.zeros(1, np.int32)]
+        self.size = 0
+
+    def add(self, text: bytes) -> None:
+        known = self.known
+        # A long text is split at the end of a piece, so its words are never all spelled out at once.
+        for part in _parts(text.translate(_BYTES)):
+            tokens = part.replace(b"\n", b" \n ").split(b" ")
+            self.ids += [np.fromiter((known[w] for w in tokens if w), np.int32), self.ids[0]]
+        self.size += len(text)
+
+    def whole(self, lang: str) -> tuple[str, list[bytes], np.ndarray]:
+        return lang, list(self.known), np.concatenate(self.ids).astype(np.int64)
 
-    def give(lang: str):
-        known = defaultdict(itertools.count().__next__)
-        known[b"\n"]
-        tokens = b"\n".join(held.pop(lang)).translate(_BYTES).replace(b"\n", b" \n ").split(b" ")
-        ids = np.fromiter((known[w] for w in tokens if w), np.int64)
-        return lang, list(known), np.append(ids, 0)
 
+def _parts(data: bytes) -> Iterator[bytes]:
+    at = 0
+    while len(data) - at > PART and (cut := data.find(b"\n", at + PART)) >= 0:
+        yield data[at:cut]
+        at = cut + 1
+    yield data[at:] if at else data
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+    """Texts of one language, about CHUNK bytes at once; at most twice as much is held for all languages."""
+    held: dict[str, _Chunk] = {}
+    total = 0
     for batch in batches:
         for lang, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             text = data.as_py()
-            held[lang].append(text)
-            size[lang] += len(text)
+            chunk = held.setdefault(lang, _Chunk())
+            chunk.add(text)
             total += len(text)
-            if size[lang] >= CHUNK or total >= 4 * CHUNK:
-                most = max(size, key=size.get)
-                total -= size.pop(most)
-                yield give(most)
-    for lang in list(held):
-        yield give(lang)
+            if chunk.size >= CHUNK or total >= 2 * CHUNK:
+                most = max(held, key=lambda x: held[x].size)
+                total -= held[most].size
+                yield held.pop(most).whole(most)
+    while held:
+        lang, chunk = held.popitem()
+        yield chunk.whole(lang)
 
 
 def _pair_hashes(lang: str, words: list[bytes], ids: np.ndarray) -> np.ndarray:

@@ -140,7 +140,7 @@ def say_phrases(seed):
     for i in range(300):
         parts = [rng.choice(said) if rng.random() < 0.4 else rng.choice(words) for _ in range(rng.randrange(25))]
         yield rng.choice(["en", "de", None]), "".join(p + rng.choice([" ", " ", "\t", "  ", ", ", ".\n", "!\r"]) for p in parts)
-    yield from [("en", None), ("en", ""), (None, "   "), ("fr", "alone"), ("de", "of the " * 40_000)]
+    yield from [("en", None), ("en", ""), (None, "   "), ("fr", "alone"), ("de", "of the " * 40_000), ("de", "a b c d.\n" * 60_000)]
 
 
 def test_phrases_equal_brute_force(spark):
