@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from millrace.functions.scalars import add_business_days
 from millrace.sources.io import rule_map
@@ -24,16 +25,70 @@ def earn_points(df: DataFrame, base: float = 1.0, reduced: float = 0.1) -> DataF
     return df.withColumn("points", F.floor(F.col("amount_usd") * rate_of(F.col("category"), base, reduced)).cast("long"))
 
 
-def apply_cap(df: DataFrame, keys: list[str], cap: str, points: str, order: list[str], period: Column | None = None, out: str = "credited") -> DataFrame:
-    """credited = what is left of the cap of the row's key and period after all earlier rows.
+Cap = tuple[str, Column, Column]  # name, period, points; null points: no limit
 
-    Rows without a cap skip the window, so keys without caps are never sorted.
+
+def _days(df: DataFrame, keys: list[str], caps: list[Cap], points: str, order: list[str], segment: Column | None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(rows with their account, segment and periods, one row per account and segment with its points and what each cap has let through before, account columns).
+
+    An account is one value of the keys (null is a value).  The sums of a segment are aggregated with partials before the shuffle, and
+    only segments are ordered within an account.  Under each cap, what the inner cap lets through is an input, and the points let through up
+    to now are min(cap, inputs up to now); such clamps compose, so a segment needs nothing of the earlier ones but `_b0`, `_b1`, ...
+    """
+    text = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    account = F.concat_ws("\x1f", *[text(F.col(k)) for k in keys])
+    if segment is None:
+        dated = isinstance(df.schema[order[0]].dataType, (DateType, TimestampType, TimestampNTZType))
+        segment = F.to_date(order[0]) if dated else F.lit(None).cast("date")
+    day = F.coalesce(segment, F.lit("0001-01-01").cast("date"))
+    n, at = range(len(caps)), ["_account", "_day"]
+    rows = df.withColumns({"_account": account, "_day": day} | {f"_p{i}": text(p) for i, (_, p, _) in enumerate(caps)} | {f"_c{i}": c.cast("long") for i, (_, _, c) in enumerate(caps)})
+    limited = F.greatest(*[F.col(f"_c{i}").isNotNull() for i in n]) if len(caps) > 1 else F.col("_c0").isNotNull()
+    # Rows that no cap holds for neither use up a cap nor are limited by one.
+    rows = rows.withColumn("_in", F.when(limited, F.col(points)).otherwise(0).cast("long"))
+    sums = rows.groupBy(*at, *[f"_p{i}" for i in n]).agg(F.sum("_in").alias("_o"), *[F.max(f"_c{i}").alias(f"_c{i}") for i in n])
+    for i in n:
+        earlier = Window.partitionBy("_account", f"_p{i}").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn(f"_b{i}", F.coalesce(F.sum("_o").over(earlier), F.lit(0)))
+        sums = sums.withColumn("_o", _through(F.col("_o"), i)).withColumn(f"_o{i}", F.col("_o"))
+    return rows, sums, at
+
+
+def _through(amount: Column, i: int) -> Column:
+    """What cap i lets through of an amount that comes after `_b{i}` earlier points of its period."""
+    clamp = lambda x: F.least(F.col(f"_c{i}"), x)
+    return F.when(F.col(f"_c{i}").isNull(), amount).otherwise(clamp(F.col(f"_b{i}") + amount) - clamp(F.col(f"_b{i}")))
+
+
+def apply_caps(df: DataFrame, keys: list[str], caps: list[Cap], points: str, order: list[str], out: str = "credited", segment: Column | None = None) -> DataFrame:
+    """credited = what a chain of caps on the same keys lets through of each row; each cap counts what the one before it let through.
+
+    caps: innermost first; a cap is constant within an account and period.  A period is made of whole segments: the day of the first
+    order column, the date that `segment` gives, or without either the whole account.  An account may hold most rows: its segments are scanned as sums, and rows are ordered
+    within one segment only, so the largest task is one segment of one account.  Points are not negative.
     """
-    capped, free = df.where(F.col(cap).isNotNull()), df.where(F.col(cap).isNull())
-    by = Window.partitionBy(*keys, *([period] if period is not None else [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(points).over(by), F.lit(0))
-    room = F.greatest(F.col(cap) - before, F.lit(0))
-    return capped.withColumn(out, F.least(F.col(points), room).cast("long")).unionByName(free.withColumn(out, F.col(points).cast("long")))
+    rows, sums, at = _days(df, keys, caps, points, order, segment)
+    offsets = sums.select(*at, *[f"_b{i}" for i in range(len(caps))])
+    # The join and the window share one exchange, by account and segment.
+    joined = rows.join(offsets, at)
+    before = F.coalesce(F.sum("_in").over(Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upto = lambda x: [x := _through(x, i) for i in range(len(caps))][-1]
+    done = joined.withColumn("_before", before).withColumn(out, (upto(F.col("_before") + F.col(points)) - upto(F.col("_before"))).cast("long"))
+    return done.select(*[f"`{c}`" for c in df.columns if c != out], out)
+
+
+def apply_cap(df: DataFrame, keys: list[str], cap: str, points: str, order: list[str], period: Column | None = None, out: str = "credited", segment: Column | None = None) -> DataFrame:
+    """One cap: credited = what is left of the cap of the row's key and period after all earlier rows; all of it without a cap."""
+    return apply_caps(df, keys, [(cap, F.lit("") if period is None else period, F.col(cap))], points, order, out, segment)
+
+
+def cap_room(df: DataFrame, keys: list[str], caps: list[Cap], points: str, order: list[str], segment: Column | None = None) -> DataFrame:
+    """keys, cap, period, used, room: what each cap has let through and what is left, from the segments' sums alone."""
+    rows, sums, _ = _days(df, keys, caps, points, order, segment)
+    names = rows.groupBy("_account").agg(*[F.first(k).alias(k) for k in keys])
+    each = [F.struct(F.lit(name).alias("cap"), F.substring(f"_p{i}", 2, 100).alias("period"), F.col(f"_o{i}").alias("used"), F.col(f"_c{i}").alias("most")) for i, (name, _, _) in enumerate(caps)]
+    used = sums.select("_account", F.inline(F.array(*each))).where("most is not null").groupBy("_account", "cap", "period").agg(F.sum("used").alias("used"), F.max("most").alias("most"))
+    return used.join(names, "_account").select(*keys, "cap", "period", "used", (F.col("most") - F.col("used")).alias("room"))
 
 
 def cap_excess(df: DataFrame, points: str = "points", credited: str = "credited") -> DataFrame:
@@ -41,15 +96,6 @@ def cap_excess(df: DataFrame, points: str = "points", credited: str = "credited"
     return df.where(F.col(points) > F.col(credited)).withColumn("excess", F.col(points) - F.col(credited)).withColumn("motivo", F.lit("excede_tope"))
 
 
-def apply_caps(df: DataFrame, caps: list[tuple[str, list[str], Column, int]], points: str, order: list[str], out: str = "credited") -> DataFrame:
-    """Several caps at once (name, keys, period, cap): each is counted on earned points, the tightest decides."""
-    rooms = []
-    for _, keys, period, cap in caps:
-        by = Window.partitionBy(*keys, period).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        rooms.append(F.greatest(F.lit(cap) - F.coalesce(F.sum(points).over(by), F.lit(0)), F.lit(0)))
-    return df.withColumn(out, F.least(F.col(points), *rooms).cast("long"))
-
-
 def apply_campaigns(tx: DataFrame, campaigns: DataFrame, enrolments: DataFrame, order: list[str], points: str = "credited") -> DataFrame:
     """Extra points of purchases in a campaign that the client joined, under the campaign's cap per client.
 

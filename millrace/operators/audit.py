@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.accrual import apply_cap, rate_of
+from millrace.operators.accrual import rate_of
 from millrace.sources.io import rule_map
 
 
@@ -16,20 +16,22 @@ def category_share(tx: DataFrame, digits: int = 2) -> DataFrame:
     return sums.select("category", F.round("spend", digits).alias("spend"), "points", pct("spend").alias("spend_pct"), pct("points").alias("points_pct"))
 
 
-def cap_grain_report(tx: DataFrame, grains: dict[str, list[str]], cap: str, order: list[str], period: Column) -> DataFrame:
-    """Credited and clipped points, and groups hit, for each grain at which the cap could be counted."""
-    parts = []
-    for grain, keys in grains.items():
-        done = apply_cap(tx, keys, cap, "points", order, period)
-        clipped = F.col("points") - F.col("credited")
-        parts.append(done.agg(
-            F.lit(grain).alias("grain"), F.sum("credited").alias("credited"), F.sum(clipped).alias("clipped"),
-            F.count_distinct(F.when(clipped > 0, F.col("group_id"))).alias("groups_hit"),
-        ))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def cap_grain_report(tx: DataFrame, grains: dict[str, list[str]], cap: str, period: Column, points: str = "points", group: str = "group_id") -> DataFrame:
+    """Credited and clipped points, and groups hit, for each grain at which the cap could be counted.
+
+    All grains from one aggregation of the purchases: what a cap lets through in a period is min(cap, points).  The keys of
+    a grain determine the cap and the group.
+    """
+    used = sorted({k for keys in grains.values() for k in keys} | {group})
+    sums = tx.withColumn("_period", period).groupBy(*used, cap, "_period").agg(F.sum(points).alias("_points"))
+    key = lambda keys: F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for k in keys])
+    listed = F.array(*[F.struct(F.lit(grain).alias("grain"), key(keys).alias("_key")) for grain, keys in grains.items()])
+    rows = sums.select(F.col(group).alias("_group"), F.col(cap).alias("_cap"), "_period", "_points", F.inline(listed))
+    by_key = rows.groupBy("grain", "_key", "_period").agg(F.sum("_points").alias("_points"), F.max("_cap").alias("_cap"), F.max("_group").alias("_group"))
+    through = F.least("_points", F.coalesce("_cap", "_points"))
+    return by_key.groupBy("grain").agg(
+        F.sum(through).alias("credited"), F.sum(F.col("_points") - through).alias("clipped"), F.count_distinct(F.when(F.col("_points") > through, F.col("_group"))).alias("groups_hit"),
+    )
 
 
 def rate_sensitivity(tx: DataFrame, rates: list[float], reference: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from bisect import insort
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,9 @@ def in_transit(lots: DataFrame, cut: Column) -> DataFrame:
     return lots.where(F.col("available_from") > cut).groupBy("origin").agg(F.sum("points").alias("points"), F.count(F.lit(1)).alias("lots"))
 
 
-_MOVEMENT = "lot_id string, group_id string, type string, date date, points long, request_id string, result string, remaining long"
+#: One row of the fold: movements (acumulacion, expiracion, canje), results of requests (solicitud), what lots still hold (saldo).
+_FOLDED = "lot_id string, group_id string, type string, date date, points long, request_id string, result string, expires_on date, arrived int"
+BOOKS = "group_id string, lot_id string, expires_on date, arrived int, remaining long"
 
 
 class LotBook:
@@ -36,10 +38,14 @@ class LotBook:
         self.sign = -1 if newest_first else 1
         self.places: list[tuple[int, int, str]] = []  # expiry as a day number (negated: newest first), arrival, lot
         self.left: dict[str, int] = {}
+        self.arrivals = 0
         self.balance = 0
 
-    def add(self, lot_id: str, expires_on: dt.date, points: int) -> None:
-        insort(self.places, (self.sign * expires_on.toordinal(), len(self.left), lot_id))
+    def add(self, lot_id: str, expires_on: dt.date, points: int, arrived: int | None = None) -> None:
+        """A new lot, or one carried over from an earlier book with its arrival."""
+        arrived = self.arrivals if arrived is None else arrived
+        self.arrivals = max(self.arrivals, arrived) + 1
+        insort(self.places, (self.sign * expires_on.toordinal(), arrived, lot_id))
         self.left[lot_id] = points
         self.balance += points
 
@@ -50,87 +56,132 @@ class LotBook:
 
     def expire(self, day: dt.date) -> list[tuple[str, int]]:
         """Drops the lots whose time is over; what each of them lost."""
-        over = [lot for key, _, lot in self.places if self.sign * key <= day.toordinal()]
-        self.places = [place for place in self.places if self.sign * place[0] > day.toordinal()]
+        today = day.toordinal()
+        over = [lot for key, _, lot in self.places if self.sign * key <= today]
+        if over:
+            self.places = [place for place in self.places if self.sign * place[0] > today]
         return [self._take(lot, self.left[lot]) for lot in over if self.left[lot]]
 
     def redeem(self, points: int) -> list[tuple[str, int]]:
         """Takes the points lot by lot; the book must hold them."""
-        taken = []
+        taken, used = [], 0
         for _, _, lot in self.places:
             if not points:
                 break
-            if part := min(points, self.left[lot]):
+            part = min(points, self.left[lot])
+            if part:
                 taken.append(self._take(lot, part))
                 points -= part
-        self.places = [place for place in self.places if self.left[place[2]]]
+            used += not self.left[lot]
+        # Emptied lots are the first ones.
+        del self.places[:used]
         return taken
 
+    def rest(self) -> list[tuple[str, dt.date, int, int]]:
+        """What is left: lot, expiry, arrival, points."""
+        return [(lot, dt.date.fromordinal(self.sign * key), arrived, self.left[lot]) for key, arrived, lot in self.places if self.left[lot]]
 
-def refusal(client_id: str, day: dt.date, points: int, holder: str | None, merged: dt.date | None, balance: int) -> str | None:
+
+def year_after(day: dt.date) -> dt.date:
+    return dt.date(day.year + 1, day.month, 28 if (day.month, day.day) == (2, 29) else day.day)
+
+
+def refusal(client_id: str | None, day: dt.date, points: int, holder: str | None, free_from: dt.date | None, balance: int) -> str | None:
     """Why a request is turned down; the first reason that holds."""
     if holder is None or client_id != holder:
         return "no_es_titular"
-    if merged is not None and day < (pd.Timestamp(merged) + pd.DateOffset(months=12)).date():
+    if free_from is not None and day < free_from:
         return "unificacion_menor_a_12_meses"
     return "saldo_insuficiente" if balance < points else None
 
 
-def fold_group(lots: pd.DataFrame, requests: pd.DataFrame, group: pd.DataFrame, cuts: list, order: str = "fifo") -> list[tuple]:
-    """One group's days in order; on each day its lots arrive, then the cut is made, then requests are judged.
+ARRIVES, CUT, ASKED = 0, 1, 2
+
 
-    Rows: movements (type acumulacion, expiracion, canje), request results (type solicitud) and what lots hold at the end (type saldo).
+def fold_group(lots: list[tuple], requests: list[tuple], holder: str | None, merged: dt.date | None, cuts: list[dt.date], order: str = "fifo", carried: list[tuple] = ()) -> list[tuple]:
+    """One group's events in order of day; on each day its lots arrive, then the cut is made, then requests are judged.
+
+    lots: (lot_id, available_from, expires_on, points); requests: (request_id, date, client_id, points); carried: rows of an
+    earlier book (lot_id, expires_on, arrived, points).  Rows as in _FOLDED without the group.
     """
-    known = group.iloc[0] if len(group) else {"holder_id": None, "merged_since": None}
-    merged = None if pd.isna(known["merged_since"]) else pd.Timestamp(known["merged_since"]).date()
-    arriving, asking = (
-        {day: rows.sort_values(by) for day, rows in table.groupby(pd.to_datetime(table[on]).dt.date)} for table, on, by in ((lots, "available_from", "lot_id"), (requests, "date", "request_id"))
-    )
-    cut_days, book, out = {pd.Timestamp(c).date() for c in cuts}, LotBook(order == "lifo"), []
-
-    def moved(kind: str, day: dt.date, parts: list[tuple[str, int]], request_id: str | None = None, sign: int = -1) -> None:
-        out.extend((lot, None, kind, day, sign * n, request_id, None, None) for lot, n in parts)
-
-    for day in sorted({*arriving, *asking, *cut_days}):
-        for lot in arriving[day].itertuples() if day in arriving else ():
-            book.add(lot.lot_id, pd.Timestamp(lot.expires_on).date(), int(lot.points))
-            moved("acumulacion", day, [(lot.lot_id, int(lot.points))], sign=1)
-        if day in cut_days:
-            moved("expiracion", day, book.expire(day))
-        for ask in asking[day].itertuples() if day in asking else ():
-            reason = refusal(ask.client_id, day, int(ask.points), known["holder_id"], merged, book.balance)
+    book, out, free_from = LotBook(order == "lifo"), [], year_after(merged) if merged else None
+    for lot_id, expires_on, arrived, points in carried:
+        book.add(lot_id, expires_on, points, arrived)
+    events = [(day, ARRIVES, lot_id, expires, points) for lot_id, day, expires, points in lots]
+    events += [(day, CUT, "", None, 0) for day in cuts]
+    events += [(day, ASKED, request_id, client_id, points) for request_id, day, client_id, points in requests]
+    events.sort(key=lambda e: e[:3])
+    for day, kind, ident, other, points in events:
+        if kind == ARRIVES:
+            book.add(ident, other, points)
+            out.append((ident, "acumulacion", day, points, None, None, None, None))
+        elif kind == CUT:
+            out += [(lot, "expiracion", day, -n, None, None, None, None) for lot, n in book.expire(day)]
+        else:
+            reason = refusal(other, day, points, holder, free_from, book.balance)
             if reason is None:
-                moved("canje", day, book.redeem(int(ask.points)), ask.request_id)
-            out.append((None, None, "solicitud", day, int(ask.points), ask.request_id, reason or "aprobado", None))
-    out += [(lot, None, "saldo", None, None, None, None, left) for lot, left in book.left.items()]
+                out += [(lot, "canje", day, -n, ident, None, None, None) for lot, n in book.redeem(points)]
+            out.append((None, "solicitud", day, points, ident, reason or "aprobado", None, None))
+    out += [(lot, "saldo", None, left, None, None, expires, arrived) for lot, expires, arrived, left in book.rest()]
     return out
 
 
-def run_ledger(lots: DataFrame, requests: DataFrame, groups: DataFrame, cuts: list, order: str = "fifo") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(movements, requests with result, lots with what remains).
+def advance_ledger(
+    books: DataFrame | None, lots: DataFrame, requests: DataFrame, groups: DataFrame, cuts: list, order: str = "fifo", per_task: int = 1000
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(movements, requests with result, books): folds new lots, cuts and requests onto the books of an earlier run, or onto none.
 
-    The only sequential step: it folds lots (months x origins per group) and requests, never transactions,
-    so a group is a small table and groups spread over tasks.
-    groups: group_id, holder_id, merged_since; requests: request_id, group_id, client_id, date, points.
+    Only what came after the earlier run is read, all of it later than what that run has folded; books hold one row per
+    lot that can still be used (BOOKS).  The only sequential step: it folds lots (months x origins per group) and requests, never
+    transactions, so a group is a small table; about `per_task` groups are one task, and there are at least as many tasks as shuffle
+    partitions.  groups: group_id, holder_id, merged_since; requests: request_id, group_id, client_id, date, points.
+    Rows whose group is null are one group without a holder, so its requests are refused.
     """
     if order not in ("fifo", "lifo"):
         raise ValueError(f"unknown order {order}")
-
-    def fold(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        key = a["group_id"].iloc[0] if len(a) else b["group_id"].iloc[0]
+    days = [dt.date.fromisoformat(str(c)[:10]) for c in cuts]
+    names = [c.split()[0] for c in _FOLDED.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.date32(), pa.int64(), pa.string(), pa.string(), pa.date32(), pa.int32()]
+
+    def fold(key: tuple, held: pa.Table, asked: pa.Table) -> pa.Table:
+        lot_rows = list(zip(*(held[c].to_pylist() for c in ("lot_id", "available_from", "expires_on", "points", "arrived")), strict=True))
+        ask_rows = list(zip(*(asked[c].to_pylist() for c in ("request_id", "date", "client_id", "points", "holder_id", "merged_since")), strict=True))
+        group = key[0].as_py()
         # Group attributes ride on the second table, one row without a request id.
-        own = b[b["request_id"].isna()]
-        rows = fold_group(a, b[b["request_id"].notna()], own, cuts, order)
-        return pd.DataFrame([(x[0], key, *x[2:]) for x in rows], columns=[c.split()[0] for c in _MOVEMENT.split(", ")]).astype({"points": "Int64", "remaining": "Int64"})
-
-    lot_rows = lots.select(F.col("group_id").cast("string"), "lot_id", "available_from", "expires_on", "points")
-    asked = requests.select(F.col("group_id").cast("string"), "request_id", F.col("client_id").cast("string"), "date", "points")
-    side = asked.unionByName(groups.select(F.col("group_id").cast("string"), F.col("holder_id").cast("string"), "merged_since"), allowMissingColumns=True)
-    done = lot_rows.groupBy("group_id").cogroup(side.groupBy("group_id")).applyInPandas(fold, _MOVEMENT)
+        holder, merged = next(((r[4], r[5]) for r in ask_rows if r[0] is None), (None, None))
+        rows = fold_group(
+            [r[:4] for r in lot_rows if r[4] is None], [r[:4] for r in ask_rows if r[0] is not None], holder if group is not None else None, merged, days, order,
+            [(r[0], r[2], r[4], r[3]) for r in lot_rows if r[4] is not None],
+        )
+        columns = list(zip(*rows, strict=True)) or [()] * 8
+        columns.insert(1, [group] * len(rows))
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    text = lambda c: F.col(c).cast("string").alias(c)
+    lot_rows = lots.select(text("group_id"), "lot_id", "available_from", "expires_on", F.col("points").cast("long"), F.lit(None).cast("int").alias("arrived"))
+    if books is not None:
+        lot_rows = lot_rows.unionByName(books.select(text("group_id"), "lot_id", "expires_on", "arrived", F.col("remaining").alias("points")), allowMissingColumns=True)
+    asked = requests.select(text("group_id"), "request_id", text("client_id"), "date", F.col("points").cast("long"))
+    known = groups.select(text("group_id"), text("holder_id"), "merged_since").dropDuplicates(["group_id"])
+    side = asked.unionByName(known, allowMissingColumns=True)
+    # A number of partitions of its own: adaptive execution would merge these few bytes into one or two tasks.
+    tasks = max(int(lots.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups.count() // per_task)
+    deal = lambda df: df.repartition(tasks, "group_id").groupBy("group_id")
+    done = deal(lot_rows).cogroup(deal(side)).applyInArrow(fold, _FOLDED)
     movements = done.where(F.col("type").isin("acumulacion", "expiracion", "canje")).select("lot_id", "group_id", "type", "date", "points", "request_id")
     results = done.where("type = 'solicitud'").select("request_id", "group_id", "date", "points", "result")
-    left = done.where("type = 'saldo'").select("lot_id", "remaining")
-    return movements, results, lots.join(left, "lot_id", "left").withColumn("remaining", F.coalesce("remaining", F.lit(0)))
+    return movements, results, done.where("type = 'saldo'").select("group_id", "lot_id", "expires_on", "arrived", F.col("points").alias("remaining"))
+
+
+def run_ledger(lots: DataFrame, requests: DataFrame, groups: DataFrame, cuts: list, order: str = "fifo") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(movements, requests with result, lots with what remains) from the beginning."""
+    movements, results, books = advance_ledger(None, lots, requests, groups, cuts, order)
+    return movements, results, remaining(lots, books)
+
+
+def remaining(lots: DataFrame, books: DataFrame) -> DataFrame:
+    """Lots with what the books hold of them; nothing of lots that are not there."""
+    return lots.join(books.select("lot_id", "remaining"), "lot_id", "left").withColumn("remaining", F.coalesce("remaining", F.lit(0)))
 
 
 def balances(lots: DataFrame, groups: DataFrame, next_cut: Column, on: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import scalars
 from millrace.operators import accrual, audit, ledger, merchants, quality
 from millrace.plans import tables as T
+from millrace.sources.stored import store
 
 QUERIES, ORACLES = {}, {}
 
@@ -107,11 +108,33 @@ def campaign_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.campaigned(spark, sf_dir, T.credited(spark, sf_dir)).select("campaign_id", "auth_code", "extra", "extra_credited")
 
 
-@query("""SELECT auth_code, CAST(least(points, greatest(20000 - coalesce(sum(points) OVER (PARTITION BY group_id, CAST(ts AS DATE) ORDER BY ts, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0),
-  greatest(90000 - coalesce(sum(points) OVER (PARTITION BY group_id, date_trunc('month', ts) ORDER BY ts, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)) AS BIGINT) AS credited FROM earned""")
+NESTED = [("daily", lambda: F.to_date("ts"), 60000), ("monthly", lambda: F.trunc("ts", "MM"), 150000), ("annual", lambda: F.year("ts"), 700000)]
+
+
+def _nested_sql(tail: str) -> str:
+    """Each cap on what the one before it let through, row by row: the tables in0 (earned points), in1, in2, in3."""
+    ctes, periods = ["in0 AS (SELECT *, points AS x0 FROM earned)"], ["CAST(ts AS DATE)", "date_trunc('month', ts)", "year(ts)"]
+    for i, ((_, _, cap), period) in enumerate(zip(NESTED, periods, strict=True)):
+        earlier = f"coalesce(sum(x{i}) OVER (PARTITION BY group_id, {period} ORDER BY ts, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+        ctes.append(f"in{i + 1} AS (SELECT *, least(x{i}, greatest({cap} - {earlier}, 0)) AS x{i + 1} FROM in{i})")
+    return f"WITH {T.RAW_SQL}, {', '.join(ctes)} {tail}"
+
+
+def _nested_caps() -> list:
+    return [(name, period(), F.lit(cap)) for name, period, cap in NESTED]
+
+
+@query(_nested_sql("SELECT auth_code, CAST(x3 AS BIGINT) AS credited FROM in3"))
 def nested_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    caps = [("daily", ["group_id"], F.to_date("ts"), 20000), ("monthly", ["group_id"], F.trunc("ts", "MM"), 90000)]
-    return accrual.apply_caps(T.earned(spark, sf_dir), caps, "points", ["ts", "key"]).select("auth_code", "credited")
+    return accrual.apply_caps(T.earned(spark, sf_dir), ["group_id"], _nested_caps(), "points", ["ts", "key"]).select("auth_code", "credited")
+
+
+@query(_nested_sql(" UNION ALL ".join(
+    f"SELECT group_id, '{name}' AS cap, CAST({period} AS VARCHAR) AS period, CAST(sum(x{i}) AS BIGINT) AS used, CAST({cap} - sum(x{i}) AS BIGINT) AS room FROM in3 GROUP BY group_id, {period}"
+    for i, ((name, _, cap), period) in enumerate(zip(NESTED, ["CAST(ts AS DATE)", "CAST(date_trunc('month', ts) AS DATE)", "year(ts)"], strict=True), 1)
+)))
+def cap_room(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accrual.cap_room(T.earned(spark, sf_dir), ["group_id"], _nested_caps(), "points", ["ts", "key"])
 
 
 @query("""SELECT factor, count(*) AS n FROM (SELECT greatest(1, CASE WHEN CAST(ts AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' AND amount_gtq >= 100000 AND isodow(ts) = 5 THEN 2 ELSE 1 END,
@@ -124,13 +147,13 @@ def promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accrual.promotion_factor(T.earned(spark, sf_dir), rules).groupBy("factor").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT o_orderkey AS key, (SELECT arg_max(v.state, v.valid_from) FROM (SELECT o_custkey, o_orderdate AS valid_from, o_orderstatus AS state FROM orders WHERE o_orderkey % 3 = 0) v
-  WHERE v.o_custkey = o.o_custkey AND v.valid_from <= o.o_orderdate) AS state FROM orders o WHERE o_orderkey % 3 = 1""")
+@query("""SELECT o_orderkey AS key, (SELECT arg_max(v.state, v.valid_from) FROM (SELECT o_custkey, o_orderdate AS valid_from, arg_min(o_orderstatus, o_orderkey) AS state FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2) v
+  WHERE v.o_custkey = o.o_custkey AND v.valid_from <= o.o_orderdate) AS state FROM orders o WHERE o_orderkey % 3 <> 0""")
 def eligibility_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the orders are versions of their client's state, all others are purchases."""
     o = T.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("client_id"), F.col("o_orderdate").alias("ts"), F.col("o_orderstatus").alias("state"))
-    # Of several versions at one time the last by key counts; the oracle's tables have one state per client and day.
     versions = o.where("key % 3 = 0").groupBy("client_id", F.col("ts").alias("valid_from")).agg(F.min_by("state", "key").alias("state"))
-    return accrual.eligibility_as_of(o.where("key % 3 = 1").drop("state"), versions).select("key", "state")
+    return accrual.eligibility_as_of(o.where("key % 3 <> 0").drop("state"), versions).select("key", "state")
 
 
 @query("SELECT key, credited_on FROM dated")
@@ -179,6 +202,16 @@ def ledger_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ledger(spark, sf_dir)[0]
 
 
+@ledger_query(f"SELECT * FROM moves WHERE date > DATE '{T.AS_OF}'")
+def ledger_from_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What happens after the reporting day, folded onto the books of that day; only later lots, cuts and requests are read."""
+    lots, asked, groups, day = T.lots(spark, sf_dir), T.requests(spark, sf_dir), T.groups(spark, sf_dir), F.lit(T.AS_OF).cast("date")
+    early = [c for c in _cuts() if c.isoformat() <= T.AS_OF]
+    _, _, books = ledger.advance_ledger(None, lots.where(F.col("available_from") <= day), asked.where(F.col("date") <= day), groups, early)
+    late = [c for c in _cuts() if c.isoformat() > T.AS_OF]
+    return ledger.advance_ledger(store(books, "books"), lots.where(F.col("available_from") > day), asked.where(F.col("date") > day), groups, late)[0]
+
+
 @ledger_query("SELECT result, count(*) AS n, CAST(sum(points) AS BIGINT) AS points FROM steps WHERE kind = 2 GROUP BY 1", order="lifo")
 def redemption_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, asked, _ = _ledger(spark, sf_dir, "lifo")
@@ -251,7 +284,7 @@ def _grain_sql(grain: str, keys: str) -> str:
 @query(" UNION ALL ".join(_grain_sql(*g) for g in (("client", "client_id"), ("client_product", "client_id, product"), ("group", "group_id, product"))))
 def cap_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
     grains = {"client": ["client_id"], "client_product": ["client_id", "product"], "group": ["group_id", "product"]}
-    return audit.cap_grain_report(T.earned(spark, sf_dir).select("client_id", "group_id", "product", "cap", "points", "ts", "key"), grains, "cap", ["ts", "key"], F.year("ts"))
+    return audit.cap_grain_report(T.earned(spark, sf_dir).select("client_id", "group_id", "product", "cap", "points", "ts"), grains, "cap", F.year("ts"))
 
 
 @query("""SELECT rate, CAST(points AS BIGINT) AS points, round((points - base) / base * 100, 4) AS pct_change FROM (SELECT rate, sum(p) AS points, CAST(any_value(b) AS DOUBLE) AS base FROM (

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.sources.io import rule_map
+from millrace.sources.stored import store
 
 REDUCED = ["5411", "5412", "5541", "5542", "5499", "8398", "8220", "8211"]
 EXCLUDED = ["6011", "6010"]
@@ -179,7 +180,9 @@ def accruals(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.operators import accrual
 
     days = (2 + F.col("key") % 2).cast("int")
-    tx = credited(spark, sf_dir).withColumn("credited_on", accrual.credit_date(F.col("ts"), days))
+    # Purchases and campaigns both read them: stored once, with the columns that either needs.
+    needed = credited(spark, sf_dir).select("key", "ts", "client_id", "group_id", "brand", "credited")
+    tx = store(needed, "credited").withColumn("credited_on", accrual.credit_date(F.col("ts"), days))
     buys = tx.select("group_id", F.lit("consumo").alias("origin"), "credited_on", F.col("credited").alias("points"))
     extra = campaigned(spark, sf_dir, tx).select("group_id", F.lit("campana").alias("origin"), "credited_on", F.col("extra_credited").alias("points"))
     c = read(spark, sf_dir, "customer")

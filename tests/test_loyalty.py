@@ -77,14 +77,12 @@ def test_as_of_state(spark):
 
 
 def fold(order, requests, merged=None, cuts=()):
-    lots = pd.DataFrame([("L24", "g", D(2024, 1, 31), D(2026, 2, 5), 100), ("L25", "g", D(2025, 1, 31), D(2027, 2, 5), 100)], columns=["lot_id", "group_id", "available_from", "expires_on", "points"])
-    asked = pd.DataFrame(requests, columns=["request_id", "client_id", "date", "points"])
-    group = pd.DataFrame([("h", merged)], columns=["holder_id", "merged_since"])
-    out = ledger.fold_group(lots, asked, group, list(cuts), order)
-    left = {x[0]: x[7] for x in out if x[2] == "saldo"}
-    moved = sum(x[4] for x in out if x[2] in ("acumulacion", "expiracion", "canje"))
+    lots = [("L24", D(2024, 1, 31), D(2026, 2, 5), 100), ("L25", D(2025, 1, 31), D(2027, 2, 5), 100)]
+    out = ledger.fold_group(lots, [(r, day, client, points) for r, client, day, points in requests], "h", merged, list(cuts), order)
+    left = {"L24": 0, "L25": 0} | {x[0]: x[3] for x in out if x[1] == "saldo"}
+    moved = sum(x[3] for x in out if x[1] in ("acumulacion", "expiracion", "canje"))
     assert sum(left.values()) == moved
-    return left, [x[6] for x in out if x[2] == "solicitud"]
+    return left, [x[5] for x in out if x[1] == "solicitud"]
 
 
 def test_ledger_orders_and_reasons():
@@ -127,17 +125,101 @@ def test_ledger_invariants(seed):
     import random
 
     rng = random.Random(seed)
-    lots = pd.DataFrame([(f"L{i}", "g", D(2024, 1 + i % 12, 28), D(2030, 2, 5), rng.randint(1, 90)) for i in range(12)], columns=["lot_id", "group_id", "available_from", "expires_on", "points"])
-    asked = pd.DataFrame([(f"r{i}", "h", D(2024, rng.randint(1, 12), rng.randint(1, 28)), rng.randint(1, 150)) for i in range(15)], columns=["request_id", "client_id", "date", "points"])
-    group = pd.DataFrame([("h", None)], columns=["holder_id", "merged_since"])
+    lots = [(f"L{i}", D(2024, 1 + i % 12, 28), D(2030, 2, 5), rng.randint(1, 90)) for i in range(12)]
+    asked = [(f"r{i}", D(2024, rng.randint(1, 12), rng.randint(1, 28)), "h", rng.randint(1, 150)) for i in range(15)]
     spent = {}
     for order in ("fifo", "lifo"):
-        out = ledger.fold_group(lots, asked, group, [], order)
-        spent[order] = sum(x[4] for x in out if x[2] == "canje")
-        left = {x[0]: x[7] for x in out if x[2] == "saldo"}
+        out = ledger.fold_group(lots, asked, "h", None, [], order)
+        spent[order] = sum(x[3] for x in out if x[1] == "canje")
+        left = {x[0]: x[3] for x in out if x[1] == "saldo"}
         per_lot = {}
         for x in out:
-            if x[2] in ("acumulacion", "canje"):
-                per_lot[x[0]] = per_lot.get(x[0], 0) + x[4]
-        assert per_lot == left and min(left.values()) >= 0
+            if x[1] in ("acumulacion", "canje"):
+                per_lot[x[0]] = per_lot.get(x[0], 0) + x[3]
+        assert {k: n for k, n in per_lot.items() if n} == left and min(per_lot.values()) >= 0
     assert spent["fifo"] == spent["lifo"]
+
+
+def history(seed, families=9):
+    """Lots and requests of several years, some without a family, some families without attributes."""
+    import random
+
+    rng = random.Random(seed)
+    day = lambda: D(rng.randint(2022, 2026), rng.randint(1, 12), rng.randint(1, 28))
+    family = lambda: rng.choice([f"g{i}" for i in range(families)] + [None])
+    lots = [(f"L{i}", family(), (d := day()), D(d.year + 2, 2, 5), rng.randint(1, 90)) for i in range(150)]
+    asked = [(f"r{i}", (g := family()), g if rng.random() < 0.8 else "other", day(), rng.randint(1, 120)) for i in range(150)]
+    groups = [(f"g{i}", f"g{i}", day() if i % 3 == 0 else None) for i in range(families - 1)]
+    return lots, asked, groups
+
+
+@pytest.mark.parametrize("order", ["fifo", "lifo"])
+def test_ledger_folded_month_by_month_equals_folded_once(spark, order):
+    lots, asked, groups = history(3)
+    tables = lambda lots, asked: (spark.createDataFrame(lots, "lot_id string, group_id string, available_from date, expires_on date, points long"), spark.createDataFrame(asked, "request_id string, group_id string, client_id string, date date, points long"))
+    known = spark.createDataFrame(groups, "group_id string, holder_id string, merged_since date")
+    cuts = [D(y, 2, 5) for y in range(2023, 2029)]
+    moves, results, left = ledger.run_ledger(*tables(lots, asked), known, cuts, order)
+    want = sorted(rows(moves, "lot_id", "group_id", "type", "date", "points", "request_id"), key=str), sorted(rows(results, "request_id", "group_id", "date", "points", "result"), key=str)
+    assert len(set(rows(results, "result"))) == 4 and ledger.check_ledger(left, moves).count() == 0
+    books, got_moves, got_results = None, [], []
+    edges = [D(2000, 1, 1), D(2023, 2, 4), D(2024, 2, 5), D(2025, 6, 30), D(2026, 3, 31), D(2030, 1, 1)]
+    for after, until in zip(edges, edges[1:]):
+        part = tables([x for x in lots if after < x[2] <= until], [x for x in asked if after < x[3] <= until])
+        some, judged, books = ledger.advance_ledger(books, *part, known, [c for c in cuts if after < c <= until], order)
+        got_moves += rows(some, "lot_id", "group_id", "type", "date", "points", "request_id")
+        got_results += rows(judged, "request_id", "group_id", "date", "points", "result")
+        books = spark.createDataFrame(books.collect(), ledger.BOOKS)  # the stored books
+    assert (sorted(got_moves, key=str), sorted(got_results, key=str)) == want
+    held = {x[0]: x[1] for x in rows(left, "lot_id", "remaining") if x[1]}
+    assert held == dict(rows(books, "lot_id", "remaining"))
+
+
+def test_requests_without_a_family_are_refused(spark):
+    lots = spark.createDataFrame([("L", None, D(2024, 1, 31), D(2026, 2, 5), 10)], "lot_id string, group_id string, available_from date, expires_on date, points long")
+    asked = spark.createDataFrame([("r", None, None, D(2024, 5, 1), 5)], "request_id string, group_id string, client_id string, date date, points long")
+    groups = spark.createDataFrame([(None, "h", None)], "group_id string, holder_id string, merged_since date")
+    moves, results, left = ledger.run_ledger(lots, asked, groups, [])
+    assert rows(results, "result") == [("no_es_titular",)] and rows(left, "remaining") == [(10,)] and moves.count() == 1
+    empty = ledger.run_ledger(lots.where("false"), asked.where("false"), groups.where("false"), [D(2026, 2, 5)])
+    assert [x.count() for x in empty] == [0, 0, 0]
+
+
+def test_caps_of_a_heavy_account_equal_one_by_one(spark):
+    """One account holds 90 % of the rows; caps feed each other; null keys, null caps, null days."""
+    import random
+
+    rng = random.Random(5)
+    data = []
+    for i in range(4000):
+        account = "heavy" if rng.random() < 0.9 else rng.choice(["a", "b", None])
+        data.append((i, account, D(2024, rng.randint(1, 4), rng.randint(1, 28)) if rng.random() < 0.99 else None, rng.choice([0, 1, 5, 40, 300])))
+    tx = spark.createDataFrame(data, "key int, who string, ts date, points long")
+    caps = [("day", F.to_date("ts"), 700), ("month", F.trunc("ts", "MM"), 9000), ("ever", F.lit(1), 25000)]
+    got = {r["key"]: r["credited"] for r in accrual.apply_caps(tx, ["who"], [(n, p, F.lit(c)) for n, p, c in caps], "points", ["ts", "key"]).collect()}
+    used, want = {}, {}
+    for key, who, ts, points in sorted(data, key=lambda x: (x[2] is not None, x[2] or D(1, 1, 1), x[0])):
+        for name, period, cap in (("day", ts, 700), ("month", ts and (ts.year, ts.month), 9000), ("ever", 1, 25000)):
+            taken = used.get((who, name, period), 0)
+            points = min(points, cap - taken)
+            used[who, name, period] = taken + points
+        want[key] = points
+    assert got == want and len(got) == 4000
+    room = {(r["who"], r["cap"], r["period"]): (r["used"], r["room"]) for r in accrual.cap_room(tx, ["who"], [(n, p, F.lit(c)) for n, p, c in caps], "points", ["ts", "key"]).collect()}
+    limit = {"day": 700, "month": 9000, "ever": 25000}
+    period = lambda p: "" if p is None else str(p) if not isinstance(p, tuple) else f"{p[0]}-{p[1]:02d}-01"
+    assert room == {(who, name, period(p)): (n, limit[name] - n) for (who, name, p), n in used.items()}
+    single = accrual.apply_cap(tx.withColumn("cap", F.when(F.col("who") != "a", 500)), ["who"], "cap", "points", ["ts", "key"])
+    sums = {r["who"]: (r["p"], r["c"]) for r in single.groupBy("who").agg(F.sum("points").alias("p"), F.sum("credited").alias("c")).collect()}
+    assert sums["a"][0] == sums["a"][1] and sums["heavy"][1] == 500 and sums[None][0] == sums[None][1]
+
+
+def test_no_task_holds_a_whole_heavy_account(spark):
+    tx = spark.range(40_000).select(F.col("id").alias("key"), F.lit("one").alias("who"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 300).cast("int")).alias("ts"), F.lit(1).alias("points"), F.lit(30_000).alias("cap"))
+    out = accrual.apply_cap(tx, ["who"], "cap", "points", ["ts", "key"], F.year("ts"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        most = max(r["count"] for r in out.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert most < 20_000 and out.agg(F.sum("credited")).first()[0] == 30_000
