@@ -16,8 +16,8 @@ floor(2000000 a / (l + r)), in 38-digit decimals.  Candidates inside a longer on
 count are dropped; `most` of each language are ranked.
 
 Scale: texts are read twice and never shuffled; tasks send distinct pairs, then distinct windows, each counted per
-chunk before they leave the task, so frequent words, lines and passages arrive once per chunk.  Tables of
-phrases hold frequent ones only.
+chunk before they leave the task, so frequent words, lines and passages arrive once per chunk.  Counted windows are cut back to
+prefixes that are frequent before the rollup, so it and all later tables hold frequent phrases only.
 
 Defined cases: null texts are empty, null languages are `und`; ties of scores go by count, then by the phrase's bytes;
 repeated rows count as often as they occur; texts of any length are read whole; other columns are ignored; an empty
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import materialize, scratch
 
-CHUNK, PART, LEAST_BITS, MOST_BITS = 3 << 21, 1 << 18, 16, 27
+CHUNK, PART, LEAST_BITS, MOST_BITS = 1 << 21, 1 << 18, 16, 27
 #: Pieces end at . , ; : ! ? and line breaks; a tab is a blank; A-Z are lower-cased.
 _BYTES = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -159,7 +159,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(each[0])), *each, pa.array(n[some])], ["lang", *w, "n"])
 
     windows = texts.mapInArrow(count, f"lang string, {', '.join(f'{c} string' for c in w)}, n long")
-    rolled = windows.rollup("lang", *w).agg(F.sum("n").alias("f"), F.grouping_id().alias("gid"))
+    rolled = _shortened(windows, w, least).rollup("lang", *w).agg(F.sum("n").alias("f"), F.grouping_id().alias("gid"))
     # The grouping id has one bit per column summed away: 2^(longest - m) - 1 for prefixes of m words.
     level = F.lit(longest) - F.length(F.regexp_replace(F.bin("gid"), "0", ""))
     last = F.array(F.lit("all"), *w)[level]
@@ -167,6 +167,18 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4) -> DataFra
     return rows.select("lang", "m", F.array_join(F.slice(F.array(*w), F.lit(1), F.col("m")), " ").alias("phrase"), "f")
 
 
+def _shortened(windows: DataFrame, w: list[str], least: int) -> DataFrame:
+    """Counted windows, each cut back to its longest prefix with `least` occurrences: longer prefixes would only be summed to be dropped.
+
+    Windows are dealt by their first two words, so the sums of all prefixes of two words and more are made where they are.
+    """
+    counted = windows.repartition("lang", *w[:2]).groupBy("lang", *w).agg(F.sum("n").alias("n"))
+    for k in range(len(w) - 1, 0, -1):
+        of_prefix = F.col("n") if k == len(w) - 1 else F.sum("n").over(Window.partitionBy("lang", *w[: k + 1]))
+        counted = counted.withColumn(f"f{k}", of_prefix)
+    return counted.select("lang", w[0], *[F.when(F.col(f"f{k}") >= least, F.col(w[k])).otherwise("").alias(w[k]) for k in range(1, len(w))], "n")
+
+
 def mine(docs: DataFrame, least: int = 30, longest: int = 4, share: int = 80, most: int = 2000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first `most` phrases of each language."""
     with scratch(docs.sparkSession) as written:
