@@ -23,9 +23,13 @@ def fraction_split(df: DataFrame, order: str, test: float) -> DataFrame:
     return df.withColumn("is_test", day >= cut.scalar())
 
 
+def _hash_mod(key: str, n: int) -> Column:
+    return F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % n
+
+
 def hash_split(df: DataFrame, key: str, weights: dict[str, int]) -> DataFrame:
     """Adds split by a hash of the key modulo 100: repeatable whatever the partitions."""
-    h = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 100
+    h = _hash_mod(key, 100)
     out, upto = F.lit(None).cast("string"), 0
     edges = []
     for name, share in weights.items():
@@ -36,6 +40,11 @@ def hash_split(df: DataFrame, key: str, weights: dict[str, int]) -> DataFrame:
     return df.withColumn("split", out)
 
 
+def hash_folds(df: DataFrame, key: str, k: int) -> DataFrame:
+    """Adds fold 0..k-1 by a hash of the key, so rows of one key are in one fold."""
+    return df.withColumn("fold", _hash_mod(key, k).cast("int"))
+
+
 def forward_folds(df: DataFrame, key: str, order: str, k: int, ranges: int = 64) -> DataFrame:
     """Adds fold 1..k+1 in time order per key, of equal size as ntile makes them; fold f is tested on what was learned from the folds before it.
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -65,14 +64,18 @@ def one_hot(train: DataFrame, df: DataFrame, column: str) -> DataFrame:
     return out.withColumns({f"{column}_{x}": F.get("_a", F.lit(i)).cast("int") for i, x in enumerate(labels)}).drop("_i", "_v", "_a")
 
 
-def principal_parts(df: DataFrame, columns: list[str], keep: float = 0.95) -> tuple[DataFrame, list[float]]:
-    """Scores on the fewest components that explain `keep` of the variance, and all explained shares."""
+def principal_parts(df: DataFrame, columns: list[str], keep: float = 0.95) -> tuple[DataFrame, list[float], np.ndarray]:
+    """Scores on the fewest components that explain `keep` of the variance, all explained shares, and the loadings (a column per component).
+
+    Columns are centred and scaled by the sample deviation; a component's largest loading is positive.
+    """
     stages = [VectorAssembler(inputCols=columns, outputCol="_f"), StandardScaler(inputCol="_f", outputCol="_s", withMean=True), PCA(k=len(columns), inputCol="_s", outputCol="_p")]
     model = Pipeline(stages=stages).fit(df)
-    shares = model.stages[-1].explainedVariance.toArray().tolist()
+    shares, loadings = model.stages[-1].explainedVariance.toArray().tolist(), model.stages[-1].pc.toArray()
+    signs = np.sign(loadings[np.abs(loadings).argmax(0), range(len(columns))])
     k = int(np.searchsorted(np.cumsum(shares), keep - 1e-12)) + 1
     out = model.transform(df).withColumn("_a", vector_to_array("_p"))
-    return out.withColumns({f"pc{i + 1}": F.get("_a", F.lit(i)) for i in range(k)}).drop("_f", "_s", "_p", "_a"), shares
+    return out.withColumns({f"pc{i + 1}": F.get("_a", F.lit(i)) * float(signs[i]) for i in range(k)}).drop("_f", "_s", "_p", "_a"), shares, loadings * signs
 
 
 def regressor(kind: str, **params):
@@ -92,16 +95,109 @@ def coefficients(spark, model, features: list[str]) -> DataFrame:
     return spark.createDataFrame([(f, float(c)) for f, c in zip(features, model.coefficients, strict=True)], "feature string, coefficient double")
 
 
-def forward_grid(df: DataFrame, features: list[str], target: str, kind: str, grid: list[dict], folds: int) -> DataFrame:
-    """R2 of every setting on every fold >= 2, each learned from the folds before it.  df has `fold` (1..folds + 1)."""
-    rows = []
-    for i, params in enumerate(grid):
-        for f in range(2, folds + 2):
-            out, _ = fit_predict(df.where(F.col("fold") < f), df.where(F.col("fold") == f), features, target, kind, **params)
-            e = F.col(target) - F.col("prediction")
-            got = out.agg(F.sum(e * e).alias("sse"), (F.var_pop(target) * F.count(target)).alias("sst")).first()
-            rows.append((i, str(sorted(params.items())), f, float(1 - got["sse"] / got["sst"]) if got["sst"] else 0.0))
-    return df.sparkSession.createDataFrame(rows, "setting int, params string, fold int, r2 double")
+def products(df: DataFrame, features: list[str], target: str, fold: str = "fold") -> dict[int, np.ndarray]:
+    """Sums of products of (1, features, target) per fold, in one aggregation: a matrix per fold, whatever the rows."""
+    v = [F.lit(1.0), *[F.col(c).cast("double") for c in [*features, target]]]
+    k = len(v)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = df.dropna(subset=[*features, target]).groupBy(F.col(fold).cast("int").alias("_fold")).agg(*[F.sum(v[i] * v[j]).alias(f"s{i}_{j}") for i, j in pairs])
+    found = {}
+    for row in sums.collect():  # one row a fold
+        m = np.zeros((k, k))
+        for i, j in pairs:
+            m[i, j] = m[j, i] = row[f"s{i}_{j}"]
+        found[row["_fold"]] = m
+    return found
+
+
+def solve_ridge(m: np.ndarray, penalty: float) -> np.ndarray:
+    """Intercept and weights from sums of products: least squares on standardised features (population deviation) plus penalty x n x squared weights."""
+    n, mean = m[0, 0], m[0] / m[0, 0]
+    cov = m[1:, 1:] / n - np.outer(mean[1:], mean[1:])
+    dev = np.sqrt(np.maximum(np.diag(cov)[:-1], 0))
+    unit = np.where(dev > 0, dev, 1.0)
+    r = cov[:-1, :-1] / np.outer(unit, unit)
+    b = np.linalg.lstsq(r + penalty * np.eye(len(unit)), cov[:-1, -1] / unit, rcond=None)[0] / unit
+    return np.concatenate([[mean[-1] - b @ mean[1:-1]], b])
+
+
+def r2_from_products(m: np.ndarray, weights: np.ndarray) -> float:
+    """R2 of a linear model on the rows that the sums stand for."""
+    d = np.concatenate([weights, [-1.0]])  # prediction minus target
+    sst = m[-1, -1] - m[0, -1] ** 2 / m[0, 0]
+    return float(1 - d @ m @ d / sst) if sst > 0 else 0.0
+
+
+def fold_search(df: DataFrame, features: list[str], target: str, penalties: list[float], scheme: str = "forward", fold: str = "fold") -> DataFrame:
+    """setting, penalty, fold, r2: every ridge penalty on every fold from one pass over the data.
+
+    Sums of products add up, so the rows to learn from are the sums of the folds before (`forward`: time-ordered folds, tested from
+    the second on) or all sums minus the fold's own (`kfold`).  Any number of penalties costs nothing more on the data; only
+    matrices of the features are solved on the driver.
+    """
+    sums = products(df, features, target, fold)
+    order, rows = sorted(sums), []
+    for at, f in enumerate(order):
+        learn = [sums[g] for g in (order[:at] if scheme == "forward" else order) if g != f]
+        if not learn:
+            continue
+        for i, penalty in enumerate(penalties):
+            rows.append((i, float(penalty), f, r2_from_products(sums[f], solve_ridge(sum(learn), penalty))))
+    return df.sparkSession.createDataFrame(rows, "setting int, penalty double, fold int, r2 double")
+
+
+def random_penalties(seed: int, n: int, least: float = 1e-3, most: float = 10.0) -> list[float]:
+    """Penalties drawn evenly on a logarithmic scale; the same for the same seed."""
+    draws = np.random.default_rng(seed).uniform(np.log(least), np.log(most), n)
+    return [float(f"{x:.6g}") for x in np.exp(draws)]
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys, of which null is a value; the right side's other columns are added."""
+    renamed = right.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return left.join(renamed, same, how).drop(*[f"_key{i}" for i in range(len(keys))])
+
+
+def value_ranks(df: DataFrame, keys: list[str], value: str, bins: int = 1024) -> DataFrame:
+    """keys, n, low, high: the two middle values of each of many keys, exact (null values are left out).
+
+    A key's values are counted in bins between its least and largest; only the bins that hold a middle rank are looked into, by
+    distinct value, so no task holds more of a key than its bins or the distinct values of one bin.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    span = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_a"), F.max("_v").alias("_z"))
+    place = F.least(F.floor((F.col("_v") - F.col("_a")) / F.nullif(F.col("_z") - F.col("_a"), F.lit(0.0)) * bins), F.lit(bins - 1))
+    placed = _meet(rows, span, keys).select(*keys, "_v", "n", F.coalesce(place, F.lit(0)).cast("int").alias("_bin"))
+    counted = placed.groupBy(*keys, "n", "_bin", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    per_bin = counted.groupBy(*keys, "n", "_bin").agg(F.sum("_c").alias("_held"))
+    before = F.sum("_held").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_held")
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    holds = lambda r: (F.col("_before") <= r) & (r < F.col("_before") + F.col("_held"))
+    middle = per_bin.withColumn("_before", before).where(holds(low) | holds(high)).select(*keys, "_bin", "_before")
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_bin").orderBy("_v"))
+    ranked = _meet(counted, middle, [*keys, "_bin"]).withColumn("_upto", upto)
+    hit = lambda r: (F.col("_upto") > r) & (F.col("_upto") - F.col("_c") <= r)
+    return ranked.groupBy(*keys, "n").agg(F.max(F.when(hit(low), F.col("_v"))).alias("low"), F.max(F.when(hit(high), F.col("_v"))).alias("high"))
+
+
+def median_per_key(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
+    return value_ranks(df, keys, value).select(*keys, "n", ((F.col("low") + F.col("high")) / 2).alias(out))
+
+
+def robust_scale(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, n, median, mad: median and median absolute deviation of each key."""
+    centre = median_per_key(df, keys, value)
+    away = _meet(df.select(*keys, value), centre, keys).select(*keys, F.abs(F.col(value).cast("double") - F.col("median")).alias("_away"))
+    return _meet(centre, median_per_key(away, keys, "_away", "mad").drop("n"), keys)
+
+
+def robust_scores(df: DataFrame, keys: list[str], value: str, scales: DataFrame) -> DataFrame:
+    """Adds robust_score = 0.6745 (value - median) / mad of the row's key; null where the deviation is 0."""
+    score = F.lit(0.6745) * (F.col(value) - F.col("median")) / F.nullif(F.col("mad"), F.lit(0.0))
+    return _meet(df, scales.select(*keys, "median", "mad"), keys, "left").withColumn("robust_score", score).drop("median", "mad")
 
 
 def linear_per_key(df: DataFrame, keys: list[str], features: list[str], target: str, ridge: float = 1e-6) -> DataFrame:
@@ -157,13 +253,30 @@ def redemption_features(events: DataFrame, key: str, ts: str, value: str, redeem
     ).where("n_before > 0")
 
 
+def rank_auc(df: DataFrame, score: str, label: str = "label", ranges: int = 64) -> float | None:
+    """Exact area under the curve as a rank sum: pairs of a positive above a negative, ties half; None without both labels.
+
+    Scores are counted by value and ordered within ranges; only the ranges' totals are ordered as a whole.
+    """
+    y = F.col(label).cast("int")
+    counts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("v")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    cuts = df.agg(F.percentile_approx(F.col(score).cast("double"), [i / ranges for i in range(1, ranges)], 1000)).first()[0] or []
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col("v"))) if cuts else F.lit(0)
+    placed = counts.withColumn("at", place)
+    per = placed.groupBy("at").agg(F.sum("neg").alias("n"))
+    below = per.select(F.col("at").alias("p"), (F.sum("n").over(Window.orderBy("at")) - F.col("n")).alias("below"))  # at most `ranges` rows
+    under = F.col("below") + F.sum("neg").over(Window.partitionBy("at").orderBy("v")) - F.col("neg")
+    rows = placed.join(F.broadcast(below), F.col("at") == F.col("p")).withColumn("_won", F.col("pos") * (2 * under + F.col("neg")))
+    won, pos, neg = rows.agg(F.sum(F.col("_won").cast("decimal(38,0)")), F.sum("pos"), F.sum("neg")).first()
+    return float(won) / (2 * pos * neg) if pos and neg else None
+
+
 def propensity(train: DataFrame, test: DataFrame, features: list[str], least_auc: float = 0.62) -> DataFrame:
     """AUC of a logistic fit and of ranking by balance, and whether the fit is good enough."""
     vec = VectorAssembler(inputCols=features, outputCol="_x")
-    model = LogisticRegression(featuresCol="_x", labelCol="label", rawPredictionCol="_raw", probabilityCol="_prob").fit(vec.transform(train))
-    scored = model.transform(vec.transform(test)).withColumn("_balance", F.col("balance").cast("double"))
-    auc = lambda col: BinaryClassificationEvaluator(rawPredictionCol=col, labelCol="label").evaluate(scored)
-    rows = [("logistic", float(auc("_raw"))), ("balance", float(auc("_balance")))]
+    model = LogisticRegression(featuresCol="_x", labelCol="label", probabilityCol="_prob", tol=1e-10, maxIter=200).fit(vec.transform(train))
+    scored = model.transform(vec.transform(test)).select("label", "balance", vector_to_array("_prob")[1].alias("_p"))
+    rows = [("logistic", rank_auc(scored, "_p")), ("balance", rank_auc(scored, "balance"))]
     return train.sparkSession.createDataFrame(rows, "ranking string, auc double").withColumn("enough", F.col("auc") >= least_auc)
 
 
@@ -174,5 +287,5 @@ def data_checks(df: DataFrame, order: str, value: str, lagged: str, by: str) ->
     wrong = F.col("_prev").isNotNull() & ~F.col(lagged).eqNullSafe(F.col("_prev"))
     return rows.groupBy(by).agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.col(value).isNull().cast("long")).alias("nulls"), F.min(order).alias("first_day"), F.max(order).alias("last_day"),
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.corr(value, lagged).alias("corr_lag"), F.sum(wrong.cast("long")).alias("lag_mismatch"),
+        F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), F.corr(value, lagged).alias("corr_lag"), F.sum(wrong.cast("long")).alias("lag_mismatch"),
     )

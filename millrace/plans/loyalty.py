@@ -98,6 +98,26 @@ def unresolved_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merchants.unresolved_worklist(tx, merchants.build_catalog(tx))
 
 
+_LIKE_NAMES = "upper(p_name || ' ' || p_brand || ' ' || p_type || ' S' || CAST(p_size % 5 AS VARCHAR))"
+
+
+@query(f"""WITH d AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name || ' ' || p_brand || CASE WHEN p_partkey % 2 = 0 THEN ' SHOP' ELSE ' ' || p_type END) ELSE {_LIKE_NAMES} END AS name FROM part),
+  u AS (SELECT DISTINCT name, list_distinct(string_split(name, ' ')) AS w FROM d WHERE p_partkey % 3 = 0), k AS (SELECT DISTINCT name AS match, list_distinct(string_split(name, ' ')) AS v, md5(name)[1:4] AS mcc FROM d WHERE p_partkey % 3 <> 0),
+  s AS (SELECT name, match, mcc, len(list_intersect(w, v)) / CAST(len(w) + len(v) - len(list_intersect(w, v)) AS DOUBLE) AS score FROM u, k)
+  SELECT name AS descr_norm, mcc, round(score, 6) AS confidence, match, CASE WHEN score >= 0.6::DOUBLE - 1e-9 THEN 'merged' ELSE 'review' END AS status FROM s WHERE score >= 0.5::DOUBLE - 1e-9 QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, match) = 1""")
+def look_alikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes proposed for descriptions that the catalogue does not have, from its most similar entry; unsure ones go to review."""
+    p = T.read(spark, sf_dir, "part")
+    full = F.concat_ws(" ", "p_name", "p_brand", "p_type", F.concat(F.lit("S"), (F.col("p_size") % 5).cast("string")))
+    short = F.concat_ws(" ", "p_name", "p_brand", F.when(F.col("p_partkey") % 2 == 0, "SHOP").otherwise(F.col("p_type")))
+    named = p.select("p_partkey", F.upper(F.when(F.col("p_partkey") % 3 == 0, short).otherwise(full)).alias("descr_norm"))
+    catalog = named.where("p_partkey % 3 <> 0").select("descr_norm", F.substring(F.md5("descr_norm"), 1, 4).alias("catalog_mcc")).distinct()
+    answers = merchants.propose_codes(named.where("p_partkey % 3 = 0").select("descr_norm"), catalog)
+    _, review = merchants.merge_answers(catalog, answers, 0.6 - 1e-9)
+    unsure = review.select("descr_norm", F.lit("review").alias("status"))
+    return answers.join(unsure, "descr_norm", "left").select("descr_norm", "mcc", F.round("confidence", 6).alias("confidence"), "match", F.coalesce("status", F.lit("merged")).alias("status"))
+
+
 @query("SELECT auth_code, points, credited FROM credited")
 def annual_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.credited(spark, sf_dir).select("auth_code", "points", "credited")

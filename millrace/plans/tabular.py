@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import evaluate, features, ml, prices, quality
+from millrace.operators import evaluate, features, ml, prices, quality, trees
 from millrace.plans import tables as T
 
 QUERIES, ORACLES = {}, {}
@@ -83,7 +83,7 @@ def causal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {DEMAND_SQL}, l AS (SELECT *, lag(demand) OVER (PARTITION BY store ORDER BY date) AS prev FROM demand), m AS (SELECT *, CASE WHEN day(date) % 10 = 0 THEN demand ELSE prev END AS claimed FROM l)
-  SELECT store, count(*) AS n_rows, count(*) FILTER (demand IS NULL) AS nulls, min(date) AS first_day, max(date) AS last_day, round(avg(demand), 6) AS mean, round(stddev_samp(demand), 6) AS std, min(demand) AS min,
+  SELECT store, count(*) AS n_rows, count(*) FILTER (demand IS NULL) AS nulls, min(date) AS first_day, max(date) AS last_day, round(avg(demand), 6) AS mean, round(stddev_samp(demand), 6) AS std, min(demand) AS min, max(demand) AS max,
   count(*) FILTER (prev IS NOT NULL AND claimed IS DISTINCT FROM prev) AS lag_mismatch FROM m GROUP BY 1""")
 def data_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
@@ -91,7 +91,7 @@ def data_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = demand(spark, sf_dir).withColumn("claimed", F.lag("demand").over(Window.partitionBy("store").orderBy("date")))
     d = d.withColumn("claimed", F.when(F.dayofmonth("date") % 10 == 0, F.col("demand")).otherwise(F.col("claimed")))
     out = ml.data_checks(d, "date", "demand", "claimed", "store")
-    return out.select("store", F.col("rows").alias("n_rows"), "nulls", "first_day", "last_day", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "lag_mismatch")
+    return out.select("store", F.col("rows").alias("n_rows"), "nulls", "first_day", "last_day", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "max", "lag_mismatch")
 
 
 @query("""WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN p_size END AS size, CASE WHEN p_partkey % 6 <> 0 THEN p_type END AS kind FROM part), k AS (SELECT kind FROM t WHERE kind IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, kind LIMIT 1)
@@ -117,10 +117,42 @@ def _orders_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select("l_orderkey", "l_quantity", "l_discount", "l_tax", F.col("l_linenumber").cast("double").alias("line"), "l_extendedprice", "l_shipdate")
 
 
-@query()
+PARTS = ["l_quantity", "l_extendedprice", "net", "gross"]
+PARTS_SQL = "priced AS (SELECT *, l_extendedprice * (1 - l_discount) AS net, l_extendedprice * (1 + l_tax) AS gross FROM lineitem)"
+
+
+def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.col("l_extendedprice")
+    return T.read(spark, sf_dir, "lineitem").withColumns({"net": price * (1 - F.col("l_discount")), "gross": price * (1 + F.col("l_tax"))})
+
+
+def _leading_sql(rounds: int = 200) -> str:
+    """Power steps on the correlations of PARTS: the tables m (moments) and lead (loadings and share of the leading component)."""
+    k = range(len(PARTS))
+    r = lambda i, j: "1.0::DOUBLE" if i == j else f"r{min(i, j)}{max(i, j)}"
+    moments = [f"corr({PARTS[i]}, {PARTS[j]}) AS r{i}{j}" for i in k for j in k if i < j] + [f"avg({c}) AS a{i}, stddev_samp({c}) AS s{i}" for i, c in enumerate(PARTS)]
+    times = [" + ".join(f"{r(i, j)} * b{j}" for j in k) for i in k]
+    norm = f"sqrt({' + '.join(f'({t}) * ({t})' for t in times)})"
+    large = f"greatest({', '.join(f'abs(b{i})' for i in k)})"
+    sign = "CASE " + " ".join(f"WHEN abs(b{i}) = {large} THEN sign(b{i})" for i in k) + " END"
+    return f"""WITH RECURSIVE {PARTS_SQL}, m AS MATERIALIZED (SELECT {', '.join(moments)} FROM priced),
+  b AS (SELECT 0 AS t, {', '.join(f'1.0::DOUBLE + {i} AS b{i}' for i in k)} UNION ALL SELECT t + 1, {', '.join(f'({t}) / {norm} AS b{i}' for i, t in enumerate(times))} FROM b, m WHERE t < {rounds}),
+  lead AS MATERIALIZED (SELECT {', '.join(f'b{i} * {sign} AS c{i}' for i in k)}, {norm} / {len(PARTS)} AS share FROM b, m WHERE t = {rounds})"""
+
+
+@query(f"{_leading_sql()} SELECT l_orderkey, CAST(l_linenumber AS DOUBLE) AS line, round({' + '.join(f'({c} - a{i}) / s{i} * c{i}' for i, c in enumerate(PARTS))}, 4) AS pc1 FROM priced, m, lead")
 def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = ml.principal_parts(_orders_table(spark, sf_dir), ["l_quantity", "l_discount", "l_tax", "l_extendedprice"])
-    return out.drop("l_shipdate")
+    """The score of every row on the leading component."""
+    out, _, _ = ml.principal_parts(_priced(spark, sf_dir), PARTS)
+    return out.select("l_orderkey", F.col("l_linenumber").cast("double").alias("line"), F.round("pc1", 4).alias("pc1"))
+
+
+@query(f"{_leading_sql()} {' UNION ALL '.join(f"SELECT '{c}' AS feature, round(c{i}, 5) AS loading, round(share, 6) AS share FROM lead" for i, c in enumerate(PARTS))}")
+def leading_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, shares, loadings = ml.principal_parts(_priced(spark, sf_dir), PARTS)
+    return spark.createDataFrame([(c, float(x), shares[0]) for c, x in zip(PARTS, loadings[:, 0], strict=True)], "feature string, loading double, share double").select(
+        "feature", F.round("loading", 5).alias("loading"), F.round("share", 6).alias("share")
+    )
 
 
 @query("SELECT round(regr_slope(l_extendedprice, l_quantity), 3) AS coefficient, round(regr_intercept(l_extendedprice, l_quantity), 1) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem")
@@ -169,11 +201,115 @@ def forest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r2.withColumn("label", evaluate.overfit_label(F.col("r2_train"), F.col("r2_test")))
 
 
-@query()
+def _search_sql(rows: str, pairs: str, penalties: list[float]) -> str:
+    """Ridge on two features in closed form for every penalty and fold, scored row by row.  rows: the table x (x1, x2, y, fold); pairs: how to learn for fold f."""
+    given = ", ".join(f"({i}, {p!r}::DOUBLE)" for i, p in enumerate(penalties))
+    return f"""{rows}, p AS (SELECT * FROM (VALUES {given}) v(setting, penalty)), folds AS (SELECT DISTINCT fold AS f FROM x),
+  st AS (SELECT f, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2 FROM folds JOIN x ON {pairs} GROUP BY f),
+  w AS (SELECT setting, penalty, f, m1, m2, my, ((1 + penalty) * c1 / s1 - c12 / s1 / s2 * c2 / s2) / ((1 + penalty) * (1 + penalty) - pow(c12 / s1 / s2, 2)) / s1 AS b1,
+    ((1 + penalty) * c2 / s2 - c12 / s1 / s2 * c1 / s1) / ((1 + penalty) * (1 + penalty) - pow(c12 / s1 / s2, 2)) / s2 AS b2 FROM st, p),
+  e AS (SELECT setting, penalty, f, 1 - sum(pow(y - my - b1 * (x1 - m1) - b2 * (x2 - m2), 2)) / (var_pop(y) * count(*)) AS r2 FROM w JOIN x ON fold = f GROUP BY ALL)
+  SELECT setting, penalty, round(avg(r2), 5) AS mean, round(stddev_pop(r2), 5) AS std FROM e GROUP BY ALL"""
+
+
+def _summary(scores: DataFrame) -> DataFrame:
+    out = evaluate.cross_validation_summary(scores, "r2", ["setting", "penalty"])
+    return out.select("setting", "penalty", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
+
+
+GRID, DRAWN = [0.001, 0.01, 0.1, 1.0], ml.random_penalties(7, 6)
+
+
+@query(_search_sql(f"WITH {DEMAND_SQL}, x AS (SELECT price_per_kg AS x1, competitor_price_per_kg AS x2, CAST(demand AS DOUBLE) AS y, ntile(4) OVER (PARTITION BY store ORDER BY date) AS fold FROM demand)", "fold < f", GRID))
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every penalty on time-ordered folds, each learned from the folds before it."""
     rows = evaluate.forward_folds(demand(spark, sf_dir), "store", "date", 3)
-    scores = ml.forward_grid(rows, ["price_per_kg", "competitor_price_per_kg"], "demand", "ridge", [{"regParam": 0.1}, {"regParam": 1.0}], 3)
-    return evaluate.cross_validation_summary(scores, "r2", ["setting", "params"])
+    return _summary(ml.fold_search(rows, ["price_per_kg", "competitor_price_per_kg"], "demand", GRID))
+
+
+FOLD_SQL = "WITH x AS (SELECT l_quantity AS x1, l_discount AS x2, l_extendedprice AS y, CAST('0x' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 5 AS fold FROM lineitem)"
+
+
+@query(_search_sql(FOLD_SQL, "fold <> f", DRAWN))
+def random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Penalties drawn by a seed on five folds, the lines of an order in one fold."""
+    rows = evaluate.hash_folds(T.read(spark, sf_dir, "lineitem"), "l_orderkey", 5)
+    return _summary(ml.fold_search(rows, ["l_quantity", "l_discount"], "l_extendedprice", DRAWN, "kfold"))
+
+
+TREE = {"keys": ["l_suppkey"], "features": ["l_quantity", "l_discount"], "bins": 8, "depth": 3, "least": 20}
+
+
+def _trees_sql() -> str:
+    """The same splits level by level; ends with the table trees (node, n, value, f, b, gain)."""
+    fs, bins = list(enumerate(TREE["features"])), TREE["bins"]
+    edges = ", ".join(f"(SELECT list_transform(range(1, {bins}), lambda i: a + (z - a) * i / {bins}) FROM (SELECT min({c}) AS a, max({c}) AS z FROM lineitem)) AS e{i}" for i, c in fs)
+    ctes = [
+        f"ed AS MATERIALIZED (SELECT {edges})",
+        f"c0 AS MATERIALIZED (SELECT l_suppkey AS k, {', '.join(f'len(list_filter(e{i}, lambda e: e < {c})) AS b{i}' for i, c in fs)}, 1 AS node, count(*) AS n, sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS s FROM lineitem, ed GROUP BY ALL)",
+    ]
+    for level in range(TREE["depth"] + 1):
+        c = f"c{level}"
+        whole = f"SELECT k, node, CAST(sum(n) AS BIGINT) AS n, CAST(sum(s) AS DOUBLE) / CAST(sum(n) AS BIGINT) AS value FROM {c} GROUP BY 1, 2"
+        if level == TREE["depth"]:
+            ctes.append(f"t{level} AS (SELECT *, CAST(NULL AS BIGINT) AS f, CAST(NULL AS BIGINT) AS b, CAST(NULL AS DOUBLE) AS gain FROM ({whole}))")
+            break
+        listed = " UNION ALL ".join(f"SELECT k, node, {i} AS f, b{i} AS b, sum(n) AS n, sum(s) AS s FROM {c} GROUP BY 1, 2, b{i}" for i, _ in fs)
+        ctes += [
+            f"h{level} AS (SELECT k, node, f, b, CAST(sum(n) OVER u AS BIGINT) AS nl, sum(s) OVER u AS sl, CAST(sum(n) OVER a AS BIGINT) AS n, sum(s) OVER a AS s FROM ({listed}) WINDOW u AS (PARTITION BY k, node, f ORDER BY b), a AS (PARTITION BY k, node, f))",
+            f"g{level} AS (SELECT *, round(CAST(sl AS DOUBLE) * CAST(sl AS DOUBLE) / nl + CAST(s - sl AS DOUBLE) * CAST(s - sl AS DOUBLE) / (n - nl) - CAST(s AS DOUBLE) * CAST(s AS DOUBLE) / n, 3) AS gain FROM h{level} WHERE nl >= {TREE['least']} AND n - nl >= {TREE['least']})",
+            f"s{level} AS MATERIALIZED (SELECT * FROM g{level} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY k, node ORDER BY gain DESC, f, b) = 1)",
+            f"t{level} AS (SELECT w.*, s.f, s.b, s.gain FROM ({whole}) w LEFT JOIN s{level} s USING (k, node))",
+            f"c{level + 1} AS MATERIALIZED (SELECT {c}.* REPLACE (2 * node + CAST(CASE s.f {' '.join(f'WHEN {i} THEN b{i}' for i, _ in fs)} END > s.b AS INTEGER) AS node) FROM {c} JOIN s{level} s USING (k, node))",
+        ]
+    return f"WITH {', '.join(ctes)}, trees AS ({' UNION ALL '.join(f'SELECT * FROM t{level}' for level in range(TREE['depth'] + 1))})"
+
+
+def _trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    li = T.read(spark, sf_dir, "lineitem").withColumn("price", F.col("l_extendedprice").cast("decimal(18,2)"))
+    edges = trees.even_edges(li, TREE["features"], TREE["bins"])
+    return li, trees.grow_trees(li, TREE["keys"], edges, "price", TREE["depth"], TREE["least"])
+
+
+@query(f"{_trees_sql()} SELECT k AS l_suppkey, node, n, round(value, 9) AS value, CASE f {' '.join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(TREE['features']))} END AS feature, round(CASE f {' '.join(f'WHEN {i} THEN e{i}[b + 1]' for i in range(len(TREE['features'])))} END, 9) AS threshold, gain FROM trees, ed")
+def trees_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A regression tree of every supplier's prices."""
+    grown = _trees(spark, sf_dir)[1]
+    return grown.select("l_suppkey", "node", "n", F.round("value", 9).alias("value"), "feature", F.round("threshold", 9).alias("threshold"), "gain")
+
+
+_STEP = "CASE WHEN t.f IS NULL THEN r.node ELSE 2 * r.node + CAST(CASE t.f {0} END > t.b AS INTEGER) END".format(" ".join(f"WHEN {i} THEN r.b{i}" for i in range(len(TREE["features"]))))
+
+
+def _walk_sql() -> str:
+    start = f"r0 AS (SELECT l_suppkey AS k, l_extendedprice AS y, 1 AS node, {', '.join(f'len(list_filter(e{i}, lambda e: e < {c})) AS b{i}' for i, c in enumerate(TREE['features']))} FROM lineitem, ed)"
+    steps = [f"r{d + 1} AS (SELECT r.* REPLACE ({_STEP} AS node) FROM r{d} r JOIN trees t ON t.k = r.k AND t.node = r.node)" for d in range(TREE["depth"])]
+    return f"{_trees_sql()}, {', '.join([start, *steps])}"
+
+
+@query(f"{_walk_sql()} SELECT r.k AS l_suppkey, count(*) AS n, round(avg(abs(value - y)), 3) AS mae, round(1 - sum(pow(value - y, 2)) / (var_pop(y) * count(*)), 5) AS r2 FROM r{TREE['depth']} r JOIN trees t ON t.k = r.k AND t.node = r.node GROUP BY 1")
+def tree_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, grown = _trees(spark, sf_dir)
+    out = trees.predict_trees(li, grown, TREE["keys"], TREE["features"], TREE["depth"])
+    m = evaluate.regression_metrics(out, "l_extendedprice", "forecast", ["l_suppkey"])
+    return m.select("l_suppkey", "n", F.round("mae", 3).alias("mae"), F.round("r2", 5).alias("r2"))
+
+
+ROBUST_SQL = """WITH c AS (SELECT o_orderpriority, count(*) AS n, median(o_totalprice) AS median FROM orders GROUP BY 1), d AS (SELECT o_orderpriority, median(abs(o_totalprice - c.median)) AS mad FROM orders JOIN c USING (o_orderpriority) GROUP BY 1)"""
+
+
+@query(f"{ROBUST_SQL} SELECT o_orderpriority, n, round(median, 6) AS median, round(mad, 6) AS mad FROM c JOIN d USING (o_orderpriority)")
+def robust_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ml.robust_scale(T.read(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice")
+    return out.select("o_orderpriority", "n", F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))
+
+
+@query(f"{ROBUST_SQL} SELECT o_orderkey, round(0.6745::DOUBLE * (o_totalprice - median) / mad, 6) AS robust_score FROM orders JOIN c USING (o_orderpriority) JOIN d USING (o_orderpriority) ORDER BY robust_score DESC, o_orderkey LIMIT 50")
+def robust_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty orders furthest above their category's median, to be reviewed."""
+    o = T.read(spark, sf_dir, "orders")
+    scored = ml.robust_scores(o, ["o_orderpriority"], "o_totalprice", ml.robust_scale(o, ["o_orderpriority"], "o_totalprice")).withColumn("robust_score", F.round("robust_score", 6))
+    return ml.review_queue(scored, "robust_score", 50, "o_orderkey").select("o_orderkey", "robust_score")
 
 
 @query("""WITH e AS (SELECT o_orderkey, o_totalprice * 7.7::DOUBLE AS a, CAST(floor(o_totalprice * CASE WHEN o_orderkey % 13 = 0 THEN 5 ELSE 1 END) AS BIGINT) AS p FROM orders)
@@ -194,11 +330,29 @@ def redemption_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.redemption_features(e, "user_id", "ts", "value", F.col("event_type") == "purchase", "2024-01-03").select("user_id", "n_before", "label")
 
 
+AUC_SQL = """WITH f AS (SELECT user_id, coalesce(sum(value) FILTER (ts < TIMESTAMP '2024-01-10'), 0) AS balance, max(CASE WHEN ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-13' AND value > 150 THEN 1 ELSE 0 END) AS label,
+  count(*) FILTER (ts < TIMESTAMP '2024-01-10') AS n_before FROM events GROUP BY 1),
+  t AS (SELECT round(balance, 4) AS balance, label FROM f WHERE n_before > 0 AND CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 >= 70),
+  r AS (SELECT label, (rank() OVER (ORDER BY balance) + rank() OVER (ORDER BY balance) + count(*) OVER (PARTITION BY balance) - 1) / 2.0::DOUBLE AS rank FROM t), k AS (SELECT sum(label) AS p, count(*) - sum(label) AS q FROM t)
+  SELECT 'balance' AS ranking, round((sum(rank) FILTER (label = 1) - any_value(p) * (any_value(p) + 1) / 2.0::DOUBLE) / nullif(any_value(p) * any_value(q), 0), 6) AS auc FROM r, k"""
+
+
+def _propensity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = ml.redemption_features(e, "user_id", "ts", "value", F.col("value") > 150, "2024-01-10", 3).withColumn("balance", F.round("balance", 4))
+    return evaluate.hash_split(rows, "user_id", {"train": 70, "test": 30})
+
+
+@query(AUC_SQL)
+def balance_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the balance alone ranks who redeems, on the test split."""
+    found = ml.rank_auc(_propensity_rows(spark, sf_dir).where("split = 'test'"), "balance")
+    return spark.createDataFrame([("balance", found)], "ranking string, auc double").withColumn("auc", F.round("auc", 6))
+
+
 @query()
 def redemption_propensity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = T.read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = ml.redemption_features(e, "user_id", "ts", "value", F.col("value") > 150, "2024-01-10", 3)
-    split = evaluate.hash_split(rows, "user_id", {"train": 70, "test": 30})
+    split = _propensity_rows(spark, sf_dir)
     return ml.propensity(split.where("split = 'train'"), split.where("split = 'test'"), ["balance", "n_before", "n_recent", "redeemed_before"])
 
 
