@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import scalars
 from millrace.operators import evaluate, features, gapfill, lineage, ml, prices, quality
 from millrace.plans import tables as T
-from millrace.sources import io
+from millrace.sources import io, stored
 
 QUERIES, ORACLES = {}, {}
 
@@ -390,6 +392,15 @@ def pending_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.pending(catalog, catalog.where("identifier % 3 = 0"), ["cache_key"]).select("cache_key")
 
 
+@query("""WITH k AS (SELECT page_id, sha256(coalesce(html, '')) AS cache_key FROM pages) SELECT page_id, cache_key FROM k WHERE cache_key NOT IN (SELECT cache_key FROM k WHERE page_id % 3 = 0)""")
+def pending_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose content a stored, bucketed index does not have."""
+    k = T.read(spark, sf_dir, "pages").select("page_id", F.sha2(F.coalesce("html", F.lit("")), 256).alias("cache_key"))
+    table = f"seen_{uuid.uuid4().hex}"
+    stored.store_index(k.where("page_id % 3 = 0"), table, ["cache_key"], f"{stored.shared_dir(spark)}/{table}", 16)
+    return stored.pending_by_index(k, table, ["cache_key"]).select("page_id", "cache_key")
+
+
 @query(f"WITH {SERIES_SQL} SELECT fuel_type, date, round(lag_1, 5) AS lag_1, round(rolling_mean_3, 5) AS rolling_mean_3 FROM feat")
 def feature_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["lag_1", "rolling_mean_3"]
