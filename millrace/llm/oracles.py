@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm.quality_rules import KIND_SHARE, KINDS, PRIOR_SHARE, RULES, prior_rates
+from millrace.llm.quality_rules import KIND_SHARE, KINDS, LEAST, LENGTHS, PRIOR_SHARE, RULES, THRESHOLDS, WORD_LENGTHS, prior_rates
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -40,14 +40,12 @@ def quality_rules_sql(rounds: int = 25) -> str:
     begun = ["1.0::DOUBLE AS w0"] + [
         f"0.02::DOUBLE + {' + '.join(f'CASE WHEN v{RULES.index(x)} = -1 THEN 20.0::DOUBLE ELSE 0.0::DOUBLE END' for x in own)} AS w{c}" for c, own in enumerate(KINDS.values(), 1)
     ]
-    vote = lambda value, bad, good: f"CASE WHEN {value} {bad} THEN -1 WHEN {value} {good} THEN 1 ELSE 0 END"
-    share = lambda a, b: f"{a} / greatest({b}, 1)"
-    length = "(word_chars / greatest(n_words, 1))"
-    votes = [
-        vote("n_words", "< 20", ">= 80"), vote(share("n_symbols", "n_words"), "> 0.25", "< 0.02"), vote(share("n_dup_lines", "n_lines"), "> 0.35", "< 0.1"),
-        vote(share("n_repeat_words", "n_words"), "> 0.35", "< 0.1"), f"CASE WHEN {length} < 2.5 OR {length} > 12 THEN -1 WHEN {length} > 3.5 AND {length} < 8 THEN 1 ELSE 0 END",
-        vote(share("n_capitals", "word_chars"), "> 0.4", "< 0.1"), vote(share("n_shouts", "n_words"), "> 0.4", "< 0.05"),
-    ]
+    vote = lambda bad, good: f"CASE WHEN n_words < {LEAST} THEN 0 WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END"
+    length, (odd, usual) = "(word_chars / greatest(n_words, 1))", WORD_LENGTHS
+    cast = {x: vote(f"{name} / greatest({whole}, 1) > {bad}", f"{name} / greatest({whole}, 1) < {good}") for x, (name, whole, bad, good) in THRESHOLDS.items()}
+    cast["length"] = vote(f"n_words < {LENGTHS[0]}", f"n_words >= {LENGTHS[1]}")
+    cast["word_length"] = vote(f"{length} < {odd[0]} OR {length} > {odd[1]}", f"{length} > {usual[0]} AND {length} < {usual[1]}")
+    votes = [cast[x] for x in RULES]
     ctes = [
         rf"""d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_WORDS} AS words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents)""",
         "win AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM d))",

@@ -1,14 +1,15 @@
 """Quality rules under weak supervision, in DataFrame functions only.
 
-Seven rules read counts of the whole text and vote good (1), bad (-1) or abstain (0).  Junk comes in
+Eight overlapping rules read counts of the whole text and vote good (1), bad (-1) or abstain (0); all abstain on texts of
+fewer than LEAST words, which the base rule settles.  Their thresholds are near what good documents show, so single votes err.  Junk comes in
 kinds, each of which sets off its own rules: a latent class model has one class of good documents and
 one for each kind in KINDS, and in each class every rule has a rate of voting bad when it votes at all.
 Rates and class shares are fitted to the votes by expectation-maximisation; a document is kept when its
-posterior probability of the good class reaches `threshold`.  So a rule that fires often beside good
-votes, such as that on length, is outvoted, and one bad vote of a rule that hardly ever fires on good
-documents decides.  The rates have Beta priors that weigh as much as PRIOR_SHARE of the corpus; nothing
+posterior probability of the good class reaches `threshold`.  So a bad vote of a rule that often fires beside good
+votes, such as those on length, lines and headlines, is outvoted unless others join it, and one of a rule that hardly ever fires
+on good documents decides.  The rates have Beta priors that weigh as much as PRIOR_SHARE of the corpus; nothing
 else bounds them.  Votes of all documents enter the fit: they are counted by vote pattern first, at most
-3**7 patterns however large the corpus, and the whole fit is one expression over that table.
+3**8 patterns however large the corpus, and the whole fit is one expression over that table.
 
 Defined cases: null or wordless text has all counts 0 and fails the base rule; texts of any length
 are counted whole; repeated rows are judged alike; an empty table gives an empty result; null ids
@@ -22,11 +23,18 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import let, materialize, unused_name, words_of
 
-RULES = ("length", "symbols", "lines", "repeats", "word_length", "capitals", "shouts")
+#: Each rule's measure (a count over another), and the values beyond which it votes bad and good; `length` and `word_length` are ranges.
+THRESHOLDS = {
+    "symbols": ("n_symbols", "n_words", 0.25, 0.02), "lines": ("n_dup_lines", "n_lines", 0.1, 0.02), "repeats": ("n_repeat_words", "n_words", 0.45, 0.1),
+    "capitals": ("n_capitals", "word_chars", 0.4, 0.1), "shouts": ("n_shouts", "n_words", 0.2, 0.02), "headlines": ("n_capitals", "word_chars", 0.05, 0.03),
+}
+#: Fewer words are short, more are long enough; words of a mean length outside the first range are odd, inside the second usual.
+LENGTHS, WORD_LENGTHS, LEAST = (80, 120), ((3.8, 7.0), (4.3, 6.0)), 50
+RULES = ("length", "symbols", "lines", "repeats", "word_length", "capitals", "shouts", "headlines")
 #: Rules that a kind of junk sets off.  Short texts are no kind of their own: length is judged by how it goes with the rest.
 KINDS = {"repetition": ("lines", "repeats"), "shouting": ("capitals", "shouts"), "noise": ("symbols", "word_length")}
 #: Beta priors: mean rate of bad votes on good documents; on junk by rules of its kind, and by others; their weight.
-ALARM = {"length": 0.02, "symbols": 0.005, "lines": 0.005, "repeats": 0.005, "word_length": 0.01, "capitals": 0.01, "shouts": 0.01}
+ALARM = {"length": 0.1, "symbols": 0.005, "lines": 0.05, "repeats": 0.005, "word_length": 0.01, "capitals": 0.01, "shouts": 0.01, "headlines": 0.03}
 CATCH, STRAY = 0.5, 0.05
 #: Weight of the priors of the good class and of a kind of junk, as shares of the corpus.
 PRIOR_SHARE, KIND_SHARE = 0.01, 0.001
@@ -97,21 +105,17 @@ def base_failed(s: Column) -> Column:
 
 
 def votes(s: Column) -> Column:
-    """Array of one vote per rule, in the order of RULES."""
+    """Array of one vote per rule, in the order of RULES; all abstain on short texts."""
     per = lambda name, whole: s[name] / F.greatest(s[whole], F.lit(1))
 
     def vote(bad: Column, good: Column) -> Column:
         return F.when(bad, -1).when(good, 1).otherwise(0)
 
-    return F.array(
-        vote(s["n_words"] < 20, s["n_words"] >= 80),
-        vote(per("n_symbols", "n_words") > 0.25, per("n_symbols", "n_words") < 0.02),
-        vote(per("n_dup_lines", "n_lines") > 0.35, per("n_dup_lines", "n_lines") < 0.1),
-        vote(per("n_repeat_words", "n_words") > 0.35, per("n_repeat_words", "n_words") < 0.1),
-        vote((per("word_chars", "n_words") < 2.5) | (per("word_chars", "n_words") > 12), (per("word_chars", "n_words") > 3.5) & (per("word_chars", "n_words") < 8)),
-        vote(per("n_capitals", "word_chars") > 0.4, per("n_capitals", "word_chars") < 0.1),
-        vote(per("n_shouts", "n_words") > 0.4, per("n_shouts", "n_words") < 0.05),
-    )
+    word, (odd, usual) = per("word_chars", "n_words"), WORD_LENGTHS
+    cast = {name: vote(per(count, whole) > bad, per(count, whole) < good) for name, (count, whole, bad, good) in THRESHOLDS.items()}
+    cast["length"] = vote(s["n_words"] < LENGTHS[0], s["n_words"] >= LENGTHS[1])
+    cast["word_length"] = vote((word < odd[0]) | (word > odd[1]), (word > usual[0]) & (word < usual[1]))
+    return F.when(s["n_words"] < LEAST, F.array(*[F.lit(0) for _ in RULES])).otherwise(F.array(*[cast[x] for x in RULES]))
 
 
 def prior_rates() -> list[list[float]]:
@@ -164,7 +168,7 @@ def fit_votes(patterns: DataFrame, rounds: int = 25) -> DataFrame:
 
 
 def _posteriors(voted: DataFrame, votes_col: Column) -> DataFrame:
-    """One row per vote pattern, at most 3**7: the size that bounds the broadcast."""
+    """One row per vote pattern, at most 3**8: the size that bounds the broadcast."""
     patterns = voted.groupBy(votes_col.alias("votes")).agg(F.count(F.lit(1)).alias("n"))
     return materialize(fit_votes(patterns), "quality-votes")
 
