@@ -15,7 +15,7 @@ when the rank of their merge comes have a merge.
 
 Texts come in pieces and are cut first where the tokenizer cuts them: at special tokens, then into runs
 of letters, numbers, other characters and blanks.  The cut needs a lookahead of two characters.  Parts
-between blanks recur, so the ids of the last ones met are kept, in two generations of bounded size; a
+between blanks recur, and runs recur in other parts, so the ids of the last ones met are kept, in two generations of bounded size; a
 part that grows beyond HOLD characters is encoded while it is still open.
 
 Defined cases: null and empty texts have no tokens; texts of any length are encoded whole; repeated rows
@@ -43,8 +43,8 @@ TOKENIZER = "byte_bpe_50k.json"
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A part: blanks and what follows them up to the next blank.  No token crosses its ends.
 PART = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
-#: So many parts, pairs of tokens and beginnings of runs are remembered by each worker before it starts anew.
-CACHE, PAIRS, HEADS = 250_000, 150_000, 80_000
+#: So many parts, runs, pairs of tokens and beginnings of runs are remembered by each worker before it starts anew.
+CACHE, RUNS, PAIRS, HEADS = 160_000, 250_000, 150_000, 80_000
 #: Runs that begin with the same bytes share the work for so many of them, or for the lesser number.
 LONG_HEAD, SHORT_HEAD = 7, 4
 #: A part of more characters than this is encoded while it is still open.
@@ -262,19 +262,29 @@ class Encoder:
         self.machine = Transducer(self.table)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        #: Packed ids of the runs last met: one run recurs in parts with other signs beside it.
+        self.young_runs: dict[str, bytes] = {}
+        self.old_runs: dict[str, bytes] = {}
 
-    def _run_ids(self, run: str) -> list[int]:
-        data = run.encode("utf-8", "surrogatepass")
-        whole = self.table.whole.get(data)
-        if whole is not None:
-            return [whole]
-        return self.machine.push(data) + self.machine.finish()
+    def _run_ids(self, run: str) -> bytes:
+        found = self.young_runs.get(run)
+        if found is None:
+            found = self.old_runs.get(run)
+            if found is None:
+                data = run.encode("utf-8", "surrogatepass")
+                whole = self.table.whole.get(data)
+                found = _packed([whole] if whole is not None else self.machine.push(data) + self.machine.finish())
+            if len(run) < 64:
+                if len(self.young_runs) >= RUNS:
+                    self.old_runs, self.young_runs = self.young_runs, {}
+                self.young_runs[run] = found
+        return found
 
     def part(self, part: str) -> bytes:
         """Ids of a part as little-endian uint32; the younger generation remembers it."""
         found = self.old.get(part)
         if found is None:
-            found = _packed([i for m in self.run.finditer(part) for i in self._run_ids(m[0])])
+            found = b"".join(map(self._run_ids, self.run.findall(part)))
         if len(part) < 64:
             if len(self.young) >= CACHE:
                 self.old, self.young = self.young, {}
@@ -337,7 +347,7 @@ class Encoder:
                 # A long open part: its runs one by one, and one that fills the rest as it comes.
                 m = self.run.match(buffer, at, until)
                 while m.end() < until and m.start() + 3 <= until:
-                    yield _packed(self._run_ids(m[0]))
+                    yield self._run_ids(m[0])
                     at = m.end()
                     m = self.run.match(buffer, at, until)
                 if m.end() == until and m.end() - at > hold:

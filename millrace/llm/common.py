@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,33 +31,51 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-#: Lists to which `materialize` adds the paths it writes, innermost `scratch` last.
-_WRITTEN: list[list[str]] = []
+#: Lists to which `materialize` adds the paths it writes, innermost `scratch` last; each thread has its own.
+_WRITTEN: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a table in the shared folder and read it again: cuts lineage and survives lost executors."""
+    """Write a table in the shared folder and read it again: cuts lineage and survives lost executors.
+
+    It is deleted by the `scratch` around it, or else when the driver's session ends.
+    """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    for written in _WRITTEN[-1:]:
+    for written in _WRITTEN.get()[-1:]:
         written.append(path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a stored table that nothing reads any more."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    store, place = _place(spark, path)
+    store.delete(place, True)
+    store.cancelDeleteOnExit(place)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a table or folder when the driver's session ends."""
+    store, place = _place(spark, path)
+    store.deleteOnExit(place)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Deletes at the end what `materialize` wrote inside, but for the paths taken out of the list."""
-    _WRITTEN.append([])
+    mine: list[str] = []
+    before = _WRITTEN.set((*_WRITTEN.get(), mine))
     try:
-        yield _WRITTEN[-1]
+        yield mine
     finally:
-        for path in _WRITTEN.pop():
+        _WRITTEN.reset(before)
+        for path in mine:
             discard(spark, path)
 
 
