@@ -10,9 +10,10 @@ cosine c is then found with that probability, and a nearer one with a higher one
 best cosine within a bounded sample (`sample` vectors, first by hash), which is below what the whole
 table offers.  Candidates of all tables are merged and ranked by exact cosine in double precision.
 
-The number of projections follows the table: it is the one of HASHES that costs least by the sample,
-counting a comparison for every vector of the visited buckets and VISIT comparisons for every bucket
-visited.  So buckets multiply as the table grows, as far as the vectors have structure to be found.  A
+Tables, projections, width and success are chosen together: every one of SETTINGS is tried on queries of the sample, at each
+of SUCCESS, and the cheapest is taken whose recall within the sample is at least `recall`.  Cost counts a comparison for every candidate
+and VISIT comparisons for every bucket visited, in a table of the real size (of a million vectors at least, so that small tables are
+searched as large ones are).  So buckets multiply as the table grows, as far as the vectors have structure to be found.  A
 query whose order of buckets would be too long to list is treated as one without candidates.
 
 Equal vectors are one class, of which the `neighbours` + 1 smallest ids are enough for any query.
@@ -43,6 +44,9 @@ from millrace.llm.common import join_unique, materialize
 
 #: Numbers of projections to choose from; a visit costs as much as so many comparisons; most buckets in a query's list.
 HASHES, VISIT, LONGEST = (2, 4, 6, 8, 10, 12), 256, 1 << 14
+#: Tables, projections and width to choose from, and estimated success; costs are those of a table of so many vectors at least.
+SETTINGS = ((2, 2, 2.5), (2, 4, 2.5), (3, 6, 1.5), (4, 6, 1.5), (4, 8, 2.0), (4, 10, 2.0), (4, 12, 2.5))
+SUCCESS, LEAST_TABLE, TRIED = (0.8, 0.85, 0.88, 0.9, 0.92, 0.95, 0.97), 1_000_000, 96
 
 
 class Tables:
@@ -65,6 +69,11 @@ class Tables:
 
     def probes(self, x: np.ndarray, table: int, nearness: float, success: float) -> np.ndarray:
         """Buckets of one query by estimated success, until these sum to `success`; none if the list would be too long."""
+        code, reached = self.order(x, table, nearness)
+        return code[: int(np.searchsorted(reached, success)) + 1] if reached[-1] >= success else code[:0]
+
+    def order(self, x: np.ndarray, table: int, nearness: float) -> tuple[np.ndarray, np.ndarray]:
+        """The likeliest buckets of one query, by estimated success, and the sums of it."""
         edges = (np.arange(-self.reach, self.reach + 2) * self.width)[None, :] - self.shift[table][:, None]
         edges[:, 0], edges[:, -1] = -np.inf, np.inf
         z = (edges - nearness * x[:, None]) / math.sqrt(1 - nearness**2)
@@ -78,8 +87,7 @@ class Tables:
                 best = np.argpartition(-joint, LONGEST)[:LONGEST]
                 joint, code = joint[best], code[best]
         order = np.argsort(-joint, kind="stable")
-        reached = np.cumsum(joint[order])
-        return code[order[: int(np.searchsorted(reached, success)) + 1]] if reached[-1] >= success else code[:0]
+        return code[order], np.cumsum(joint[order])
 
 
 def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -105,11 +113,11 @@ def _unit(vectors: pa.Array) -> np.ndarray:
 
 
 def nearest(
-    vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", neighbours: int = 5, tables: int = 2, hashes: int | None = None,
-    width: float = 2.5, success: float = 0.97, block: int = 1024, asked: int = 256, sample: int = 4096, seed: int = 7,
+    vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", neighbours: int = 5, recall: float = 0.94,
+    block: int = 1024, asked: int = 256, sample: int = 4096, seed: int = 7,
 ) -> DataFrame:
     """query_id, rank, vec_id, score.  is_query: condition on the id as a Column function."""
-    spark, per_table = vectors.sparkSession, 1 - (1 - success) ** (1 / tables)
+    spark = vectors.sparkSession
     rows = materialize(_usable(vectors, id_col, vec_col), "ann-rows")
     classes = materialize(_classes(rows, neighbours + 1), "ann-classes")
     queries = materialize(rows.where(is_query(F.col("id"))).select("id", "h1", "h2").distinct(), "ann-queries")
@@ -121,7 +129,8 @@ def nearest(
     picked = [r["vec"] for r in classes.where(thin).orderBy("h1", "h2").limit(sample).select("vec").collect()]
     unit = _common_unit(picked)
     nearness = _sample_nearness(unit, neighbours)
-    hashes = hashes or _choose_hashes(unit, n_classes, nearness, tables, width, per_table, seed)
+    tables, hashes, width, success = choose(unit, n_classes, nearness, neighbours, recall, seed)
+    per_table = 1 - (1 - success) ** (1 / tables)
 
     def by_dim(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         sizes = pa.compute.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False)
@@ -198,6 +207,41 @@ def _sample_nearness(unit: np.ndarray, neighbours: int) -> float:
     return float(np.clip(np.quantile(cos, 0.25), 0.05, 0.95))
 
 
+def choose(unit: np.ndarray, n: int, nearness: float, neighbours: int, recall: float, seed: int) -> tuple[int, int, float, float]:
+    """Tables, projections, width and success that cost least in a table of n vectors, of those with enough recall on the sample."""
+    asked = unit[:TRIED]
+    if len(unit) <= neighbours + 1:
+        return (*SETTINGS[0], SUCCESS[-1])
+    cosine = asked @ unit.T
+    cosine[np.arange(len(asked)), np.arange(len(asked))] = -2
+    wanted = np.argsort(-cosine, axis=1, kind="stable")[:, :neighbours]
+    found = []
+    for tables, hashes, width in [s for s in SETTINGS if s is SETTINGS[0] or 8 << s[1] <= n]:  # finer buckets would be empty
+        t = Tables(unit.shape[1], tables, hashes, width, seed)
+        per = [1 - (1 - s) ** (1 / tables) for s in SUCCESS]
+        hits, share, visits = (np.zeros(len(SUCCESS)) for _ in range(3))
+        slots = [t.slots(unit, table) for table in range(tables)]
+        held = [np.unique(t.bucket(x), return_inverse=True) for _, x in slots]
+        for i in range(len(asked)):
+            # The first success at which each vector of the sample is a candidate.
+            first = np.full(len(unit), len(SUCCESS))
+            for table, (buckets, place) in enumerate(held):
+                code, reached = t.order(slots[table][0][i], table, nearness)
+                needed = np.searchsorted(per, np.concatenate([[0.0], reached[:-1]]), "right")
+                needed[np.searchsorted(per, reached[-1], "right") <= needed] = len(SUCCESS)
+                visits += [min(len(code), np.searchsorted(reached, p) + 1) for p in per]
+                at = np.minimum(np.searchsorted(buckets, code), len(buckets) - 1)
+                level = np.full(len(buckets), len(SUCCESS))
+                level[at[buckets[at] == code]] = needed[buckets[at] == code]
+                first = np.minimum(first, level[place])
+            for k in range(len(SUCCESS)):
+                hits[k] += (first[wanted[i]] <= k).mean()
+                share[k] += (first <= k).mean()
+        hits, share, visits = hits / len(asked), share / len(asked), visits / len(asked)
+        found += [(max(n, LEAST_TABLE) * share[k] + VISIT * visits[k], (tables, hashes, width, SUCCESS[k])) for k in range(len(SUCCESS)) if hits[k] >= recall]
+    return min(found)[1] if found else (*SETTINGS[0], SUCCESS[-1])
+
+
 def _choose_hashes(unit: np.ndarray, n: int, nearness: float, tables: int, width: float, success: float, seed: int) -> int:
     """The number of projections that costs least for the sample's queries, in a table of n vectors."""
     costs = {}
