@@ -146,7 +146,7 @@ def _nested_caps() -> list:
 
 @query(_nested_sql("SELECT auth_code, CAST(x3 AS BIGINT) AS credited FROM in3"))
 def nested_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accrual.apply_caps(T.earned(spark, sf_dir), ["group_id"], _nested_caps(), "points", ["ts", "key"]).select("auth_code", "credited")
+    return accrual.apply_caps(T.earned_once(spark, sf_dir), ["group_id"], _nested_caps(), "points", ["ts", "key"]).select("auth_code", "credited")
 
 
 @query(_nested_sql(" UNION ALL ".join(
@@ -154,7 +154,7 @@ def nested_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, ((name, _, cap), period) in enumerate(zip(NESTED, ["CAST(ts AS DATE)", "CAST(date_trunc('month', ts) AS DATE)", "year(ts)"], strict=True), 1)
 )))
 def cap_room(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accrual.cap_room(T.earned(spark, sf_dir), ["group_id"], _nested_caps(), "points", ["ts", "key"])
+    return accrual.cap_room(T.earned_once(spark, sf_dir), ["group_id"], _nested_caps(), "points", ["ts", "key"])
 
 
 @query("""SELECT factor, count(*) AS n FROM (SELECT greatest(1, CASE WHEN CAST(ts AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' AND amount_gtq >= 100000 AND isodow(ts) = 5 THEN 2 ELSE 1 END,

@@ -154,10 +154,15 @@ def earned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return earn_points(tx)
 
 
+def earned_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earned points, stored: caps read them twice, for the sums of days and for the rows."""
+    return store(earned(spark, sf_dir), "earned")
+
+
 def credited(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.operators.accrual import apply_cap
 
-    return apply_cap(earned(spark, sf_dir), ["group_id", "product"], "cap", "points", ["ts", "key"], F.year("ts"))
+    return apply_cap(earned_once(spark, sf_dir), ["group_id", "product"], "cap", "points", ["ts", "key"], F.year("ts"))
 
 
 def campaigns(spark: SparkSession) -> tuple[DataFrame, list[tuple[str, int]]]:
