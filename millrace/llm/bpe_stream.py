@@ -41,8 +41,10 @@ from pyspark.sql import functions as F
 TOKENIZER = "byte_bpe_50k.json"
 #: White space as the tokenizer's patterns see it.
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A part: blanks and what follows them up to the next blank.  No token crosses its ends.
-PART = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
+#: A part: blanks and what follows them up to the next blank, or up to the first sign of SIGNS if a letter stands before it.  The
+#: tokenizer's runs end at both places (a run with a letter ends with a letter), so no token crosses the ends of a part.
+SIGNS, LETTERS = ".,;:!?", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+PART = re.compile(f"[{BLANK}]*(?:[^{BLANK}{SIGNS}]+(?:(?<=[{LETTERS}])(?=[{SIGNS}])|[^{BLANK}]*)|[{SIGNS}][^{BLANK}]*)|[{BLANK}]+")
 #: So many parts, runs, pairs of tokens and beginnings of runs are remembered by each worker before it starts anew.
 CACHE, RUNS, PAIRS, HEADS = 160_000, 250_000, 150_000, 80_000
 #: Runs that begin with the same bytes share the work for so many of them, or for the lesser number.
