@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.accrual import rate_of
 from millrace.sources.io import rule_map
+from millrace.sources.stored import store
 
 
 def category_share(tx: DataFrame, digits: int = 2) -> DataFrame:
@@ -93,7 +94,8 @@ def neighbour_gaps(miles: DataFrame, least: int = 1000, partitions: int | None =
     last row of the nearest earlier partition with rows, from a table of one row per partition.
     """
     rows = miles.where(F.col("balance") > least).select("group_id", "balance", "miles")
-    dealt = rows.repartitionByRange(*([partitions] if partitions else []), "balance", "group_id").withColumn("part", F.spark_partition_id())
+    # Stored, so that a task that is run again cannot deal rows otherwise than the table of ends was made.
+    dealt = store(rows.repartitionByRange(*([partitions] if partitions else []), "balance", "group_id").withColumn("part", F.spark_partition_id()), "ranged")
     order = Window.partitionBy("part").orderBy("balance", "group_id")
     last = dealt.groupBy("part").agg(F.max(F.struct("balance", "group_id", "miles")).alias("end"))
     carry = last.withColumn("carried", F.lag("end").over(Window.orderBy("part"))).select(F.col("part").alias("p"), "carried")

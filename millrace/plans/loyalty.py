@@ -158,11 +158,13 @@ def cap_room(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT factor, count(*) AS n FROM (SELECT greatest(1, CASE WHEN CAST(ts AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' AND amount_gtq >= 100000 AND isodow(ts) = 5 THEN 2 ELSE 1 END,
-  CASE WHEN CAST(ts AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1999-12-31' AND amount_gtq >= 50000 AND category = 'reducida' AND is_member THEN 3 ELSE 1 END) AS factor FROM tx) GROUP BY 1""")
+  CASE WHEN CAST(ts AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1999-12-31' AND amount_gtq >= 50000 AND category = 'reducida' AND is_member THEN 3 ELSE 1 END,
+  CASE WHEN CAST(ts AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND amount_gtq >= 80000 AND uses_mobile THEN 4 ELSE 1 END) AS factor FROM tx) GROUP BY 1""")
 def promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [
         {"starts": "1998-01-01", "ends": "1998-12-31", "min_ticket": 100000, "weekday": 4, "factor": 2},
         {"starts": "1997-01-01", "ends": "1999-12-31", "min_ticket": 50000, "category": "reducida", "members_only": True, "factor": 3},
+        {"starts": "1996-01-01", "ends": "1998-12-31", "min_ticket": 80000, "mobile_only": True, "factor": 4},
     ]
     return accrual.promotion_factor(T.earned(spark, sf_dir), rules).groupBy("factor").agg(F.count(F.lit(1)).alias("n"))
 

@@ -119,6 +119,17 @@ def test_row_filter(spark):
     assert quality.row_filter(df, 0.5, {"a": (0, 10)}).count() == 3
 
 
+def test_columns_are_dropped_where_they_are(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
+    assert quality.drop_if_present(df, ["b", "nope"]).columns == ["a", "c"] and quality.drop_if_present(df, []).columns == ["a", "b", "c"]
+
+
+def test_promotions_of_members_and_phones(spark):
+    tx = spark.createDataFrame([(D(2025, 1, 3), 100.0, "general", True, True), (D(2025, 1, 3), 100.0, "general", True, False), (D(2025, 1, 3), 9.0, "general", True, True)], "ts date, amount_gtq double, category string, is_member boolean, uses_mobile boolean")
+    rule = {"starts": "2025-01-01", "ends": "2025-01-31", "min_ticket": 10, "mobile_only": True, "factor": 4}
+    assert rows(accrual.promotion_factor(tx, [rule]), "factor") == [(4,), (1,), (1,)] and rows(accrual.promotion_factor(tx, []), "factor") == [(1,)] * 3
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_ledger_invariants(seed):
     """FIFO and LIFO redeem the same in total when nothing expires, and lots always equal movements."""
