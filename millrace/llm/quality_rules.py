@@ -7,7 +7,8 @@ one for each kind in KINDS, and in each class every rule has a rate of voting ba
 Rates and class shares are fitted to the votes by expectation-maximisation; a document is kept when its
 posterior probability of the good class reaches `threshold`.  So a bad vote of a rule that often fires beside good
 votes, such as those on length, lines and headlines, is outvoted unless others join it, and one of a rule that hardly ever fires
-on good documents decides.  The rates have Beta priors that weigh as much as PRIOR_SHARE of the corpus; nothing
+on good documents decides.  Which votes go with good documents is learned: where most texts with repeated lines are junk in
+other ways too, the others with repeated lines go with them.  The rates have Beta priors that weigh as much as PRIOR_SHARE of the corpus; nothing
 else bounds them.  Votes of all documents enter the fit: they are counted by vote pattern first, at most
 3**8 patterns however large the corpus, and the whole fit is one expression over that table.
 
@@ -32,7 +33,7 @@ THRESHOLDS = {
 LENGTHS, WORD_LENGTHS, LEAST = (80, 120), ((3.8, 7.0), (4.3, 6.0)), 50
 RULES = ("length", "symbols", "lines", "repeats", "word_length", "capitals", "shouts", "headlines")
 #: Rules that a kind of junk sets off.  Short texts are no kind of their own: length is judged by how it goes with the rest.
-KINDS = {"repetition": ("lines", "repeats"), "shouting": ("capitals", "shouts"), "noise": ("symbols", "word_length")}
+KINDS = {"repetition": ("repeats",), "shouting": ("capitals", "shouts"), "noise": ("symbols", "word_length")}
 #: Beta priors: mean rate of bad votes on good documents; on junk by rules of its kind, and by others; their weight.
 ALARM = {"length": 0.1, "symbols": 0.005, "lines": 0.05, "repeats": 0.005, "word_length": 0.01, "capitals": 0.01, "shouts": 0.01, "headlines": 0.03}
 CATCH, STRAY = 0.5, 0.05
