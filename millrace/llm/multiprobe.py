@@ -12,8 +12,7 @@ table offers.  Candidates of all tables are merged and ranked by exact cosine in
 
 Tables, projections, width and success are chosen together: every one of SETTINGS is tried on queries of the sample, at each
 of SUCCESS, and the cheapest is taken whose recall within the sample is at least `recall`.  Cost counts a comparison for every candidate
-and VISIT comparisons for every bucket visited, in a table of the real size (of a million vectors at least, so that small tables are
-searched as large ones are).  So buckets multiply as the table grows, as far as the vectors have structure to be found.  A
+and VISIT comparisons for every bucket visited, in a table of the real size.  So buckets multiply as the table grows, as far as the vectors have structure to be found.  A
 query whose order of buckets would be too long to list is treated as one without candidates.
 
 Equal vectors are one class, of which the `neighbours` + 1 smallest ids are enough for any query.
@@ -44,9 +43,9 @@ from millrace.llm.common import join_unique, materialize
 
 #: Numbers of projections to choose from; a visit costs as much as so many comparisons; most buckets in a query's list.
 HASHES, VISIT, LONGEST = (2, 4, 6, 8, 10, 12), 256, 1 << 14
-#: Tables, projections and width to choose from, and estimated success; costs are those of a table of so many vectors at least.
+#: Tables, projections and width to choose from, estimated success, and queries of the sample that are tried.
 SETTINGS = ((2, 2, 2.5), (2, 4, 2.5), (3, 6, 1.5), (4, 6, 1.5), (4, 8, 2.0), (4, 10, 2.0), (4, 12, 2.5))
-SUCCESS, LEAST_TABLE, TRIED = (0.8, 0.85, 0.88, 0.9, 0.92, 0.95, 0.97), 1_000_000, 96
+SUCCESS, TRIED = (0.8, 0.85, 0.88, 0.9, 0.92, 0.95, 0.97), 48
 
 
 class Tables:
@@ -238,7 +237,7 @@ def choose(unit: np.ndarray, n: int, nearness: float, neighbours: int, recall: f
                 hits[k] += (first[wanted[i]] <= k).mean()
                 share[k] += (first <= k).mean()
         hits, share, visits = hits / len(asked), share / len(asked), visits / len(asked)
-        found += [(max(n, LEAST_TABLE) * share[k] + VISIT * visits[k], (tables, hashes, width, SUCCESS[k])) for k in range(len(SUCCESS)) if hits[k] >= recall]
+        found += [(n * share[k] + VISIT * visits[k], (tables, hashes, width, SUCCESS[k])) for k in range(len(SUCCESS)) if hits[k] >= recall]
     return min(found)[1] if found else (*SETTINGS[0], SUCCESS[-1])
 
 
