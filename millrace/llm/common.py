@@ -35,12 +35,20 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 _WRITTEN: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Rows of a narrow table that are worth a file of their own.
+ROWS_A_FILE = 5_000
+
+
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write a table in the shared folder and read it again: cuts lineage and survives lost executors.
 
-    It is deleted by the `scratch` around it, or else when the driver's session ends.
+    It is deleted by the `scratch` around it, or else when the driver's session ends.  rows: about how many there are, if known;
+    small tables then have fewer files than shuffle partitions (at least two for each core).  Each file that an executor creates
+    on a local disk makes its JVM start a process for the file's permissions.
     """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
+    if rows is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
     df.write.parquet(path)
     for written in _WRITTEN.get()[-1:]:
         written.append(path)

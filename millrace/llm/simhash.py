@@ -210,15 +210,15 @@ def link_prints(prints: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_links, "a long, b long")
 
 
-def components(links: DataFrame, label: str = "components", most_rounds: int = 60) -> DataFrame:
-    """links: a, b.  Returns node, root for every node that has a link; root is the smallest node of its component.
+def components(links: DataFrame, label: str = "components", most_rounds: int = 60, rows: int | None = None) -> DataFrame:
+    """links: a, b (about `rows`, if known).  Returns node, root for every node that has a link; root is the smallest node of its component.
 
     Alternating large-star and small-star rounds; each is an aggregation with map-side partials and a
     join, written to the shared folder.
     """
     spark = links.sparkSession
     with scratch(spark) as written:
-        edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), label)
+        edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), label, rows)
         before = None
         for _ in range(most_rounds):
             both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -226,12 +226,12 @@ def components(links: DataFrame, label: str = "components", most_rounds: int = 6
             large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
             small_least = large.groupBy("u").agg(F.min("v").alias("m"))
             small = large.join(small_least, "u").select(F.col("v").alias("x"), F.col("m").alias("v")).where("x <> v").withColumnRenamed("x", "u")
-            edges = materialize(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), label)
+            edges = materialize(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), label, rows)
             discard(spark, written.pop(0))
             state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
             if state == before:
                 break
-            before = state
+            before, rows = state, None if rows is None else state[0]
         else:
             raise RuntimeError("components did not settle")
         written.clear()  # the last round is what the result reads

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from millrace.llm import near_copies
+from millrace.llm import near_copies, simhash
 
 from .test_operators import documents
 
@@ -89,3 +89,37 @@ def test_large_bands_are_settled_block_by_block(spark, monkeypatch):
     sets = {node[i]: brute_set(t) for i, t in rows}
     assert found and all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in found)
     assert sorted(r["doc_id"] for r in near_copies.keep_one(df).collect()) == brute_keep(rows)
+
+
+def test_stage_links_by_simhash_first(spark, tmp_path, monkeypatch):
+    """Fingerprints are majority votes of the sets; the anchors' links alone drop copies that differ in two bits or fewer."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for _ in range(20):
+        base = [word() for _ in range(400)]
+        texts += [" ".join(base), " ".join([*base, word()]), " ".join(base[1:])]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sketched = near_copies.sketches(df).cache()
+    fp, node = {}, {}
+    for r in sketched.collect():
+        hashes = near_copies.shingles(texts[r["id"]]).tolist()
+        votes = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+        assert r["fp"] & (1 << 64) - 1 == votes
+        fp[r["node"]], node[r["id"]] = votes, r["node"]
+    pairs = {(r["a"], r["b"]) for r in near_copies.anchor_pairs(sketched).collect()}
+    assert pairs and all((fp[a] ^ fp[b]).bit_count() <= simhash.MOST for a, b in pairs)
+    forest = simhash._Forest()
+    for a, b in pairs:
+        forest.join(a, b)
+    ids = list(fp)
+    assert all(forest.root(a) == forest.root(b) for a in ids for b in ids if (fp[a] ^ fp[b]).bit_count() <= simhash.MOST)
+    monkeypatch.setattr(near_copies, "band_keys", lambda hashes, *_: [hash(hashes.tobytes()) + i for i in range(near_copies.BANDS)])  # bands that nobody shares
+    left = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, df, str(tmp_path)).collect()}
+    by_prints = simhash._Forest()
+    for i in range(60):
+        for j in range(i):
+            if (fp[node[i]] ^ fp[node[j]]).bit_count() <= simhash.MOST:
+                by_prints.join(i, j)
+    assert left == {by_prints.root(i) for i in range(60)} and len(left) < 60
