@@ -7,11 +7,11 @@ over equal bins of the alphabet, a runs test of high and low symbols, and a test
 correlation of symbol ranks.  Fisher's method combines the three into one p-value, the battery's score.
 
 Ordinary words can look random by chance, and short ones do so often, so the score alone decides
-nothing.  Every document gives, for each length class, one run of its own letters from a place set by
-its hash; their scores are the distribution of the score for text of that length.  A candidate's
-p-value against text is its tail there, and the Benjamini-Hochberg step-up within each length class
-bounds the share of false discoveries.  Both distributions are counted over all documents, in at most
-LENGTHS x BINS cells.
+nothing.  The letters of every document are cut, for each length class, into consecutive runs of that
+length, from the first letter to the last whole run; the scores of all of them are the distribution of
+the score for text of that length.  A candidate's p-value against text is its tail there, and the
+Benjamini-Hochberg step-up within each length class bounds the share of false discoveries.  Both
+distributions are counted over all documents, in at most LENGTHS x BINS cells.
 
 Defined cases: null and empty texts have no spans; texts of any length are scanned whole; offsets are
 code points, end exclusive; repeated rows are scanned alike; an empty table gives an empty result;
@@ -23,7 +23,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -45,6 +44,10 @@ _BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
 _CLASSES = (20, 24, 32, 48, 96)
 _LEAST = (16, *_CLASSES)
 LENGTHS, BINS, LEVEL = len(_CLASSES) + 1, 256, 0.01
+CELLS = LENGTHS * BINS
+#: Letters scored at once, a multiple of every length, so that a long text's runs stay the same.
+LETTERS = 273 * math.lcm(*_LEAST)
+_NO_LETTERS = bytes(b for b in range(256) if not (65 <= b <= 90 or 97 <= b <= 122))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -133,36 +136,107 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     return found
 
 
-def own_scores(text: str) -> list[int]:
-    """For each length class the cell of a run of the text's own letters, from a place set by its hash."""
-    place, cells = zlib.crc32(text.encode("utf-8", "surrogatepass")) % max(1, len(text)), []
-    letters = re.sub("[^A-Za-z]+", "", text[place : place + 4 * _LEAST[-1]])
-    for c, n in enumerate(_LEAST):
-        if len(letters) >= n:
-            cells.append(c * BINS + score_bin(randomness(letters[:n])))
+def _erfc(z: np.ndarray) -> np.ndarray:
+    """The complementary error function of numbers from 0 on, to 1.2e-7 of its value (Chebyshev fit of Numerical Recipes)."""
+    t = 1 / (1 + 0.5 * z)
+    fit = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+    total = np.zeros_like(t)
+    for c in reversed(fit):
+        total = total * t + c
+    return t * np.exp(total - z * z)
+
+
+def randomness_rows(x: np.ndarray, size: int) -> np.ndarray:
+    """`randomness` of every row of ranks in an alphabet of so many symbols."""
+    m, n = x.shape
+    bins = min(size, n // 2)
+    of = np.arange(size) * bins // size
+    share = np.bincount(of, minlength=bins) / size
+    seen = np.bincount((of[x] + bins * np.arange(m)[:, None]).ravel(), minlength=m * bins).reshape(m, bins)
+    chi = (((seen - n * share) ** 2 / (n * share)).sum(1) + 1e-9) / (bins - 1)
+    z = (np.cbrt(chi) - (1 - 2 / (9 * (bins - 1)))) / math.sqrt(2 / (9 * (bins - 1))) / math.sqrt(2)
+    uniform = _erfc(np.abs(z)) / 2
+    uniform = np.where(z < 0, 1 - uniform, uniform)
+    high = x >= size / 2
+    up = high.sum(1)
+    mean = 1 + 2 * up * (n - up) / n
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    runs = _erfc(np.abs(1 + (high[:, 1:] != high[:, :-1]).sum(1) - mean) / np.sqrt(2 * np.maximum(var, 1e-9)))
+    runs = np.where((up > 0) & (up < n), runs, 2.0 ** (1 - n))
+    y = x - x.mean(1, keepdims=True)
+    spread = np.einsum("ij,ij->i", y, y)
+    lag = np.einsum("ij,ij->i", y[:, 1:], y[:, :-1])
+    serial = np.where(spread > 0, _erfc(np.abs(lag / np.where(spread > 0, spread, 1) + 1 / n) * math.sqrt(n / 2)), 0)
+    half = -sum(np.log(np.maximum(p, 1e-12)) for p in (uniform, runs, serial))
+    return np.exp(-half) * (1 + half + half * half / 2)
+
+
+def _letter_bins(runs: np.ndarray) -> np.ndarray:
+    """Score bins of rows of ASCII letters, each over the alphabet inferred from it."""
+    low, top, found = runs.min(1), runs.max(1), np.zeros(len(runs), np.int64)
+    lower, upper = low >= ord("a"), top <= ord("Z")
+    kind = np.select([lower & (top <= ord("f")), lower, upper & (top <= ord("F")), upper], [0, 1, 2, 3], 4)
+    for k in np.unique(kind):
+        here = np.flatnonzero(kind == k)
+        symbols = alphabet(runs[here[0]].tobytes().decode())
+        rank = np.zeros(256, np.int64)
+        rank[list(symbols.encode())] = np.arange(len(symbols))
+        scores = randomness_rows(rank[runs[here]], len(symbols))
+        found[here] = np.minimum(BINS - 1, (np.sqrt(scores) * BINS).astype(np.int64))
+    return found
+
+
+def own_scores(texts: list[str]) -> list[list[int]]:
+    """For each text the cells of all runs of its own letters, as cell + CELLS * (how many - 1)."""
+    cells: list[list[int]] = [[] for _ in texts]
+    pieces: list[tuple[int, np.ndarray]] = []
+    held = 0
+
+    def settle() -> None:
+        keys = []
+        for c, n in enumerate(_LEAST):
+            many = np.array([len(letters) // n for _, letters in pieces])
+            if many.any():
+                runs = np.concatenate([letters[: k * n] for (_, letters), k in zip(pieces, many.tolist(), strict=True)]).reshape(-1, n)
+                keys.append(np.repeat([i for i, _ in pieces], many) * CELLS + c * BINS + _letter_bins(runs))
+        if keys:
+            key, count = np.unique(np.concatenate(keys), return_counts=True)
+            for i, cell in zip((key // CELLS).tolist(), (key % CELLS + CELLS * (count - 1)).tolist(), strict=True):
+                cells[i].append(cell)
+        pieces.clear()
+
+    for i, text in enumerate(texts):
+        letters = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(None, _NO_LETTERS), np.uint8)
+        for at in range(0, len(letters), LETTERS):
+            pieces.append((i, letters[at : at + LETTERS]))
+            held += len(pieces[-1][1])
+            if held >= LETTERS:
+                settle()
+                held = 0
+    settle()
     return cells
 
 
 _SCANNED = (
     "struct<n_assign:long, n_access:long, n_hex:long, base:string, base_sha256:string, "
-    "found:array<struct<start:int,end:int,class:int,bin:int>>, plain:array<int>>"
+    "found:array<struct<start:int,end:int,class:int,bin:int>>, plain:array<bigint>>"
 )
 
 
-def _scan_text(text: str | None) -> tuple:
-    text = text or ""
+def _scan_text(text: str) -> tuple:
     spans = base_spans(text)
     base = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
-    found, plain = candidates(text, spans), own_scores(text)
+    found = candidates(text, spans)
     count = [sum(k == i for _, k, _ in spans) for i in range(3)]
-    return (*count, base, hashlib.sha256(base.encode()).hexdigest(), [dict(zip(("start", "end", "class", "bin"), f, strict=True)) for f in found], plain)
+    return (*count, base, hashlib.sha256(base.encode()).hexdigest(), [dict(zip(("start", "end", "class", "bin"), f, strict=True)) for f in found])
 
 
 _COLUMNS = ["n_assign", "n_access", "n_hex", "base", "base_sha256", "found", "plain"]
 
 
 def _scan_batch(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_scan_text(t) for t in texts], columns=_COLUMNS)
+    texts = [t or "" for t in texts]
+    return pd.DataFrame([(*_scan_text(t), plain) for t, plain in zip(texts, own_scores(texts), strict=True)], columns=_COLUMNS)
 
 
 def _scanned(text: Column) -> Column:
@@ -174,10 +248,11 @@ def _least_bins(scans: DataFrame, s: str) -> list[int]:
 
     Two aggregations of at most LENGTHS x BINS rows each.
     """
-    per = lambda df: {(r["c"], r["b"]): r["count"] for r in df.groupBy("c", "b").count().collect()}
+    per = lambda df: {(r["c"], r["b"]): r["n"] for r in df.groupBy("c", "b").agg(F.sum("n").alias("n")).collect()}
     cell = F.col("cell")
-    plain = per(scans.select(F.explode(f"{s}.plain").alias("cell")).select(F.floor(cell / BINS).alias("c"), (cell % BINS).alias("b")))
-    found = per(scans.select(F.explode(f"{s}.found").alias("f")).select(F.col("f.class").alias("c"), F.col("f.bin").alias("b")))
+    cells = scans.select(F.explode(f"{s}.plain").alias("cell"))
+    plain = per(cells.select(F.floor(cell % CELLS / BINS).alias("c"), (cell % BINS).alias("b"), (1 + F.floor(cell / CELLS)).alias("n")))
+    found = per(scans.select(F.explode(f"{s}.found").alias("f")).select(F.col("f.class").alias("c"), F.col("f.bin").alias("b"), F.lit(1).alias("n")))
     tails = lambda t, c: np.cumsum([t.get((c, b), 0) for b in range(BINS)][::-1])[::-1]
     least = []
     for c in range(LENGTHS):

@@ -1,7 +1,9 @@
 """The randomness battery and its false-discovery control against slow versions."""
 
+import collections
 import math
 import random
+import re
 
 import pytest
 
@@ -90,3 +92,27 @@ def test_step_up_equals_one_by_one(spark, seed):
     least = s._least_bins(scans, "s")
     got = {i for i, (c, b) in enumerate(found) if b >= least[c]}
     assert got == slow_step_up(plain, found, s.LEVEL) and (got or seed)
+
+
+def test_all_letters_of_all_texts_are_scored(spark, monkeypatch):
+    """Every run of a text's own letters counts, at its end too, whatever is scored at once."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(rng.choice(["abcdef", "etaoinshrdlu", "ABCDEF", "AbCxYz"])) for _ in range(rng.randint(1, 30)))
+    texts = ["", "é1", "abc", " ".join(word() for _ in range(900)), "face " * 60, "FACE " * 60, "QUEUE" * 30, "e" * 700] + [" 7-é".join(word() for _ in range(30)) for _ in range(20)]
+
+    def slow(text):
+        letters, cells = re.sub("[^A-Za-z]+", "", text), []
+        for c, n in enumerate(s._LEAST):
+            cells += [c * s.BINS + s.score_bin(s.randomness(letters[a : a + n])) for a in range(0, len(letters) - n + 1, n)]
+        return collections.Counter(cells)
+
+    for at_once in (s.LETTERS, 480):
+        monkeypatch.setattr(s, "LETTERS", at_once)
+        for text, got in zip(texts, s.own_scores(texts), strict=True):
+            counted = collections.Counter()
+            for x in got:
+                counted[x % s.CELLS] += 1 + x // s.CELLS
+            assert counted == slow(text), text[:50]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(s._scanned(s.F.col("text")).alias("s"))
+    cells = [x for r in df.select("s.plain").collect() for x in r["plain"]]
+    assert sum(1 + x // s.CELLS for x in cells) == sum(sum(slow(t).values()) for t in texts)
