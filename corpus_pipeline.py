@@ -35,7 +35,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_stream.encode_documents(docs, with_ids=True)
+    # The stages' workers stay beside full heaps: they remember a quarter of what they do when they encode alone.
+    return bpe_stream.encode_documents(docs, with_ids=True, share=0.25)
 
 
 STAGES = [

@@ -252,9 +252,10 @@ class Spelling:
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, share: float = 1) -> None:
         import regex
 
+        self.share = share
         self.table = MergeList(path)
         self.run = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
         self.kinds = [regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", rf"[^{BLANK}\p{{L}}\p{{N}}]+", f"[{BLANK}]+")]
@@ -277,7 +278,7 @@ class Encoder:
                 whole = self.table.whole.get(data)
                 found = _packed([whole] if whole is not None else self.machine.push(data) + self.machine.finish())
             if len(run) < 64:
-                if len(self.young_runs) >= RUNS:
+                if len(self.young_runs) >= RUNS * self.share:
                     self.old_runs, self.young_runs = self.young_runs, {}
                 self.young_runs[run] = found
         return found
@@ -288,7 +289,7 @@ class Encoder:
         if found is None:
             found = b"".join(map(self._run_ids, self.run.findall(part)))
         if len(part) < 64:
-            if len(self.young) >= CACHE:
+            if len(self.young) >= CACHE * self.share:
                 self.old, self.young = self.young, {}
             self.young[part] = found
         return found
@@ -393,8 +394,8 @@ class Decoder:
 
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
-    found = Encoder(path)
+def encoder(path: str, share: float = 1) -> Encoder:
+    found = Encoder(path, share)
     gc.freeze()  # the tables stay for the worker's life; no collection needs to walk them
     return found
 
@@ -425,12 +426,15 @@ def digests(text: str | None, codec: Encoder, ids: list[bytes] | None = None) ->
     return n, listed.hexdigest(), decoded.hexdigest()
 
 
-def encode_documents(docs: DataFrame, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row, and the ids as an array if wanted."""
+def encode_documents(docs: DataFrame, tokenizer: str = TOKENIZER, with_ids: bool = False, share: float = 1) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row, and the ids as an array if wanted.
+
+    share: of CACHE and RUNS, what a worker remembers; less takes less memory and more time, and gives the same ids.
+    """
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = encoder(tokenizer_file(tokenizer))
+        codec = encoder(tokenizer_file(tokenizer), share)
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 some = batch.slice(a, 1000)

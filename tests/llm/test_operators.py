@@ -629,3 +629,13 @@ def test_quality_model_scorer_separates():
     at, value = quality_model.sparse(text)
     z = bias + float((weights[at] * value).sum())
     assert quality_model.score_text(text, weights, bias) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
+def test_smaller_memory_of_parts_gives_the_same_ids(spark):
+    """The pipeline's encoder remembers a share of the parts and runs; a tiny one forgets all the time and stays bounded."""
+    texts = [r["text"] or "" for r in documents(spark).select("text").limit(60).collect()]
+    file = bpe_stream.tokenizer_file()
+    whole, tiny = bpe_stream.Encoder(file), bpe_stream.Encoder(file, 0.0001)
+    for t in texts:
+        assert tiny.encode(t) == whole.encode(t)
+        assert len(tiny.young) <= 17 and len(tiny.old) <= 17 and len(tiny.young_runs) <= 26 and len(tiny.old_runs) <= 26
